@@ -116,4 +116,5 @@ def band_keys(text: Column, threshold: float = THRESHOLD, num_perm: int = NUM_PE
             table = table.astype(">u4").reshape(len(batch), bands, rows)
             yield pd.Series([[hashlib.md5(band.tobytes()).digest() for band in row] for row in table])
 
-    return keys(text)
+    # So marked, the optimizer neither repeats nor inlines the call.
+    return keys.asNondeterministic()(text)

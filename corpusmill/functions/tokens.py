@@ -20,9 +20,15 @@ class WordTokenizer:
     def windows(self, text: Column, size: int) -> Column:
         """Array of consecutive pieces of at most ``size`` tokens, whitespace
         inside a piece untouched."""
-        spans = word_spans(text)
-        starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(spans) - 1) / size), F.lit(0)).cast("int"))
-        return F.transform(starts, lambda i: strip(F.array_join(F.slice(spans, i * size + 1, F.lit(size)), "")))
+
+        def cut(spans: Column) -> Column:
+            last = F.greatest(F.ceil(F.size(spans) / size) - 1, F.lit(0)).cast("int")
+            return F.transform(
+                F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(spans, i * size + 1, F.lit(size)), ""))
+            )
+
+        # The one-element array binds the spans, so that they are found once.
+        return F.flatten(F.transform(F.array(word_spans(text)), cut))
 
 
 class ArrowTokenizer:

@@ -47,39 +47,46 @@ def flag_structure(records: DataFrame, max_tokens: int | None = None, tokenizer=
     return records.withColumn("reject_reason", F.when(~F.coalesce(ok, F.lit(False)), F.lit("structural")))
 
 
-def alternation_by_turn(turns: DataFrame, key: str, order: str, role: str = "role") -> DataFrame:
+def split_oversize(turns: DataFrame, key: str, text: str, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Turns of the conversations within ``max_bytes``, and the keys of the others.
+
+    A conversation is one row of a source, so it cannot outgrow the ceiling for
+    a whole source.  Sizes are summed with map-side combine, and the turns of an
+    oversize conversation are dropped before any shuffle on its key.  There are
+    at most total bytes / max_bytes such keys, which bounds their broadcast.
+    """
+    sizes = turns.groupBy(key).agg(F.sum(F.octet_length(text) + _MESSAGE_OVERHEAD).alias("bytes"))
+    oversize = sizes.where(F.col("bytes") > max_bytes).select(key)
+    return turns.join(F.broadcast(oversize), key, "left_anti"), oversize
+
+
+def alternation_by_turn(
+    turns: DataFrame, key: str, order: str, role: str = "role", text: str = "text", max_bytes: int = MAX_SOURCE_BYTES
+) -> DataFrame:
     """(key, alternates) from one row per message, without building any list.
 
-    System messages are left out before neighbours are compared.
+    System messages are left out before neighbours are compared.  An oversize
+    conversation comes out null.
     """
+    within, oversize = split_oversize(turns, key, text, max_bytes)
     by_turn = W.partitionBy(key).orderBy(order)
-    spoken = turns.select(key, order, role).where(F.col(role) != "system")
-    steps = spoken.withColumn("previous", F.lag(role).over(by_turn)).select(
-        key,
-        F.when(F.col("previous").isNull(), F.col(role) == "user").otherwise(F.col("previous") != F.col(role)).alias("ok"),
-    )
-    everyone = turns.groupBy(key).agg(F.count("*").alias("n_messages"))
-    return everyone.join(steps.groupBy(key).agg(F.bool_and("ok").alias("ok")), key, "left").select(
-        key, "n_messages", F.coalesce("ok", F.lit(False)).alias("alternates")
+    is_spoken = F.col(role) != "system"
+    steps = within.select(key, order, role).withColumn(
+        "previous", F.last(F.when(is_spoken, F.col(role)), ignorenulls=True).over(by_turn.rowsBetween(W.unboundedPreceding, -1))
     )
+    ok = F.when(F.col("previous").isNull(), F.col(role) == "user").otherwise(F.col("previous") != F.col(role))
+    checked = steps.groupBy(key).agg(F.coalesce(F.bool_and(F.when(is_spoken, ok)), F.lit(False)).alias("alternates"))
+    return checked.unionByName(oversize, allowMissingColumns=True)
 
 
 def fold_turns(
     turns: DataFrame, key: str, order: str, role: str = "role", text: str = "text", max_bytes: int = MAX_SOURCE_BYTES
 ) -> DataFrame:
-    """One row per conversation with its ``messages`` list, in turn order.
-
-    A conversation is one row of a source, so it cannot outgrow the ceiling for
-    a whole source.  Sizes are summed first, with map-side combine, and a
-    conversation over ``max_bytes`` comes out with null messages instead of
-    being gathered.  There are at most total bytes / max_bytes of those, which
-    bounds the broadcast list of them.
-    """
-    sizes = turns.groupBy(key).agg(F.sum(F.octet_length(text) + _MESSAGE_OVERHEAD).alias("bytes"))
-    oversize = sizes.where(F.col("bytes") > max_bytes).select(key)
+    """One row per conversation with its ``messages`` list, in turn order; null
+    messages for an oversize conversation."""
+    within, oversize = split_oversize(turns, key, text, max_bytes)
     folded = (
-        turns.join(F.broadcast(oversize), key, "left_anti")
-        .groupBy(key)
+        within.groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct(order, role, text))).alias("turns"))
         .select(key, F.transform("turns", lambda t: message(t[role], t[text])).alias("messages"))
     )
