@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import prompts
-from corpusmill.functions.records import CPT, DPO, SFT_CONVERSATION, SFT_PAIR, as_records, message, metadata
+from corpusmill.functions.records import CPT, DPO, ITEM_BITS, SFT_CONVERSATION, SFT_PAIR, as_records, message, metadata
 from corpusmill.functions.replies import goal_choice, qa_candidate, score
 from corpusmill.session import materialize
 
@@ -104,9 +104,15 @@ def asker(load_client: Callable[[], Callable], strict: bool = True, **options) -
 
 
 def examples(sources: DataFrame, objective: str, per_chunk: int = 1) -> DataFrame:
-    """One row per record wanted of a chunk; plain text is wanted once only."""
+    """One row per record wanted of a chunk; plain text is wanted once only.
+
+    ``ord`` is spread out so that it stays unique and in chunk order.
+    """
     count = 1 if objective == CPT else per_chunk
-    return sources.withColumn("example", F.explode(F.sequence(F.lit(1), F.lit(count))))
+    item = F.col("ord") % (1 << ITEM_BITS)
+    return sources.withColumn("example", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn(
+        "ord", F.col("ord") + item * (count - 1) + F.col("example") - 1
+    )
 
 
 def source_metadata(extra: Column | None = None) -> Column:
@@ -228,7 +234,7 @@ def _in_waves(units: DataFrame, attempt_once: Callable[[DataFrame, int], DataFra
     """Ask for what is still missing, up to ``retries`` more times."""
     done, pending = [], units
     for attempt in range(retries + 1):
-        valid = materialize(attempt_once(pending, attempt), "valid")
+        valid = materialize(attempt_once(pending, attempt).drop("text"), "valid")
         done.append(valid)
         pending = materialize(pending.join(valid.select(*_UNIT), [*_UNIT], "left_anti"), "pending")
         if pending.isEmpty():
