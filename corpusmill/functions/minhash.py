@@ -105,6 +105,17 @@ def signatures(texts: list[str | None], num_perm: int = NUM_PERM) -> np.ndarray:
     return out
 
 
+def signatures_of(text: Column, num_perm: int = NUM_PERM) -> Column:
+    """ARRAY<BIGINT> signature of the text's token set."""
+
+    @F.pandas_udf("array<bigint>")
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(list(signatures(batch.tolist(), num_perm).astype("int64")))
+
+    return signed.asNondeterministic()(text)
+
+
 def band_keys(text: Column, threshold: float = THRESHOLD, num_perm: int = NUM_PERM) -> Column:
     """ARRAY<BINARY> with one 16-byte key per band of the text's token set."""
     bands, rows = band_shape(threshold, num_perm)

@@ -68,3 +68,10 @@ def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     (keep its rows narrow); beyond that Spark chooses the join."""
     small = materialize(small, "lookup")
     return big.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread rows over the cores before CPU-heavy work, but only when the input
+    has fewer files than there are cores; large inputs stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if len(df.inputFiles()) < cores else df

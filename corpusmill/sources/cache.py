@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +55,14 @@ def extract_cached(
     'fallback', so a later run asks the remote again.  Other reasons are final.
     """
     spark = documents.sparkSession
-    schema = f"source_hash string, blocks array<struct<level:int,text:string,page:int>>, reject_reason string, extractor_version string, variant string"
+    schema = "source_hash string, blocks array<struct<level:int,text:string,page:int>>, reject_reason string, extractor_version string, variant string"
     contents = documents.dropDuplicates(["source_hash"])
 
     def stored() -> DataFrame:
         try:
             return spark.read.schema(schema).parquet(cache_path)
-        except Exception as error:  # a cache that does not exist yet
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:  # a cache that does not exist yet
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return spark.createDataFrame([], schema)
 
