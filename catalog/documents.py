@@ -1 +1,303 @@
-"""To come."""
+"""Document files: admission, extraction, chunks, estimates, samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.registry import conversations, query, table
+from corpusmill.operators.chunking import chunk_blocks, document_id, estimate_rows, sample_text, token_windows
+from corpusmill.functions.tokens import WORDS
+from corpusmill.session import spread
+from corpusmill.sources.cache import best_variant, missing
+from corpusmill.sources.documents import (
+    BLOCK_TAGS,
+    HIDDEN,
+    content_hash,
+    extract_blocks,
+    flag_admission,
+    html_blocks,
+    markdown_blocks,
+    unescape_blocks,
+)
+
+CHUNK = 512
+SMALL_CHUNK = 64
+
+# --- admission and hashes -----------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, CASE WHEN lang = 'de' THEN 'unsupported' WHEN n_chars < 100 THEN 'empty'
+      WHEN (n_chars - 99) * 40000 > 524288000 THEN 'oversized' END AS reject_reason FROM documents"""
+)
+def admitted_files(spark, folder):
+    """A listing with sizes from 0 to beyond the ceiling and mixed suffixes."""
+    suffix = F.element_at(F.create_map(*map(F.lit, ("en", ".md", "fr", ".TXT", "es", ".Html", "de", ".xlsx"))), F.col("lang"))
+    files = table(spark, folder, "documents").select(
+        "doc_id",
+        F.concat("source", F.lit("/v1.2/"), F.col("doc_id").cast("string"), suffix).alias("path"),
+        (F.greatest(F.col("n_chars") - 99, F.lit(0)) * 40000).alias("length"),
+    )
+    return flag_admission(files).select("doc_id", "reject_reason")
+
+
+@query("SELECT doc_id AS id, sha256(text) AS source_hash FROM documents UNION ALL SELECT -1 - page_id, sha256(html) FROM pages")
+def content_hashes(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), content_hash(F.col("text")).alias("source_hash"))
+    pages = table(spark, folder, "pages").select((-1 - F.col("page_id")).alias("id"), content_hash(F.col("html")).alias("source_hash"))
+    return docs.unionByName(pages)
+
+
+# --- blocks ----------------------------------------------------------------------------
+
+
+def _page_blocks_sql() -> str:
+    """CTEs ending in blocks(page_id, block_no, level, text) for all pages."""
+    clean = r"regexp_replace(html, '<!--(.|\n)*?-->', ' ', 'g')"
+    for tag in HIDDEN:
+        clean = rf"regexp_replace({clean}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
+    clean = rf"regexp_replace({clean}, '(?i)<br\b[^>]*>', ' ', 'g')"
+    clean = rf"regexp_replace({clean}, '(?i)<h([1-6])\b[^>]*>', chr(1) || '\1' || chr(2), 'g')"
+    clean = rf"regexp_replace({clean}, '(?i)</h[1-6]\s*>|</?({'|'.join(BLOCK_TAGS)})\b[^>]*>', chr(1) || '0' || chr(2), 'g')"
+    clean = rf"regexp_replace({clean}, '</?[A-Za-z][^>]*>|<!DOCTYPE[^>]*>', '', 'g')"
+    body = "part[3:]"
+    text = rf"trim(regexp_replace(CASE WHEN part[2:2] = chr(2) THEN {body} ELSE part END, '\s+', ' ', 'g'))"
+    for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    return f"""
+    parts AS (SELECT page_id, unnest(string_split({clean}, chr(1))) AS part, generate_subscripts(string_split({clean}, chr(1)), 1) AS pos FROM pages),
+    texts AS (SELECT page_id, pos, CASE WHEN part[2:2] = chr(2) THEN part[1:1]::INTEGER ELSE 0 END AS level, {text} AS text FROM parts),
+    filled AS (SELECT * FROM texts WHERE text <> ''),
+    opened AS (SELECT page_id, min(pos) AS first_heading FROM filled WHERE level > 0 GROUP BY page_id),
+    blocks AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS block_no, level, text
+      FROM filled LEFT JOIN opened USING (page_id) WHERE first_heading IS NULL OR pos >= first_heading)"""
+
+
+def _pages(spark, folder):
+    pages = spread(table(spark, folder, "pages"), "page_id")
+    return unescape_blocks(pages.select("page_id", html_blocks(F.col("html")).alias("blocks")))
+
+
+@query(f"WITH {_page_blocks_sql()} SELECT page_id, block_no, level, text FROM blocks")
+def page_blocks(spark, folder):
+    """Headings and text blocks of web pages."""
+    exploded = _pages(spark, folder).select("page_id", F.posexplode("blocks").alias("block_no", "b"))
+    return exploded.select("page_id", F.col("block_no").cast("bigint").alias("block_no"), "b.level", "b.text")
+
+
+def _markdown(spark, folder):
+    """Every conversation as a Markdown document, a section per turn."""
+    turn = lambda m: F.concat(F.lit("## "), m["role"], F.lit("\n\n"), m["content"], F.lit("\n\n"))
+    body = F.concat(
+        F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("messages", turn), "")
+    )
+    return conversations(spark, folder).select(F.col("conv_id").cast("string").alias("document_id"), body.alias("text"))
+
+
+# The blocks that Markdown has by construction: texts of the table hold neither
+# blank lines nor '#' lines nor fences.
+_MARKDOWN_SQL = """blocks AS (
+      SELECT conv_id::VARCHAR AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1 AS block_no, level, text
+      FROM (SELECT DISTINCT conv_id, -1 AS turn, 0 AS part, 1 AS level, 'Conversation ' || conv_id AS text FROM conversations
+            UNION ALL SELECT conv_id, turn, 0, 2, role FROM conversations
+            UNION ALL SELECT conv_id, turn, 1, 0, trim(text, chr(10) || ' ') FROM conversations))"""
+
+
+@query(f"WITH {_MARKDOWN_SQL} SELECT document_id, block_no, level, text FROM blocks")
+def conversation_blocks(spark, folder):
+    """Headings and paragraphs of Markdown."""
+    exploded = _markdown(spark, folder).select("document_id", F.posexplode(markdown_blocks(F.col("text"))).alias("block_no", "b"))
+    return exploded.select("document_id", F.col("block_no").cast("bigint").alias("block_no"), "b.level", "b.text")
+
+
+@query(
+    f"""WITH {_page_blocks_sql()}
+    SELECT 'p' || page_id || '.html' AS path, NULL::VARCHAR AS reject_reason, count(*) AS n_blocks FROM blocks GROUP BY page_id
+    UNION ALL SELECT 'd' || doc_id || CASE lang WHEN 'fr' THEN '.pdf' WHEN 'es' THEN '.exe' ELSE '.txt' END,
+      CASE lang WHEN 'fr' THEN 'no_extractor' WHEN 'es' THEN 'unsupported' END, CASE WHEN lang NOT IN ('fr', 'es') THEN 1 ELSE -1 END FROM documents"""
+)
+def extracted_documents(spark, folder):
+    """Files of several kinds through one extraction."""
+    suffix = F.when(F.col("lang") == "fr", ".pdf").when(F.col("lang") == "es", ".exe").otherwise(".txt")
+    docs = table(spark, folder, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string"), suffix).alias("path"), F.col("text").cast("binary").alias("content")
+    )
+    pages = table(spark, folder, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content")
+    )
+    extracted = extract_blocks(docs.unionByName(pages))
+    n_blocks = F.when(F.col("blocks").isNull(), -1).otherwise(F.size("blocks"))
+    return extracted.select("path", "reject_reason", n_blocks.cast("bigint").alias("n_blocks"))
+
+
+# --- chunks --------------------------------------------------------------------------------
+
+
+def _chunks_sql(limit: int, page: str = "NULL::INTEGER") -> str:
+    """CTEs from blocks(document_id, block_no, level, text) to chunks."""
+    return rf"""
+    counted AS MATERIALIZED (SELECT *, regexp_extract_all(text, '\S+\s*') AS spans, {page} AS page FROM blocks),
+    cut AS (SELECT document_id, block_no, level, page, spans, unnest(
+        CASE WHEN level = 0 AND len(spans) > {limit} THEN range(0, len(spans), {limit}) ELSE [0] END) AS start, text FROM counted),
+    pieces AS MATERIALIZED (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY block_no, start) AS pos, level, page,
+        CASE WHEN level = 0 AND len(spans) > {limit} THEN rtrim(array_to_string(spans[start + 1 : start + {limit}], ''), ' ' || chr(10)) ELSE text END AS text,
+        CASE WHEN level = 0 AND len(spans) > {limit} THEN least({limit}, len(spans) - start) ELSE len(spans) END AS tokens FROM cut),
+    packed AS (
+      SELECT document_id, pos, level, text, page, tokens AS used, CASE WHEN level = 0 THEN 0 ELSE -1 END AS chunk_no, level > 0 AS closed,
+        CASE WHEN level = 1 THEN text END AS h1, CASE WHEN level = 2 THEN text END AS h2 FROM pieces WHERE pos = 1
+      UNION ALL
+      SELECT n.document_id, n.pos, n.level, n.text, n.page,
+        CASE WHEN n.level = 0 AND NOT p.closed AND p.used + n.tokens <= {limit} THEN p.used + n.tokens ELSE n.tokens END,
+        CASE WHEN n.level > 0 OR (NOT p.closed AND p.used + n.tokens <= {limit}) THEN p.chunk_no ELSE p.chunk_no + 1 END,
+        n.level > 0,
+        CASE WHEN n.level = 1 THEN n.text ELSE p.h1 END,
+        CASE WHEN n.level = 1 THEN NULL WHEN n.level = 2 THEN n.text ELSE p.h2 END
+      FROM packed p JOIN pieces n ON n.document_id = p.document_id AND n.pos = p.pos + 1),
+    chunks AS (
+      SELECT document_id, chunk_no, document_id || '-' || chunk_no AS chunk_id, string_agg(text, chr(10) ORDER BY pos) AS text,
+        arg_min(page, pos) FILTER (page IS NOT NULL) AS page, any_value(coalesce(h2, h1)) AS heading, any_value(concat_ws(' / ', h1, h2)) AS headings
+      FROM packed WHERE level = 0 GROUP BY document_id, chunk_no)"""
+
+
+_CHUNK_COLUMNS = "chunk_id, sha256(text) AS text_hash, page, heading, headings"
+
+
+def _chunk_columns(chunks):
+    return chunks.select(
+        "chunk_id", F.sha2("text", 256).alias("text_hash"), "page", "heading", F.array_join("headings", " / ").alias("headings")
+    )
+
+
+_TEXT_BLOCKS_SQL = r"""blocks AS (SELECT doc_id::VARCHAR AS document_id, 0 AS block_no, 0 AS level,
+      regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents)"""
+
+
+@query(f"WITH RECURSIVE {_TEXT_BLOCKS_SQL}, {_chunks_sql(CHUNK)} SELECT {_CHUNK_COLUMNS} FROM chunks")
+def document_chunks(spark, folder):
+    """Plain-text documents; long ones are cut into windows."""
+    docs = spread(table(spark, folder, "documents"), "doc_id").select(
+        F.col("doc_id").cast("string").alias("document_id"), markdown_blocks(F.col("text")).alias("blocks")
+    )
+    return _chunk_columns(chunk_blocks(docs, max_tokens=CHUNK))
+
+
+@query(
+    f"WITH RECURSIVE {_MARKDOWN_SQL}, {_chunks_sql(SMALL_CHUNK, '(block_no // 3 + 1)::INTEGER')} SELECT {_CHUNK_COLUMNS} FROM chunks"
+)
+def conversation_chunks(spark, folder):
+    """Sections with nested headings, each block on a page of three blocks."""
+    docs = _markdown(spark, folder).select("document_id", markdown_blocks(F.col("text")).alias("blocks"))
+    paged = docs.withColumn(
+        "blocks",
+        F.transform(
+            "blocks",
+            lambda b, i: F.struct(b["level"].alias("level"), b["text"].alias("text"), (F.floor(i / 3) + 1).cast("int").alias("page")),
+        ),
+    )
+    return _chunk_columns(chunk_blocks(paged, max_tokens=SMALL_CHUNK))
+
+
+@query(
+    f"""WITH RECURSIVE {_page_blocks_sql().replace("blocks AS (SELECT page_id,", "blocks AS MATERIALIZED (SELECT page_id::VARCHAR AS document_id,")},
+    {_chunks_sql(CHUNK)} SELECT {_CHUNK_COLUMNS} FROM chunks"""
+)
+def page_chunks(spark, folder):
+    """Web pages: blocks under one heading packed up to the limit."""
+    pages = _pages(spark, folder).withColumn("document_id", F.col("page_id").cast("string"))
+    return _chunk_columns(chunk_blocks(pages, max_tokens=CHUNK))
+
+
+@query(rf"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_tokens FROM documents")
+def token_counts(spark, folder):
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", WORDS.count(F.col("text")).cast("bigint").alias("n_tokens"))
+
+
+@query(
+    rf"""SELECT doc_id, (start // {CHUNK})::BIGINT AS window_no,
+      sha256(rtrim(array_to_string(spans[start + 1 : start + {CHUNK}], ''), ' ' || chr(10))) AS text_hash
+    FROM (SELECT doc_id, spans, unnest(range(0, len(spans), {CHUNK})) AS start
+      FROM (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS spans FROM documents))"""
+)
+def document_windows(spark, folder):
+    windows = token_windows(spread(table(spark, folder, "documents"), "doc_id"), "doc_id", size=CHUNK)
+    return windows.select("doc_id", F.col("window_no").cast("bigint").alias("window_no"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query(
+    """SELECT doc_id, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)
+      AS document_id FROM (SELECT doc_id, md5(source || ':' || sha256(text)) AS m FROM documents)"""
+)
+def document_ids(spark, folder):
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", document_id(F.col("source"), content_hash(F.col("text"))).alias("document_id"))
+
+
+@query(
+    rf"""SELECT total_rows, total_rows > 100000 AS truncated, 100000::BIGINT AS capped_at FROM (SELECT
+      (SELECT sum((len(regexp_extract_all(text, '\S+')) + {CHUNK - 1}) // {CHUNK}) FROM documents)::BIGINT
+      + (SELECT count(DISTINCT conv_id) FROM conversations) AS total_rows)"""
+)
+def estimated_rows(spark, folder):
+    """Chunks of all documents plus all structured rows."""
+    docs = spread(table(spark, folder, "documents"), "doc_id").select(
+        F.col("doc_id").cast("string").alias("document_id"), markdown_blocks(F.col("text")).alias("blocks")
+    )
+    return estimate_rows(chunk_blocks(docs, max_tokens=CHUNK), table(spark, folder, "conversations").select("conv_id").distinct())
+
+
+@query(
+    r"""WITH opening AS (SELECT source, doc_id, left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 8000) AS t FROM documents),
+    before AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+      FROM opening WHERE t <> '')
+    SELECT source, sha256(string_agg(left(t, (8000 - b)::BIGINT), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS sample_hash,
+      sum(least(length(t), 8000 - b))::BIGINT AS n_chars
+    FROM before WHERE b < 8000 GROUP BY source"""
+)
+def project_samples(spark, folder):
+    """The opening 8000 characters of each project."""
+    docs = table(spark, folder, "documents").select("source", F.col("doc_id").alias("ord"), "text")
+    return sample_text(docs, "source").select("source", F.sha2("sample", 256).alias("sample_hash"), "n_chars")
+
+
+# --- extraction cache --------------------------------------------------------------------------
+
+
+def _cache(spark, folder):
+    """Stored extractions: every https page remotely, every page with a query
+    string locally, every page without one as a fallback."""
+    pages = table(spark, folder, "pages").select("url", content_hash(F.col("html")).alias("source_hash"))
+    version = F.when(F.contains("url", F.lit("/en/")), F.lit("v1")).otherwise(F.lit("v2"))
+    has_query = F.contains("url", F.lit("?"))
+    variants = (
+        pages.where(F.col("url").startswith("https:")).withColumn("variant", F.lit("remote")),
+        pages.where(has_query).withColumn("variant", F.lit("local")),
+        pages.where(~has_query).withColumn("variant", F.lit("fallback")),
+    )
+    stored = variants[0].unionByName(variants[1]).unionByName(variants[2])
+    return stored.select("source_hash", version.alias("extractor_version"), "variant").distinct()
+
+
+_CACHE_SQL = """
+    hashed AS (SELECT url, sha256(html) AS source_hash, CASE WHEN contains(url, '/en/') THEN 'v1' ELSE 'v2' END AS extractor_version FROM pages),
+    cache AS (
+      SELECT DISTINCT source_hash, extractor_version, 'remote' AS variant, 0 AS rank FROM hashed WHERE starts_with(url, 'https:')
+      UNION SELECT source_hash, extractor_version, 'local', 1 FROM hashed WHERE contains(url, '?')
+      UNION SELECT source_hash, extractor_version, 'fallback', 2 FROM hashed WHERE NOT contains(url, '?'))"""
+
+
+@query(
+    f"WITH {_CACHE_SQL} SELECT source_hash, extractor_version, arg_min(variant, rank) AS variant FROM cache GROUP BY source_hash, extractor_version"
+)
+def preferred_extractions(spark, folder):
+    return best_variant(_cache(spark, folder), "remote_failed")
+
+
+@query(
+    f"""WITH {_CACHE_SQL} SELECT DISTINCT source_hash FROM hashed
+    WHERE source_hash NOT IN (SELECT source_hash FROM cache WHERE extractor_version = 'v1' AND variant <> 'fallback')"""
+)
+def missing_extractions(spark, folder):
+    """Pages a remote run with extractor v1 still has to extract."""
+    pages = table(spark, folder, "pages").select(content_hash(F.col("html")).alias("source_hash")).distinct()
+    return missing(pages, _cache(spark, folder), "v1", "remote")

@@ -171,14 +171,13 @@ def decided_sql(base: str = "documents", scope: str = "", max_tokens: int = MAX_
     """CTEs ending in decided(doc_id, reject_reason) for the rows of ``base``."""
     keys = f"{scope}, {HASH_SQL}" if scope else HASH_SQL
     return rf"""
-    fitting AS (SELECT * FROM {base} WHERE len(regexp_extract_all(text, '\S+')) <= {max_tokens} AND regexp_matches(text, '\S')),
-    firsts AS (SELECT * FROM fitting QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY doc_id) = 1),
+    fitting AS MATERIALIZED (SELECT * FROM {base} WHERE len(regexp_extract_all(text, '\S+')) <= {max_tokens} AND regexp_matches(text, '\S')),
+    firsts AS MATERIALIZED (SELECT * FROM fitting QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY doc_id) = 1),
     {near_sql('firsts', scope or "''")},
-    decided AS (
-      SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM fitting) THEN 'structural'
-        WHEN doc_id NOT IN (SELECT doc_id FROM firsts) THEN 'exact_duplicate'
-        WHEN doc_id IN (SELECT doc_id FROM near) THEN 'near_duplicate' END AS reject_reason
-      FROM {base})"""
+    decided AS MATERIALIZED (
+      SELECT {base}.doc_id, CASE WHEN fitting.doc_id IS NULL THEN 'structural' WHEN firsts.doc_id IS NULL THEN 'exact_duplicate'
+        WHEN near.doc_id IS NOT NULL THEN 'near_duplicate' END AS reject_reason
+      FROM {base} LEFT JOIN fitting USING (doc_id) LEFT JOIN firsts USING (doc_id) LEFT JOIN near USING (doc_id))"""
 
 
 @query(f"WITH RECURSIVE {decided_sql()} SELECT doc_id, sha256(text) AS text_hash FROM documents JOIN decided USING (doc_id) WHERE reject_reason IS NULL")
