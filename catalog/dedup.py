@@ -31,18 +31,18 @@ def near_sql(base: str, scope: str = "''") -> str:
     draws(i, a, b) AS (VALUES {draws}),
     tokens AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\S+'))) AS w FROM {base}),
     vocabulary AS MATERIALIZED (SELECT w, {value} AS v FROM (SELECT DISTINCT w, sha1(w) AS h FROM tokens)),
-    permuted AS (
-      SELECT w, i, ((((v::UHUGEINT * a::UHUGEINT + b::UHUGEINT) % 18446744073709551616::UHUGEINT)
-                    % {PRIME}::UHUGEINT) & {MAX_HASH}::UHUGEINT)::UBIGINT AS p
-      FROM vocabulary CROSS JOIN draws),
+    products AS (
+      SELECT w, i, (v::HUGEINT * a::HUGEINT + b::HUGEINT) & {2**64 - 1}::HUGEINT AS x FROM vocabulary CROSS JOIN draws),
+    folded AS (SELECT w, i, (x & {PRIME}::HUGEINT) + (x >> 61::HUGEINT) AS y FROM products),
+    permuted AS MATERIALIZED (
+      SELECT w, i, ((CASE WHEN y >= {PRIME}::HUGEINT THEN y - {PRIME}::HUGEINT ELSE y END) & {MAX_HASH}::HUGEINT)::UBIGINT AS p FROM folded),
     signature AS MATERIALIZED (SELECT doc_id, i, min(p) AS m FROM tokens JOIN permuted USING (w) GROUP BY doc_id, i),
     bands AS MATERIALIZED (
       SELECT doc_id, i // {rows} AS band, string_agg(m::VARCHAR, ',' ORDER BY i) AS k
       FROM signature WHERE i < {bands * rows} GROUP BY doc_id, i // {rows}),
-    scoped AS (SELECT bands.*, {scope} AS s FROM bands JOIN {base} USING (doc_id)),
+    scoped AS MATERIALIZED (SELECT doc_id, md5(concat_ws('|', {scope}, band, k)) AS bucket FROM bands JOIN {base} USING (doc_id)),
     edges AS MATERIALIZED (
-      SELECT DISTINCT x.doc_id AS lo, y.doc_id AS hi FROM scoped x JOIN scoped y
-      ON x.band = y.band AND x.k = y.k AND x.s = y.s AND x.doc_id < y.doc_id),
+      SELECT DISTINCT x.doc_id AS lo, y.doc_id AS hi FROM scoped x JOIN scoped y USING (bucket) WHERE x.doc_id < y.doc_id),
     rounds(round, doc_id, status) AS (
       SELECT 0, doc_id, 'u' FROM (SELECT lo AS doc_id FROM edges UNION SELECT hi FROM edges)
       UNION ALL
