@@ -117,7 +117,7 @@ QUOTE_SQL = r"regexp_extract(text, '[^.\n]*\.')"
 
 def quote_of(text):
     """The first sentence that ends on its line."""
-    return F.regexp_extract(text, r"[^.\n]*\.", 0)
+    return F.regexp_extract(text, r"(?m)^[^.\n]*\.", 0)
 
 
 def attempts(spark, folder):

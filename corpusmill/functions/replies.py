@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import has_text
+from corpusmill.functions.text import has_text, let
 
 # The goals a reply may choose and the objective of each.
 OBJECTIVE_BY_GOAL = {
@@ -21,26 +21,32 @@ def json_type(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def _string(value: Column) -> Column:
+    return F.when(json_type(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def string_at(document: Column, field: str) -> Column:
     """A top-level field of a VARIANT, only if it is a JSON string."""
-    value = F.try_variant_get(document, f"$['{field}']", "variant")
-    return F.when(json_type(value) == "STRING", F.try_variant_get(document, f"$['{field}']", "string"))
+    return let(F.try_variant_get(document, f"$['{field}']", "variant"), _string)
 
 
 def _object(text: Column) -> Column:
-    parsed = F.try_parse_json(text)
-    return F.when(json_type(parsed).startswith("OBJECT"), parsed)
+    return let(F.try_parse_json(text), lambda parsed: F.when(json_type(parsed).startswith("OBJECT"), parsed))
 
 
 def qa_candidate(content: Column) -> Column:
     """STRUCT<question, answer, supporting_quote> when the whole reply is a JSON
     object whose three fields are non-blank strings, else null."""
-    document = _object(content)
-    fields = {name: string_at(document, name) for name in ("question", "answer", "supporting_quote")}
-    complete = F.lit(True)
-    for value in fields.values():
-        complete = complete & has_text(value)
-    return F.when(complete, F.struct(*[value.alias(name) for name, value in fields.items()]))
+    names = ("question", "answer", "supporting_quote")
+
+    def complete(fields: Column) -> Column:
+        filled = has_text(fields[names[0]]) & has_text(fields[names[1]]) & has_text(fields[names[2]])
+        return F.when(filled, fields)
+
+    def read(document: Column) -> Column:
+        return let(F.struct(*[string_at(document, name).alias(name) for name in names]), complete)
+
+    return let(_object(content), read)
 
 
 def lenient_object(content: Column) -> Column:
@@ -52,32 +58,33 @@ def lenient_object(content: Column) -> Column:
 
 def number_at(document: Column, field: str) -> Column:
     """A field as DOUBLE: a number, a number in a string, or a boolean."""
-    value = F.try_variant_get(document, f"$['{field}']", "variant")
-    as_text = F.trim(F.try_variant_get(document, f"$['{field}']", "string"))
-    return F.when(json_type(value) == "STRING", as_text.try_cast("double")).otherwise(
-        F.try_variant_get(document, f"$['{field}']", "double")
-    )
+
+    def read(value: Column) -> Column:
+        in_text = F.trim(F.try_variant_get(value, "$", "string")).try_cast("double")
+        return F.when(json_type(value) == "STRING", in_text).otherwise(F.try_variant_get(value, "$", "double"))
+
+    return let(F.try_variant_get(document, f"$['{field}']", "variant"), read)
 
 
 def score(content: Column, field: str = "score") -> Column:
     """The score in a judge's reply, or null when it cannot be read."""
-    return number_at(lenient_object(content), field)
+    return let(lenient_object(content), lambda document: number_at(document, field))
 
 
 def goal_choice(content: Column) -> Column:
     """STRUCT<goal, rationale, desired_behavior> of a valid goal reply, else null."""
-    document = _object(content)
-    goal = string_at(document, "goal")
-    rationale = F.try_variant_get(document, "$.rationale", "variant")
-    behavior = F.try_variant_get(document, "$.desired_behavior", "variant")
-    text_of = lambda name: F.coalesce(
-        F.try_variant_get(document, f"$.{name}", "string"), F.lit("None")
-    )
-    return F.when(
-        goal.isin(*OBJECTIVE_BY_GOAL) & rationale.isNotNull() & behavior.isNotNull(),
-        F.struct(
-            goal.alias("goal"),
-            text_of("rationale").alias("rationale"),
-            text_of("desired_behavior").alias("desired_behavior"),
-        ),
-    )
+
+    def read(document: Column) -> Column:
+        text = lambda name: F.when(
+            F.try_variant_get(document, f"$.{name}", "variant").isNotNull(),
+            F.coalesce(F.try_variant_get(document, f"$.{name}", "string"), F.lit("None")),
+        )
+        fields = F.struct(
+            string_at(document, "goal").alias("goal"),
+            text("rationale").alias("rationale"),
+            text("desired_behavior").alias("desired_behavior"),
+        )
+        valid = lambda f: f["goal"].isin(*OBJECTIVE_BY_GOAL) & f["rationale"].isNotNull() & f["desired_behavior"].isNotNull()
+        return let(fields, lambda f: F.when(valid(f), f))
+
+    return let(_object(content), read)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,19 @@ WS_CLASS = r"\s\x1c-\x1f\x85\p{Z}"
 WS = f"[{WS_CLASS}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often body uses it.
+
+    Large expressions over a parsed document would otherwise be multiplied by
+    every projection and pushed-down filter that mentions them.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(text, f"^{WS}|{WS}$", "")
+    # The look-behind makes a long run of spaces be tried once, not per space.
+    return F.regexp_replace(text, rf"\A{WS}|(?<![{WS_CLASS}]){WS}\z", "")
 
 
 def is_blank(text: Column) -> Column:

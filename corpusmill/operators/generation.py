@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import prompts
 from corpusmill.functions.records import CPT, DPO, ITEM_BITS, SFT_CONVERSATION, SFT_PAIR, as_records, message, metadata
 from corpusmill.functions.replies import goal_choice, qa_candidate, score
+from corpusmill.functions.text import let
 from corpusmill.session import materialize
 
 # Attempts after the first, candidate answers and least score gap
@@ -153,11 +154,9 @@ def qa_candidates(asked: DataFrame, responses: DataFrame) -> DataFrame:
     ``asked`` has ``request_id`` and the chunk's ``text``.  Both sides meet on
     the unique request id, so the join is even.
     """
-    joined = asked.join(responses.select("request_id", "content"), "request_id", "left").withColumn(
-        "candidate", qa_candidate(F.col("content"))
-    )
-    quote = F.col("candidate.supporting_quote")
-    return joined.withColumn("candidate", F.when(grounded(F.col("text"), quote), F.col("candidate"))).drop("content")
+    joined = asked.join(responses.select("request_id", "content"), "request_id", "left")
+    candidate = let(qa_candidate(F.col("content")), lambda c: F.when(grounded(F.col("text"), c["supporting_quote"]), c))
+    return joined.withColumn("candidate", candidate).drop("content")
 
 
 def first_valid(attempts: DataFrame, valid: Column, *unit: str) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import prompts
 from corpusmill.functions.records import DPO
 from corpusmill.functions.replies import lenient_object, number_at, score
+from corpusmill.functions.text import let
 
 # Least score of a good example, least lead of a preferred answer.
 QUALITY_THRESHOLD = 6.0
@@ -16,17 +17,23 @@ PREFERENCE_MARGIN = 1.0
 
 def quality_verdict(content: Column, threshold: float = QUALITY_THRESHOLD) -> Column:
     """Reject reason of a quality reply, null when the record passes."""
-    value = score(content)
-    return F.when(value.isNull(), F.lit("judging_error")).when(
-        ~(value >= threshold), F.lit("quality_judged_insufficient")
+    return let(
+        score(content),
+        lambda value: F.when(value.isNull(), F.lit("judging_error")).when(
+            ~(value >= threshold), F.lit("quality_judged_insufficient")
+        ),
     )
 
 
 def preference_verdict(content: Column, margin: float = PREFERENCE_MARGIN) -> Column:
     """Reject reason of a preference reply, null when 'chosen' is confirmed."""
-    document = lenient_object(content)
-    lead = number_at(document, "score_a") - number_at(document, "score_b")
-    return F.when(lead.isNull(), F.lit("judging_error")).when(~(lead >= margin), F.lit("dpo_preference_not_confirmed"))
+    lead = let(lenient_object(content), lambda reply: number_at(reply, "score_a") - number_at(reply, "score_b"))
+    return let(
+        lead,
+        lambda value: F.when(value.isNull(), F.lit("judging_error")).when(
+            ~(value >= margin), F.lit("dpo_preference_not_confirmed")
+        ),
+    )
 
 
 def judge_requests(records: DataFrame) -> DataFrame:
