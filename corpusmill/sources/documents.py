@@ -37,8 +37,20 @@ _OPEN, _SEP = "\u0001", "\u0002"
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length, modificationTime); file contents are not read."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    """(path, length, modificationTime); file contents are not read.
+
+    A scan passes over files of no bytes, so those are taken from the file
+    index, which has the names of all.
+    """
+    one_form = lambda name: F.regexp_replace(name, "^([A-Za-z0-9]+):/+", "$1:/")
+    files = spark.read.format("binaryFile").load(path)
+    scanned = files.select("path", "length", "modificationTime", one_form(F.col("_metadata.file_path")).alias("_name"))
+    indexed = spark.createDataFrame([(name,) for name in files.inputFiles()], "_name string")
+    empty = indexed.select(one_form(F.col("_name")).alias("_name")).join(scanned.select("_name"), "_name", "left_anti")
+    decoded = F.url_decode(F.replace("_name", F.lit("+"), F.lit("%2B")))
+    return scanned.drop("_name").unionByName(
+        empty.select(decoded.alias("path"), F.lit(0).cast("bigint").alias("length")), allowMissingColumns=True
+    )
 
 
 def admission(path: Column, length: Column) -> Column:
