@@ -254,29 +254,37 @@ def _qa_wave(ask: Ask):
 
 
 def _preference_wave(ask: Ask, judge: Ask, n: int, margin: float):
+    """One attempt at a pair: a question, ``n`` answers to it, a score for each.
+
+    A chunk's text is kept once per attempt and meets its draws on the unit;
+    what is joined to it and written between the steps is narrow.
+    """
+
     def once(units: DataFrame, attempt: int) -> DataFrame:
-        questions = materialize(
-            _qa_wave(ask)(units, attempt).withColumn("question", F.col("candidate.question")).drop("candidate"), "questions"
-        )
-        drawn = qa_requests(
-            questions.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))), attempt, F.col("draw")
-        )
+        asked = _qa_wave(ask)(units, attempt).withColumn("question", F.col("candidate.question")).drop("candidate")
+        questions = materialize(asked, "questions")
+        draws = F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")
+        drawn = qa_requests(questions.select("*", draws), attempt, F.col("draw"))
         responses = ask(drawn.select("request_id", F.lit("qa").alias("kind"), "messages"))
-        candidates = qa_candidates(drawn.drop("messages"), responses).withColumn("answer", F.col("candidate.answer"))
+        replies = drawn.select(*_UNIT, "draw", "request_id").join(responses, "request_id")
+        answers = questions.join(replies.select(*_UNIT, "draw", qa_candidate(F.col("content")).alias("candidate")), [*_UNIT])
         candidates = materialize(
-            candidates.where("answer IS NOT NULL").select(
+            answers.where(grounded(F.col("text"), F.col("candidate.supporting_quote"))).select(
                 *_UNIT,
                 "draw",
-                "answer",
+                F.col("candidate.answer").alias("answer"),
                 request_id("score", *_UNIT, F.lit(attempt), F.col("draw")).alias("request_id"),
-                prompts.candidate_score(F.col("text"), F.col("question"), F.col("answer")).alias("messages"),
             ),
             "candidates",
         )
-        replies = judge(candidates.select("request_id", F.lit("score").alias("kind"), "messages"))
-        scored = candidates.join(replies, "request_id", "left").withColumn("score", score(F.col("content")))
+        to_score = questions.join(candidates, [*_UNIT]).select(
+            "request_id",
+            F.lit("score").alias("kind"),
+            prompts.candidate_score(F.col("text"), F.col("question"), F.col("answer")).alias("messages"),
+        )
+        scored = candidates.join(judge(to_score), "request_id", "left").withColumn("score", score(F.col("content")))
         pairs = select_pairs(scored, *_UNIT, n=n, margin=margin)
-        return questions.join(pairs.select(*_UNIT, "best_answer", "worst_answer"), [*_UNIT])
+        return questions.drop("text").join(pairs.select(*_UNIT, "best_answer", "worst_answer"), [*_UNIT])
 
     return once
 

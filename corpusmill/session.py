@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,9 +28,22 @@ def local_session(cores: str = "*", app: str = "corpusmill", **conf: str) -> Spa
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession, package: str = "corpusmill") -> None:
+    """Give Python workers a package of this repository, wherever they start;
+    the same as submitting it with --py-files.  Done once per application."""
+    context = spark.sparkContext
+    shipped = context.__dict__.setdefault("_corpusmill_shipped", set())
+    if package not in shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="corpusmill-"), package)
+        context.addPyFile(shutil.make_archive(target, "zip", root, package))
+        shipped.add(package)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
