@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import cpt_documents, doc_of, query
-from corpusmill.functions.minhash import MAX_HASH, NUM_PERM, PRIME, band_shape, permutations
+from corpusmill.functions.minhash import MAX_HASH, NUM_PERM, PRIME, band_shape, permutations, signatures_of
+from corpusmill.functions.text import normalized_hash
 from corpusmill.operators.dedup import drop_exact_duplicates, drop_near_duplicates, exact_first, near_duplicates
 from corpusmill.session import spread
 
@@ -59,8 +60,7 @@ def near_sql(base: str, scope: str = "''") -> str:
 @query(f"SELECT doc_id, {HASH_SQL} AS text_hash FROM ({first_copies_sql('documents')})")
 def exact_dedup(spark, folder):
     kept = drop_exact_duplicates(cpt_documents(spark, folder))
-    firsts = exact_first(cpt_documents(spark, folder)).select("ord", "text_hash")
-    return kept.join(firsts, "ord").select(doc_of(F.col("ord")).alias("doc_id"), "text_hash")
+    return kept.select(doc_of(F.col("ord")).alias("doc_id"), normalized_hash(F.col("text")).alias("text_hash"))
 
 
 @query(f"SELECT doc_id, source FROM ({first_copies_sql('documents', 'source')})")
@@ -109,8 +109,6 @@ def near_dedup_by_source(spark, folder):
     "SELECT doc_id, band::INTEGER AS band, md5(k) AS band_key FROM bands"
 )
 def minhash_bands(spark, folder):
-    from corpusmill.functions.minhash import signatures_of
-
     bands, rows = band_shape()
     signed = spread(cpt_documents(spark, folder), "ord").select("ord", signatures_of(F.col("text")).alias("signature"))
     return signed.select(
