@@ -73,7 +73,7 @@ def _page_blocks_sql() -> str:
       FROM filled LEFT JOIN opened USING (page_id) WHERE first_heading IS NULL OR pos >= first_heading)"""
 
 
-def _pages(spark, folder):
+def page_table(spark, folder):
     pages = spread(table(spark, folder, "pages"), "page_id")
     return unescape_blocks(pages.select("page_id", html_blocks(F.col("html")).alias("blocks")))
 
@@ -81,7 +81,7 @@ def _pages(spark, folder):
 @query(f"WITH {_page_blocks_sql()} SELECT page_id, block_no, level, text FROM blocks")
 def page_blocks(spark, folder):
     """Headings and text blocks of web pages."""
-    exploded = _pages(spark, folder).select("page_id", F.posexplode("blocks").alias("block_no", "b"))
+    exploded = page_table(spark, folder).select("page_id", F.posexplode("blocks").alias("block_no", "b"))
     return exploded.select("page_id", F.col("block_no").cast("bigint").alias("block_no"), "b.level", "b.text")
 
 
@@ -197,13 +197,14 @@ def conversation_chunks(spark, folder):
     return _chunk_columns(chunk_blocks(paged, max_tokens=SMALL_CHUNK))
 
 
-@query(
-    f"""WITH RECURSIVE {_page_blocks_sql().replace("blocks AS (SELECT page_id,", "blocks AS MATERIALIZED (SELECT page_id::VARCHAR AS document_id,")},
-    {_chunks_sql(CHUNK)} SELECT {_CHUNK_COLUMNS} FROM chunks"""
-)
+PAGE_CHUNKS_SQL = f"""{_page_blocks_sql().replace("blocks AS (SELECT page_id,", "blocks AS MATERIALIZED (SELECT page_id::VARCHAR AS document_id,")},
+    {_chunks_sql(CHUNK)}"""
+
+
+@query(f"WITH RECURSIVE {PAGE_CHUNKS_SQL} SELECT {_CHUNK_COLUMNS} FROM chunks")
 def page_chunks(spark, folder):
     """Web pages: blocks under one heading packed up to the limit."""
-    pages = _pages(spark, folder).withColumn("document_id", F.col("page_id").cast("string"))
+    pages = page_table(spark, folder).withColumn("document_id", F.col("page_id").cast("string"))
     return _chunk_columns(chunk_blocks(pages, max_tokens=CHUNK))
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.dedup import HASH_SQL
+from catalog.documents import PAGE_CHUNKS_SQL, page_table
 from catalog.registry import cpt_documents, doc_of, document_metadata, query, table
 from catalog.validation import MAX_TOKENS, decided_sql
 from corpusmill.functions.records import CPT, as_records, position
 from corpusmill.functions.text import normalized_hash
+from corpusmill.operators.chunking import as_sources, chunk_blocks
+from corpusmill.operators.generation import generate
 from corpusmill.operators.structure import flag_structure
-from corpusmill.plans.run import assemble_run, first_in_order, target_rows, unprocessed
+from corpusmill.plans.run import assemble_run, first_in_order, generate_to_target, target_rows, unprocessed
 from corpusmill.plans.validation import validate
-from corpusmill.session import scratch_path, spread
+from corpusmill.session import materialize, scratch_path, spread
 from corpusmill.streaming.incremental import dedup_stream, process_stream, read_stream
 
 TARGET = 500
@@ -96,6 +99,41 @@ def assembled_run(spark, folder):
     return run.select("part", doc_of(F.col("ord")).alias("doc_id"))
 
 
+@query(f"SELECT doc_id FROM documents WHERE {_FITS} ORDER BY doc_id LIMIT {_TARGET_SQL}")
+def targeted_run(spark, folder):
+    """Chunks in waves until the target is met; the last wave is not started."""
+    docs = table(spark, folder, "documents")
+    n = docs.count()
+    chunks = docs.select(position(F.col("doc_id")).alias("ord"), "doc_id", "text", "source")
+
+    def produce(batch):
+        records = as_records(batch, CPT, ord=F.col("ord"), text=F.col("text"), metadata=document_metadata())
+        return flag_structure(records, MAX_TOKENS).where("reject_reason IS NULL").drop("reject_reason")
+
+    run = generate_to_target(chunks, produce, scratch_path(spark, "runs"), "r1", target=3 * n // 4, wave=n // 6 + 1)
+    return run.select(doc_of(F.col("ord")).alias("doc_id"))
+
+
+@query(
+    f"""WITH RECURSIVE {PAGE_CHUNKS_SQL},
+    records AS MATERIALIZED (SELECT document_id::BIGINT * 1000000 + chunk_no AS doc_id, chunk_id, text FROM chunks),
+    {decided_sql('records')}
+    SELECT chunk_id, sha256(text) AS text_hash, reject_reason FROM records JOIN decided USING (doc_id)"""
+)
+def page_records(spark, folder):
+    """Web pages all the way: extract, chunk, make text records, validate.
+
+    The records are written before they are validated, which reads them twice.
+    """
+    pages = page_table(spark, folder).select(
+        "page_id", F.col("page_id").cast("string").alias("document_id"), F.lit("page").alias("source_name"), F.lit("h").alias("source_hash"), "blocks"
+    )
+    chunks = as_sources(chunk_blocks(pages, "page_id", "source_name", "source_hash"), "page_id")
+    records, _ = generate(chunks, CPT)
+    result = validate(materialize(records, "records"), max_tokens=MAX_TOKENS)
+    return result.decided.select("metadata.chunk_id", F.sha2("text", 256).alias("text_hash"), "reject_reason")
+
+
 # --- resuming and streams ---------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.chunking import MAX_ACCEPTED_ROWS
@@ -76,6 +77,55 @@ def assemble_run(
     return read_run(spark, folder, run_id)
 
 
+def generate_to_target(
+    sources: DataFrame,
+    produce: Callable[[DataFrame], DataFrame],
+    folder: str,
+    run_id: str,
+    target: int | None,
+    wave: int,
+) -> DataFrame:
+    """Work through ``sources`` in order, ``wave`` chunks at a time, and stop as
+    soon as ``target`` accepted records are written, so that no model is asked
+    for chunks that are not needed.
+
+    ``produce`` turns chunks into accepted records.  Every wave is one part of
+    the run, followed by its checkpoint (last chunk, accepted rows).  A resumed
+    run goes on behind the last checkpoint and replaces a wave that was written
+    without one, so nothing is appended twice.
+    """
+    spark = sources.sparkSession
+    ledger = f"{folder}/checkpoints/run_id={run_id}"
+    done = _checkpoints(spark, ledger)
+    number, last, total = len(done), max((c.last_ord for c in done), default=None), sum(c.accepted for c in done)
+    while target is None or total < target:
+        rest = sources if last is None else sources.where(F.col("ord") > last)
+        chunks = first_in_order(rest, wave)
+        upper = chunks.agg(F.max("ord").alias("ord")).first().ord
+        if upper is None:
+            break
+        part = f"generated-{number:06d}"
+        write_run(first_in_order(produce(chunks), None if target is None else target - total), folder, run_id, part)
+        accepted = read_run(spark, folder, run_id).where(F.col("part") == part).count()
+        row = spark.createDataFrame([(number, upper, accepted)], _CHECKPOINT)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/wave={number}")
+        number, last, total = number + 1, upper, total + accepted
+    return read_run(spark, folder, run_id)
+
+
+_CHECKPOINT = "sequence bigint, last_ord bigint, accepted bigint"
+
+
+def _checkpoints(spark: SparkSession, ledger: str) -> list:
+    """The checkpoints of a run, a row per wave; none for a new run."""
+    try:
+        return spark.read.schema(_CHECKPOINT).parquet(ledger).collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def unprocessed(chunks: DataFrame, done: DataFrame) -> DataFrame:
     """Chunks a resumed run still has to do; ``done`` lists attempted chunk ids."""
     return chunks.join(done.select("chunk_id"), "chunk_id", "left_anti")

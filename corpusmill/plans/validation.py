@@ -101,7 +101,9 @@ def validate(
     ``judge`` maps request rows to (request_id, content) rows.  Preference pairs
     always need it; say ``has_dpo`` when ``records`` holds any.  Other kinds are
     judged only with ``judge_all``.  ``scope`` columns limit where duplicates
-    are looked for; the default is the whole input.
+    are looked for; the default is the whole input.  ``records`` is read twice
+    (keys, then the records themselves), so pass a written table when it is
+    costly to compute.
     """
     if has_dpo and judge is None:
         raise ValueError("preference pairs cannot be validated without a judge")

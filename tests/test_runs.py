@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill import session
 from corpusmill.functions.records import CPT, SFT_PAIR, as_records, metadata, position
 from corpusmill.operators.structure import flag_structure
-from corpusmill.plans.run import assemble_run, first_in_order, merge_structured, target_rows, unprocessed
+from corpusmill.plans.run import assemble_run, first_in_order, generate_to_target, merge_structured, target_rows, unprocessed
 from corpusmill.plans.validation import Validation
 from corpusmill.sources import records_io as IO
 from corpusmill.streaming.incremental import dedup_stream, process_stream, read_stream
@@ -45,6 +45,25 @@ def test_running_again_changes_nothing(spark, tmp_path):
         assert sorted((r.part, r.text) for r in run.collect()) == [("generated", "a"), ("generated", "b"), ("normalized", "c")]
 
 
+def test_waves_stop_at_the_target_and_resume_behind_the_last_checkpoint(spark, tmp_path):
+    chunks = texts(spark, ["a", " ", "b", "c", "d", "e", "f"]).drop("scope")
+    seen, fail = [], {"after": 1}
+
+    def produce(batch):
+        if len(seen) == fail["after"]:
+            fail["after"] = -1
+            raise RuntimeError("lost")
+        seen.append(numbers(batch))
+        return shape_only(batch).accepted
+
+    run = lambda: generate_to_target(chunks, produce, str(tmp_path), "r", target=4, wave=2)
+    with pytest.raises(RuntimeError):
+        run()
+    assert sorted(r.text for r in run().collect()) == ["a", "b", "c", "d"]
+    assert seen == [[0, 1], [2, 3], [4, 5]]
+    assert sorted(r.text for r in run().collect()) == ["a", "b", "c", "d"] and len(seen) == 3
+
+
 def test_resume_skips_done_chunks(spark):
     chunks = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
     assert [r.chunk_id for r in unprocessed(chunks, chunks.where("chunk_id = 'a'")).collect()] == ["b"]
