@@ -15,6 +15,10 @@ OBJECTIVE_BY_GOAL = {
     "preference_alignment": "dpo",
 }
 
+# Patterns of a reasoning block and of a JSON object in a reply.
+THINKING = r"(?is)<think>.*?</think>"
+OBJECT = r"(?s)\{.*\}"
+
 
 def json_type(value: Column) -> Column:
     """Type name of a VARIANT ('STRING', 'BIGINT', 'OBJECT<...>', ...)."""
@@ -52,8 +56,8 @@ def qa_candidate(content: Column) -> Column:
 def lenient_object(content: Column) -> Column:
     """The JSON object between the first '{' and the last '}' of a reply, after
     removing <think> blocks; null when there is none."""
-    spoken = F.regexp_replace(content, r"(?is)<think>.*?</think>", "")
-    return _object(F.nullif(F.regexp_extract(spoken, r"(?s)\{.*\}", 0), F.lit("")))
+    spoken = F.regexp_replace(content, THINKING, "")
+    return _object(F.nullif(F.regexp_extract(spoken, OBJECT, 0), F.lit("")))
 
 
 def number_at(document: Column, field: str) -> Column:

@@ -22,6 +22,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fail_unless(condition: Column, message: Column) -> Column:
+    """A filter that lets every row pass and fails the job where the condition
+    does not hold.  As a filter it is evaluated whatever columns are used later."""
+    return F.when(condition, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode whitespace."""
     # The look-behind makes a long run of spaces be tried once, not per space.

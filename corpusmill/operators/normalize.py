@@ -25,7 +25,7 @@ from corpusmill.functions.records import (
     roles_alternate,
 )
 from corpusmill.functions.replies import OBJECTIVE_BY_GOAL, json_type
-from corpusmill.functions.text import has_text, strip
+from corpusmill.functions.text import fail_unless, has_text, strip
 
 # Senders of shared conversations and the role of each; the record
 # kind of each detectable shape; the record kind of each objective.
@@ -166,8 +166,7 @@ def normalize_rows(df: DataFrame, shape: str, *keep: str, mode: str = "quarantin
     if mode == "quarantine":
         return records
     bad = F.concat(F.lit("row "), F.coalesce("metadata.row_id", F.lit("?")), F.lit(": "), F.col("reject_reason"))
-    checked = F.when(F.col("reject_reason").isNull(), F.col("ord")).otherwise(F.raise_error(bad).cast("bigint"))
-    return records.withColumn("ord", checked).drop("reject_reason")
+    return records.where(fail_unless(F.col("reject_reason").isNull(), bad)).drop("reject_reason")
 
 
 def route_sources(sources: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:

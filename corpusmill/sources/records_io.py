@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.records import EXPORT_COLUMNS, RECORD_FIELDS
+from corpusmill.functions.text import fail_unless
 
 
 
@@ -23,9 +24,7 @@ def load_jsonl(spark: SparkSession, path: str, kind: str) -> DataFrame:
     rows = spark.read.schema(_schema(kind)).option("mode", "FAILFAST").json(path)
     required = [*EXPORT_COLUMNS[kind], "metadata.document_id", "metadata.source_name", "metadata.source_hash"]
     for name in required:
-        top = name.split(".")[0]
-        broken = F.raise_error(F.lit(f"a record has no {name}")).cast(rows.schema[top].dataType)
-        rows = rows.withColumn(top, F.when(F.col(name).isNotNull(), F.col(top)).otherwise(broken))
+        rows = rows.where(fail_unless(F.col(name).isNotNull(), F.lit(f"a record has no {name}")))
     return rows
 
 

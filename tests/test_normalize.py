@@ -81,6 +81,8 @@ def test_provenance_and_strict_mode(spark):
     assert (record.metadata.source_kind, record.metadata.row_id, record.metadata.chunk_id) == ("structured", "0", None)
     with pytest.raises(Exception, match="row 1: empty_text"):
         normalize_rows(rows(spark, {"text": "x"}, {"text": ""}), "text", mode="strict").collect()
+    with pytest.raises(Exception, match="row 1: empty_text"):
+        normalize_rows(rows(spark, {"text": "x"}, {"text": ""}), "text", mode="strict").count()
 
 
 def test_a_preview_ignores_later_bad_rows(spark):

@@ -104,6 +104,9 @@ def test_loading_fails_on_bad_lines(spark, tmp_path):
     good = json.dumps({"text": "x", "metadata": {"document_id": "d", "source_name": "n", "source_hash": "h"}})
     (tmp_path / "ok.jsonl").write_text(good + "\n\n" + good + "\n")
     assert IO.load_jsonl(spark, str(tmp_path / "ok.jsonl"), CPT).count() == 2
+    (tmp_path / "no_text.jsonl").write_text('{"metadata": {"document_id": "d", "source_name": "n", "source_hash": "h"}}')
+    with pytest.raises(Exception, match="no text"):
+        IO.load_jsonl(spark, str(tmp_path / "no_text.jsonl"), CPT).select("metadata").collect()
     for n, bad in enumerate(["{not json", '{"text": "x"}', '{"metadata": {"document_id": "d", "source_name": "n", "source_hash": "h"}}']):
         (tmp_path / f"bad{n}.jsonl").write_text(good + "\n" + bad + "\n")
         with pytest.raises(Exception):
