@@ -15,6 +15,10 @@ from corpusmill.session import materialize
 # Memberships that one task may fold in memory (about 50 bytes each).
 FINISH_LIMIT = 200_000
 
+# Memberships from which a bucket counts as hot.  There are at most
+# memberships / HOT_BUCKET hot buckets, which bounds their broadcast.
+HOT_BUCKET = 1_000_000
+
 
 def exact_first(records: DataFrame, scope: Sequence[str] = (), text: str = "text") -> DataFrame:
     """One row (*scope, text_hash, ord, copies) per distinct normalized text.
@@ -50,12 +54,28 @@ def near_duplicates(
     return resolve_first_wins(bucket_memberships(keyed, scope), finish_limit)
 
 
+def join_buckets(members: DataFrame, buckets: DataFrame, how: str, total: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Join ``total`` memberships with one row (bucket, n, ...) per bucket.
+
+    Members of hot buckets meet a broadcast of those few and are never shuffled
+    on their bucket; all others are joined as usual.
+    """
+    if total <= hot_bucket:
+        return members.join(buckets.drop("n"), "bucket", how)
+    hot = F.broadcast(buckets.where(F.col("n") > hot_bucket).drop("n"))
+    cold = buckets.where(F.col("n") <= hot_bucket).drop("n")
+    rest = members.join(hot.select("bucket"), "bucket", "left_anti")
+    if how == "left_anti":
+        return rest.join(cold, "bucket", how)
+    return members.join(hot, "bucket", how).unionByName(rest.join(cold, "bucket", how))
+
+
 def drop_near_duplicates(records: DataFrame, **options) -> DataFrame:
     """``records`` without :func:`near_duplicates`."""
     return records.join(near_duplicates(records, **options), "ord", "left_anti")
 
 
-def bucket_memberships(keyed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def bucket_memberships(keyed: DataFrame, scope: Sequence[str] = (), hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(ord, bucket) for the buckets that hold more than one record.
 
     A bucket is one band key within one scope.  ``keyed`` is read twice, so pass
@@ -67,11 +87,14 @@ def bucket_memberships(keyed: DataFrame, scope: Sequence[str] = ()) -> DataFrame
             "bucket"
         ),
     )
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return members.join(shared, "bucket", "left_semi").select("ord", "bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    total = keyed.agg(F.sum(F.size("bands"))).first()[0] or 0
+    return join_buckets(members, shared, "left_semi", total, hot_bucket).select("ord", "bucket")
 
 
-def resolve_first_wins(members: DataFrame, finish_limit: int = FINISH_LIMIT) -> DataFrame:
+def resolve_first_wins(
+    members: DataFrame, finish_limit: int = FINISH_LIMIT, hot_bucket: int = HOT_BUCKET
+) -> DataFrame:
     """Greedy first-wins over bucket memberships, as a DataFrame of dropped ``ord``.
 
     A record that comes first in all its buckets is kept, and everything else in
@@ -84,17 +107,15 @@ def resolve_first_wins(members: DataFrame, finish_limit: int = FINISH_LIMIT) ->
     undecided = materialize(members, "undecided")
     dropped = [members.sparkSession.createDataFrame([], "ord bigint")]
     while (left := undecided.count()) > finish_limit:
-        first = undecided.groupBy("bucket").agg(F.min("ord").alias("first"))
-        led = undecided.join(first, "bucket")
+        first = undecided.groupBy("bucket").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+        led = join_buckets(undecided, first, "inner", left, hot_bucket)
         kept = led.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("first")).alias("leads")).where("leads")
-        settled = first.join(kept.select(F.col("ord").alias("first")), "first", "left_semi")
-        losers = materialize(
-            undecided.join(settled, "bucket").where("ord > first").select("ord").distinct(), "near-duplicates"
-        )
+        settled = materialize(first.join(kept.select(F.col("ord").alias("first")), "first", "left_semi"), "settled")
+        behind = join_buckets(undecided, settled, "inner", left, hot_bucket).where("ord > first")
+        losers = materialize(behind.select("ord").distinct(), "near-duplicates")
         dropped.append(losers)
-        undecided = materialize(
-            undecided.join(settled, "bucket", "left_anti").join(losers, "ord", "left_anti"), "undecided"
-        )
+        open_ = join_buckets(undecided, settled.select("bucket", "n"), "left_anti", left, hot_bucket)
+        undecided = materialize(open_.join(losers, "ord", "left_anti"), "undecided")
     if left:
         dropped.append(_fold_in_order(undecided))
     result = dropped[0]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.minhash import MAX_HASH, PRIME, band_shape, permutations, signatures
-from corpusmill.operators.dedup import drop_exact_duplicates, drop_near_duplicates, near_duplicates, resolve_first_wins
+from corpusmill.operators.dedup import bucket_memberships, drop_exact_duplicates, drop_near_duplicates, near_duplicates, resolve_first_wins
 from tests.helpers import numbers, texts
 
 SENTENCE = "the quick brown fox jumps over the lazy dog near the river bank"
@@ -73,13 +73,13 @@ def sequential(memberships):
     return dropped
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
+@pytest.mark.parametrize("limit, hot", [(0, 1_000_000), (0, 3), (1_000_000, 1)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_rounds_match_the_sequential_fold(spark, seed, limit):
+def test_rounds_match_the_sequential_fold(spark, seed, limit, hot):
     draw = random.Random(seed)
     pairs = sorted({(draw.randrange(60), draw.randrange(45)) for _ in range(150)})
     df = spark.createDataFrame([(r, str(b).encode()) for r, b in pairs], "ord bigint, bucket binary")
-    found = {row.ord for row in resolve_first_wins(df, finish_limit=limit).collect()}
+    found = {row.ord for row in resolve_first_wins(df, finish_limit=limit, hot_bucket=hot).collect()}
     assert found == sequential(pairs)
 
 
@@ -92,4 +92,11 @@ def test_a_chain_keeps_what_is_only_near_a_dropped_record(spark):
 
 def test_one_bucket_with_most_records(spark):
     df = spark.range(0, 30_000).select(F.col("id").alias("ord"), F.lit(b"hot").alias("bucket"))
-    assert resolve_first_wins(df, finish_limit=0).count() == 29_999
+    for hot in (1_000, 1_000_000):
+        assert resolve_first_wins(df, finish_limit=0, hot_bucket=hot).count() == 29_999
+
+
+def test_shared_buckets_are_the_same_with_hot_ones_split(spark):
+    keyed = spark.range(50).select(F.col("id").alias("ord"), F.array(F.lit(b"all"), (F.col("id") % 20).cast("string").cast("binary"), F.col("id").cast("string").cast("binary")).alias("bands"))
+    plain, split = (sorted((r.ord, bytes(r.bucket)) for r in bucket_memberships(keyed, hot_bucket=n).collect()) for n in (1_000, 10))
+    assert plain == split and len(plain) == 100
