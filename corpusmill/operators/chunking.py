@@ -53,7 +53,7 @@ def _pack(limit: int):
     @F.pandas_udf(_SPANS)
     def pack(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for levels, counts in batches:
-            yield pd.Series([_pack_row(a, b, limit) for a, b in zip(levels, counts)])
+            yield pd.Series([[] if a is None else _pack_row(a, b, limit) for a, b in zip(levels, counts)])
 
     # So marked, the optimizer neither repeats nor inlines the call.
     return pack.asNondeterministic()
@@ -65,7 +65,8 @@ def chunk_blocks(
     """One row per chunk: *keep, chunk_no, chunk_id, text, page, heading, headings.
 
     Blocks under one heading are packed greedily up to ``max_tokens``; a longer
-    block is first cut into windows; a heading without body text makes no chunk.
+    block is first cut into windows; a heading without body text makes no chunk,
+    nor does a document whose blocks are null.
     ``documents`` needs ``document_id`` and ``blocks``.  Everything happens
     within the document's row; only levels and counts visit Python.
     """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import ArrowTokenizer
 from corpusmill.operators.chunking import chunk_blocks, document_id, estimate_rows, sample_text, token_windows
-from corpusmill.sources.documents import markdown_blocks
+from corpusmill.sources.documents import extract_blocks, markdown_blocks
 
 
 def chunks(spark, text, **options):
@@ -39,6 +39,13 @@ def test_page_is_the_first_known_one(spark):
     assert chunk_blocks(docs).first().page == 3
 
 
+def test_refused_documents_make_no_chunk(spark):
+    files = spark.createDataFrame([("a.md", b"# H\n\nbody"), ("b.pdf", b"x"), ("c.md", b"")], "path string, content binary")
+    docs = extract_blocks(files).withColumn("document_id", F.col("path"))
+    for options in ({}, {"tokenizer": ArrowTokenizer(lambda: (str.split, " ".join))}):
+        assert [(c.document_id, c.text) for c in chunk_blocks(docs, **options).collect()] == [("a.md", "body")]
+
+
 def fold(blocks, limit):
     out, used, path, open_ = [], 0, [], False
     for level, text in blocks:
