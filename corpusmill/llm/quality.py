@@ -32,8 +32,9 @@ MOST_REPEATED = 30
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-# Texts that are looked at for the order of the rules.
-SAMPLE_ROWS = 1000
+# Texts that are looked at for the order of the rules, and how much of each.
+SAMPLE_ROWS = 500
+SAMPLE_CHARS = 10_000
 
 
 @dataclass(frozen=True)
@@ -183,8 +184,8 @@ def _base_failed(p: Parts) -> Column:
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
     """The rules by rejections for their work, as a sample of the texts shows them.
 
-    The sample is the first ``sample_rows`` texts that Spark finds.  One row for
-    each combination of failed rules comes to the driver.
+    The sample is the first ``sample_rows`` texts that Spark finds, so few files are
+    read for it.  One row for each combination of failed rules comes to the driver.
     """
 
     def looked_at(p: Parts) -> Column:
@@ -195,7 +196,8 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
             *[rule.work(p).cast("double").alias(f"work{k}") for k, rule in enumerate(rules)],
         )
 
-    seen = docs.select(F.col(text).alias("t")).limit(sample_rows).repartition(8).select(_of_parts(F.col("t"), looked_at).alias("s"))
+    sample = docs.select(F.left(F.col(text), F.lit(SAMPLE_CHARS)).alias("t")).take(sample_rows)
+    seen = docs.sparkSession.createDataFrame(sample, "t string").select(_of_parts(F.col("t"), looked_at).alias("s"))
     groups = (
         seen.where("NOT s.out")
         .groupBy("s.failed")

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from corpusmill.llm.decontamination import with_passages
+from corpusmill.llm.packing import concat_and_cut, tokenized
 from corpusmill.llm.quality import quality_judgements
 from corpusmill.llm.registry import query, table
+from corpusmill.llm.toxicity import held_out, scored, train
+from corpusmill.llm.warc import described, read_archive, write_archive
+from corpusmill.session import scratch_path
 
 _QUALITY_SQL = r"""
 WITH parts AS (
@@ -42,3 +50,38 @@ FROM tested"""
 @query(_QUALITY_SQL)
 def op1_quality_cascade(spark, folder):
     return quality_judgements(table(spark, folder, "documents")).drop("failed_rule")
+
+
+_WARC_SQL = """
+WITH records AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+leads AS (SELECT html, max(page_id) AS lead FROM records WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN lead IS NULL OR lead = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN lead <> page_id THEN lead END AS refers_to
+FROM records LEFT JOIN leads USING (html)"""
+
+
+@query(_WARC_SQL)
+def op2_warc_archive(spark, folder):
+    archive = scratch_path(spark, "archive")
+    write_archive(table(spark, folder, "pages"), archive)
+    return described(read_archive(spark, archive)).withColumnRenamed("id", "page_id")
+
+
+@query()
+def op3_toxicity_ftrl(spark, folder):
+    docs = table(spark, folder, "documents")
+    scores = scored(docs, train(docs, table(spark, folder, "labels")))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op5_concat_and_cut(spark, folder):
+    return concat_and_cut(tokenized(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query()
+def op8_qgram_decontamination(spark, folder):
+    found = with_passages(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", (F.size("passages") > 0).alias("contaminated"), F.col("passages.item_id").alias("items"))
