@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from corpusmill.llm.decontamination import with_passages
+from corpusmill.llm.line_dedup import dedup_lines
+from corpusmill.llm.ngram_join import ngram_classes
 from corpusmill.llm.packing import concat_and_cut, tokenized
 from corpusmill.llm.quality import quality_judgements
 from corpusmill.llm.registry import query, table
@@ -76,6 +78,11 @@ def op3_toxicity_ftrl(spark, folder):
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query()
+def op4_ngram_join(spark, folder):
+    return ngram_classes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query()
 def op5_concat_and_cut(spark, folder):
     return concat_and_cut(tokenized(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")))
@@ -85,3 +92,9 @@ def op5_concat_and_cut(spark, folder):
 def op8_qgram_decontamination(spark, folder):
     found = with_passages(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
     return found.select("doc_id", (F.size("passages") > 0).alias("contaminated"), F.col("passages.item_id").alias("items"))
+
+
+@query()
+def op10_fuzzy_lines(spark, folder):
+    docs = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_gone").alias("n_removed"), "text")
