@@ -11,6 +11,7 @@ from corpusmill.llm.ngram_join import ngram_classes
 from corpusmill.llm.packing import concat_and_cut, tokenized
 from corpusmill.llm.quality import quality_judgements
 from corpusmill.llm.registry import query, table
+from corpusmill.llm.suffix_dedup import repeated_spans, without_spans
 from corpusmill.llm.toxicity import held_out, scored, train
 from corpusmill.llm.warc import described, read_archive, write_archive
 from corpusmill.session import scratch_path
@@ -94,6 +95,13 @@ def op8_qgram_decontamination(spark, folder):
     return found.select("doc_id", (F.size("passages") > 0).alias("contaminated"), F.col("passages.item_id").alias("items"))
 
 
+@query()
+def op9_induced_suffix_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rest = without_spans(docs, repeated_spans(docs))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op10_fuzzy_lines(spark, folder):
     docs = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
