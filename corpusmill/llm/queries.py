@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from corpusmill.llm.decontamination import with_passages
+from corpusmill.llm.html_blocks import extract_main_text
 from corpusmill.llm.line_dedup import dedup_lines
 from corpusmill.llm.ngram_join import ngram_classes
 from corpusmill.llm.packing import concat_and_cut, tokenized
+from corpusmill.llm.personal_data import find_personal_data
+from corpusmill.llm.personal_data import train as train_tagger
 from corpusmill.llm.quality import quality_judgements
 from corpusmill.llm.registry import query, table
 from corpusmill.llm.suffix_dedup import repeated_spans, without_spans
@@ -89,6 +92,17 @@ def op5_concat_and_cut(spark, folder):
     return concat_and_cut(tokenized(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query()
+def op6_block_rules(spark, folder):
+    return extract_main_text(table(spark, folder, "pages"))
+
+
+@query()
+def op7_char_lstm_pii(spark, folder):
+    docs = table(spark, folder, "documents")
+    return find_personal_data(docs, train_tagger(docs))
+
+
 @query()
 def op8_qgram_decontamination(spark, folder):
     found = with_passages(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
