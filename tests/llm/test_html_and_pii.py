@@ -101,8 +101,10 @@ def sentences():
 
 
 def test_model_learns_the_spans_and_adds_variants(spark, sentences):
+    more = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text RLIKE '[0-9@]'").limit(700).collect()
+    sentences = [*sentences[:400], *[r.text for r in more]]
     docs = spark.createDataFrame(list(enumerate(sentences)), "doc_id long, text string").repartition(3)
-    data = train(docs, steps=350)
+    data = train(docs, steps=400)
     model = Tagger.from_bytes(data)
     symbols, tags = training_windows(sentences, seed=99)
     assert (model.decode(symbols) == tags).mean() > 0.98
