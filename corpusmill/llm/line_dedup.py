@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.links import lead_pairs, similar_groups
-from corpusmill.llm.words import char_shingles, minima, mixed, runs, set_key
+from corpusmill.llm.words import char_shingles, minima, mixed, runs_within, set_key
 from corpusmill.session import materialize
 
 SIMILARITY = 0.8
@@ -59,10 +59,12 @@ def _line_rows(docs: DataFrame, id: str, text: str, bands: int) -> DataFrame:
         def flush():
             table = np.array(rows, dtype="int64").reshape(-1, 4).T
             columns = list(table)
-            if bands and sets:
-                values = minima(sets, bands * ROWS).astype("uint64").reshape(len(sets), bands, ROWS)
+            if bands and lines:
+                codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("uint64")
+                shingles, counts = runs_within(codes, np.array([len(line) for line in lines]), SHINGLE)
+                values = minima(shingles, counts, bands * ROWS).astype("uint64").reshape(len(lines), bands, ROWS)
                 for b in range(bands):
-                    key = np.full(len(sets), b, dtype="uint64")
+                    key = np.full(len(lines), b, dtype="uint64")
                     for r in range(ROWS):
                         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, b, r])
                     columns.append(key.view("int64"))
@@ -71,19 +73,18 @@ def _line_rows(docs: DataFrame, id: str, text: str, bands: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=schema.names)
 
         rows: list[tuple[int, int, int, int]] = []
-        sets: list[np.ndarray] = []
+        lines: list[str] = []
         size = 0
         for batch in batches:
             for identifier, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for number, line in _lines(value):
-                    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-                    rows.append((identifier, number, *set_key(codes)))
+                    rows.append((identifier, number, *set_key(line.encode("utf-8", "surrogatepass"))))
                     if bands:
-                        sets.append(runs(codes.astype("uint64"), min(SHINGLE, len(codes))))
-                        size += len(codes)
+                        lines.append(line)
+                        size += len(line)
                     if size > _STEP or len(rows) > 100_000:
                         yield flush()
-                        rows, sets, size = [], [], 0
+                        rows, lines, size = [], [], 0
         if rows:
             yield flush()
 

@@ -97,15 +97,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def tile_links(groups: DataFrame, texts: DataFrame, shingles: Shingles, similarity: float, block: int = BLOCK) -> DataFrame:
     """(node, root, n) from (node, component): all nodes of a component are compared with each other.
 
-    A component is cut into blocks of about ``block`` nodes, and each pair of blocks is a tile.
+    A component is cut into blocks of about ``block`` nodes, and each pair of blocks is a tile;
+    components that are smaller than a block share tiles, of about as many nodes.
     Only counts and a spanning forest leave a tile: for each of its nodes the number ``n``
     of similar ones, and the least node ``root`` that similar pairs of the tile lead to.
     """
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    shared = max(1, sizes.where(F.col("size") <= block).agg(F.sum("size")).first()[0] or 0) // block + 1
+    whole = F.col("blocks") == 1
+    together = F.pmod(F.xxhash64("component"), F.lit(shared))
+    placed = placed.withColumn("component", F.when(whole, together).otherwise(F.col("component"))).withColumn("whole", whole)
     placed = placed.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = placed.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
+    tiles = placed.select("whole", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values("node", kind="stable")
@@ -136,7 +141,7 @@ def tile_links(groups: DataFrame, texts: DataFrame, shingles: Shingles, similari
         node = tile["node"].to_numpy()
         return pd.DataFrame({"node": node, "root": node[root], "n": close.sum(axis=1)})
 
-    return tiles.groupBy("component", "i", "j").applyInPandas(compare, "node long, root long, n long")
+    return tiles.groupBy("whole", "component", "i", "j").applyInPandas(compare, "node long, root long, n long")
 
 
 def similar_groups(pairs: DataFrame, texts: DataFrame, shingles: Shingles, similarity: float, loose: float = LOOSE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

@@ -54,7 +54,7 @@ def _signatures(docs: DataFrame, id: str, text: str, depths: list[int], shingle:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            values = minima(sets, TREES * deepest).astype("uint64").reshape(len(sets), TREES, deepest)
+            values = minima(np.concatenate(sets), np.array([len(x) for x in sets]), TREES * deepest).astype("uint64").reshape(len(sets), TREES, deepest)
             labels = np.empty((len(sets), TREES, len(depths)), dtype="uint64")
             key = np.tile(np.arange(TREES, dtype="uint64"), (len(sets), 1))
             for d in range(deepest):
@@ -73,7 +73,7 @@ def _signatures(docs: DataFrame, id: str, text: str, depths: list[int], shingle:
             for identifier, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 values = word_shingles(value, shingle)
                 if len(values):
-                    rows.append((identifier, *set_key(values)))
+                    rows.append((identifier, *set_key(values.tobytes())))
                     sets.append(values)
                     size += len(values)
                 if size > _STEP:

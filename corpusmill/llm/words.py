@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
@@ -12,7 +10,6 @@ _REMEMBERED = 1 << 20
 _HASHES: dict[str, int] = {}
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_BLANKS = re.compile(r"\s+")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,11 +32,35 @@ def word_hashes(words: list[str]) -> np.ndarray:
 def runs(values: np.ndarray, length: int) -> np.ndarray:
     """A key for every run of ``length`` values."""
     n = len(values) - length + 1
-    out = np.zeros(max(n, 0), dtype="uint64")
+    if n <= 0:
+        return np.empty(0, dtype="uint64")
+    # Runs of 1, 2, 4, ... values, put together as the length has them in binary.
+    part, span, factor, out, done = values, 1, _MULTIPLIER, np.zeros(n, dtype="uint64"), 0
     with np.errstate(over="ignore"):
-        for k in range(length if n > 0 else 0):
-            out = out * _MULTIPLIER + values[k : k + n]
-    return mixed(out)
+        while True:
+            if length & span:
+                out *= factor
+                out += part[done : done + n]
+                done += span
+            if span * 2 > length:
+                return mixed(out)
+            part = part[:-span] * factor + part[span:]
+            factor, span = factor * factor, span * 2
+
+
+def runs_within(values: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of ``length`` values within each of the sequences that ``values`` strings
+    together, and how many each sequence has; a shorter sequence that has values is one run."""
+    counts = np.where(lengths >= length, lengths - length + 1, np.minimum(lengths, 1))
+    starts = np.cumsum(lengths) - lengths
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    padded = np.concatenate([values, np.zeros(length, dtype="uint64")])
+    out = runs(padded, length)[at]
+    first = np.cumsum(counts) - counts
+    for k in np.flatnonzero((lengths < length) & (lengths > 0)):
+        short = values[starts[k] : starts[k] + lengths[k]]
+        out[first[k]] = runs(short, len(short))[0]
+    return out, counts
 
 
 def word_shingles(text: str | None, length: int = 5) -> np.ndarray:
@@ -68,25 +89,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def minima(sets: list[np.ndarray], count: int) -> np.ndarray:
-    """(sets, count) MinHash values of non-empty sets, 32 bits each."""
-    starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
-    values = (np.concatenate(sets) >> np.uint64(32)).astype("uint32")
+def minima(values: np.ndarray, counts: np.ndarray, count: int) -> np.ndarray:
+    """(sets, count) MinHash values, 32 bits each, of the non-empty sets that ``values`` strings together."""
+    starts = np.cumsum(counts) - counts
+    values = (values >> np.uint64(32)).astype("uint32")
     draw = np.random.default_rng(20240229)
     multipliers = draw.integers(0, 1 << 31, count, dtype="uint32") * np.uint32(2) + np.uint32(1)
     offsets = draw.integers(0, 1 << 32, count, dtype="uint32")
-    out = np.empty((count, len(sets)), dtype="uint32")
+    out, x = np.empty((count, len(counts)), dtype="uint32"), np.empty_like(values)
     with np.errstate(over="ignore"):
         for k in range(count):
-            # Folding the high half in lets every bit take part in the order.
-            x = values * multipliers[k] + offsets[k]
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
+            np.multiply(values, multipliers[k], out=x)
+            np.add(x, offsets[k], out=x)
             out[k] = np.minimum.reduceat(x, starts)
     return out.T
 
 
-def set_key(values: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a sorted set, as two signed numbers."""
-    high, low = divmod(xxhash.xxh3_128_intdigest(values.tobytes()), 1 << 64)
+def set_key(values: bytes) -> tuple[int, int]:
+    """128 bits that stand for some bytes, as two signed numbers."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(values), 1 << 64)
     return high - (1 << 63), low - (1 << 63)
