@@ -4,9 +4,9 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier:
 with a smaller id, or before in the same one.
 
 Every such string is known by one of its grams of ``GRAM`` bytes, the one with the least
-hash; neighbouring strings mostly share it, and make a run.  Equal strings have equal grams, so
-only runs whose gram comes twice or more can repeat anything, and only runs with equal grams
-have to meet.  Runs with equal bytes are combined before they are shuffled: all but the
+hash; neighbouring strings mostly share it, and make a run.  Equal strings have equal grams, and
+equal bytes on one side of them at least, so only runs of which the gram comes twice with such a
+side can repeat anything, and only runs with equal grams have to meet.  Runs with equal bytes are combined before they are shuffled: all but the
 first are removed whole.  The first ones of each gram go into shards, each about ``SHARD`` bytes,
 in which a suffix array is built by induced sorting; its permuted common prefixes show
 which strings are equal, and all but the earliest are removed.  The strings of a gram with more
@@ -36,6 +36,8 @@ from corpusmill.session import materialize
 
 LENGTH = 100
 GRAM = 24
+# Half of what a string has besides its gram.
+SIDE = (LENGTH - GRAM) // 2
 SHARD = 1 << 20
 HOT = 2000
 
@@ -68,13 +70,18 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def string_runs(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, first start, number of starts, gram hash) of the runs of strings with one gram."""
+def string_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(piece, first start, number of starts, gram hash, sides) of the runs of strings with one gram.
+
+    Of a string, SIDE bytes before its gram or SIDE bytes behind it belong to it as well, or both.
+    ``sides`` has 32 bits for the gram with the bytes before it and 32 for that with those behind
+    it, zero where no string of the run has them.
+    """
     ends = np.cumsum([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), dtype="uint8")
     empty = np.empty(0, dtype="int64")
     if len(data) < LENGTH:
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     hashes = _gram_hashes(data)
     low = np.uint64((1 << _PLACE_BITS) - 1)
     least = _window_minima((hashes & ~low) | np.arange(len(hashes), dtype="uint64"), LENGTH - GRAM + 1)
@@ -84,11 +91,22 @@ def string_runs(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     valid = start + LENGTH <= ends[piece]
     start, chosen, piece = start[valid], chosen[valid], piece[valid]
     if not len(start):
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     opens = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (piece[1:] != piece[:-1])))
     count = np.diff(np.append(opens, len(start)))
-    first = piece[opens]
-    return first, start[opens] - (ends - [len(p) for p in pieces])[first], count, hashes[chosen[opens]].view("int64")
+    first, begin, gram = piece[opens], start[opens], chosen[opens]
+
+    def side(there: np.ndarray, *shifts: int) -> np.ndarray:
+        out = np.zeros(len(gram), dtype="uint64")
+        with np.errstate(over="ignore"):
+            for shift in shifts:
+                out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[np.clip(gram + shift, 0, len(hashes) - 1)])
+        return np.where(there, (out >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+
+    before = side(begin <= gram - SIDE, -SIDE, -(SIDE - GRAM), 0)
+    behind = side(begin + count - 1 >= gram - SIDE, 0, GRAM, SIDE)
+    sides = ((before << np.uint64(32)) | behind).view("int64")
+    return first, begin - (ends - [len(p) for p in pieces])[first], count, hashes[gram].view("int64"), sides
 
 
 def _pieces(value: bytes) -> Iterator[tuple[int, bytes]]:
@@ -102,11 +120,11 @@ def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            piece, start, count, gram = string_runs([p for _, _, p in waiting])
+            piece, start, count, gram, sides = string_runs([p for _, _, p in waiting])
             ids = np.array([i for i, _, _ in waiting], dtype="int64")
             offsets = np.array([o for _, o, _ in waiting], dtype="int64")
-            columns = [gram, ids[piece], start + offsets[piece], count]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype="int64")) for c in columns], names=["gram", "id", "start", "count"])
+            columns = [gram, ids[piece], start + offsets[piece], count, sides]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype="int64")) for c in columns], names=["gram", "id", "start", "count", "sides"])
 
         waiting, size = [], 0
         for batch in batches:
@@ -121,7 +139,20 @@ def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col(id).cast("long"), text).where(F.col(id).isNotNull())
-    return rows.mapInArrow(scan, "gram long, id long, start long, count long")
+    return rows.mapInArrow(scan, "gram long, id long, start long, count long, sides long")
+
+
+def _repeatable(runs: DataFrame) -> DataFrame:
+    """The runs that can share a string with another one: the gram comes twice, and it does so
+    with the same bytes on one of its sides."""
+    again = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    runs = materialize(runs.join(again, "gram"), "runs")
+    before, behind = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(F.lit((1 << 32) - 1))
+    runs = runs.select("gram", "id", "start", "count", before.alias("before"), behind.alias("behind"))
+    for side in ("before", "behind"):
+        same = runs.where(F.col(side) != 0).groupBy("gram", side).agg(F.count("*").alias(f"same_{side}"))
+        runs = runs.join(same.where(F.col(f"same_{side}") > 1), ["gram", side], "left")
+    return runs.where("same_before IS NOT NULL OR same_behind IS NOT NULL").select("gram", "id", "start", "count")
 
 
 def _place(id: Column, start: Column) -> Column:
@@ -210,9 +241,8 @@ def _of_hot_grams(runs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD, hot: int = HOT) -> DataFrame:
     """(id, start, length) of byte spans that repeat earlier ones; spans may overlap."""
-    runs = _runs(docs, id, text)
-    again = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    found = materialize(_with_bytes(docs, materialize(runs.join(again, "gram"), "runs"), id, text), "run-bytes")
+    runs = materialize(_repeatable(_runs(docs, id, text)), "repeatable-runs")
+    found = materialize(_with_bytes(docs, runs, id, text), "run-bytes")
     place = _place(F.col("id"), F.col("start"))
     groups = found.groupBy("gram", "h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
     groups = materialize(groups, "run-groups")
