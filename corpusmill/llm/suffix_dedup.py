@@ -4,10 +4,11 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier:
 with a smaller id, or before in the same one.
 
 Every such string is known by one of its grams of ``GRAM`` bytes, the one with the least
-hash; neighbouring strings mostly share it, and make a run.  Equal strings have equal grams, and
-equal bytes on one side of them at least, so only runs of which the gram comes twice with such a
-side can repeat anything, and only runs with equal grams have to meet.  Runs with equal bytes are combined before they are shuffled: all but the
-first are removed whole.  The first ones of each gram go into shards, each about ``SHARD`` bytes,
+hash; neighbouring strings mostly share it, and make a run.  Equal strings have equal grams, so
+only runs whose gram comes twice or more can repeat anything, and only runs with equal grams
+have to meet.  Runs with equal bytes are combined before they are shuffled: all but the
+first are removed whole.  Of the first ones, those that share a gram with the same bytes on one
+side of it, as equal strings do, go into shards, each about ``SHARD`` bytes,
 in which a suffix array is built by induced sorting; its permuted common prefixes show
 which strings are equal, and all but the earliest are removed.  The strings of a gram with more
 than ``HOT`` different runs are instead met by their digests, one row per string.
@@ -142,17 +143,20 @@ def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
     return rows.mapInArrow(scan, "gram long, id long, start long, count long, sides long")
 
 
-def _repeatable(runs: DataFrame) -> DataFrame:
-    """The runs that can share a string with another one: the gram comes twice, and it does so
-    with the same bytes on one of its sides."""
+def _repeated(runs: DataFrame) -> DataFrame:
+    """The runs whose gram comes twice or more."""
     again = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    runs = materialize(runs.join(again, "gram"), "runs")
+    return runs.join(again, "gram")
+
+
+def _with_equal_side(runs: DataFrame) -> DataFrame:
+    """Of different runs, those whose gram another one has with the same bytes on one side."""
     before, behind = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(F.lit((1 << 32) - 1))
-    runs = runs.select("gram", "id", "start", "count", before.alias("before"), behind.alias("behind"))
+    runs = runs.withColumns({"before": before, "behind": behind})
     for side in ("before", "behind"):
         same = runs.where(F.col(side) != 0).groupBy("gram", side).agg(F.count("*").alias(f"same_{side}"))
         runs = runs.join(same.where(F.col(f"same_{side}") > 1), ["gram", side], "left")
-    return runs.where("same_before IS NOT NULL OR same_behind IS NOT NULL").select("gram", "id", "start", "count")
+    return runs.where("same_before IS NOT NULL OR same_behind IS NOT NULL")
 
 
 def _place(id: Column, start: Column) -> Column:
@@ -161,9 +165,9 @@ def _place(id: Column, start: Column) -> Column:
 
 
 def _with_bytes(docs: DataFrame, runs: DataFrame, id: str, text: str) -> DataFrame:
-    """(gram, id, start, count, h1, h2, bytes) of the runs."""
-    lists = runs.groupBy("id").agg(F.collect_list(F.struct("gram", "start", "count")).alias("runs"))
-    schema = "gram long, id long, start long, count long, h1 long, h2 long, bytes binary"
+    """(gram, id, start, count, sides, h1, h2, bytes) of the runs."""
+    lists = runs.groupBy("id").agg(F.collect_list(F.struct("gram", "start", "count", "sides")).alias("runs"))
+    schema = "gram long, id long, start long, count long, sides long, h1 long, h2 long, bytes binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,10 +177,10 @@ def _with_bytes(docs: DataFrame, runs: DataFrame, id: str, text: str) -> DataFra
                 for run in runs:
                     part = data[run["start"] : run["start"] + run["count"] + LENGTH - 1]
                     digest = hashlib.blake2b(part, digest_size=16).digest()
-                    numbers.append((run["gram"], identifier, run["start"], run["count"], *np.frombuffer(digest, dtype="<i8").tolist()))
+                    numbers.append((run["gram"], identifier, run["start"], run["count"], run["sides"], *np.frombuffer(digest, dtype="<i8").tolist()))
                     parts.append(part)
-            table = np.array(numbers, dtype="int64").reshape(-1, 6).T
-            names = ["gram", "id", "start", "count", "h1", "h2", "bytes"]
+            table = np.array(numbers, dtype="int64").reshape(-1, 7).T
+            names = ["gram", "id", "start", "count", "sides", "h1", "h2", "bytes"]
             yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in table], pa.array(parts, pa.binary())], names=names)
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -241,7 +245,7 @@ def _of_hot_grams(runs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD, hot: int = HOT) -> DataFrame:
     """(id, start, length) of byte spans that repeat earlier ones; spans may overlap."""
-    runs = materialize(_repeatable(_runs(docs, id, text)), "repeatable-runs")
+    runs = materialize(_repeated(_runs(docs, id, text)), "repeated-runs")
     found = materialize(_with_bytes(docs, runs, id, text), "run-bytes")
     place = _place(F.col("id"), F.col("start"))
     groups = found.groupBy("gram", "h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
@@ -251,6 +255,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", shar
     several = groups.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     firsts = groups.join(several, "gram").select("gram", "h1", "h2", "first", "kinds")
     firsts = found.join(firsts, ["gram", "h1", "h2"]).where(place == F.col("first")).dropDuplicates(["gram", "h1", "h2"])
+    firsts = _with_equal_side(materialize(firsts.select("gram", "sides", "kinds", "id", "start", "count", "bytes"), "different-runs"))
     firsts = materialize(firsts.select("gram", "kinds", "id", "start", "count", "bytes"), "first-runs")
     total = firsts.where(F.col("kinds") <= hot).agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
