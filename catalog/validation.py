@@ -218,6 +218,5 @@ def validated_preferences(spark, folder):
         spread(_preferences(spark, folder), "ord"),
         max_tokens=MAX_TOKENS,
         judge=lambda requests: _preference_replies(spark, folder).join(requests, "request_id", "left_semi"),
-        has_dpo=True,
     )
     return result.decided.select(doc_of(F.col("ord")).alias("doc_id"), "reject_reason")

@@ -79,19 +79,27 @@ def chunk_blocks(
         "_spans",
         _pack(max_tokens)(F.transform("_pieces", lambda p: p["level"]), F.transform("_pieces", lambda p: p["tokens"])),
     )
-    span = F.col("_span")
-    inside = F.slice(F.col("_pieces"), span["first"], span["n"])
-    headings = F.transform(span["path"], lambda i: F.element_at(F.col("_pieces"), i)["text"])
-    pages = F.filter(F.transform(inside, lambda p: p["page"]), lambda page: page.isNotNull())
-    return spans.select("document_id", *keep, "_pieces", F.posexplode("_spans").alias("chunk_no", "_span")).select(
+
+    def chunk(span: Column, number: Column) -> Column:
+        inside = F.slice(F.col("_pieces"), span["first"], span["n"])
+        headings = F.transform(span["path"], lambda i: F.element_at(F.col("_pieces"), i)["text"])
+        pages = F.filter(F.transform(inside, lambda p: p["page"]), lambda page: page.isNotNull())
+        return F.struct(
+            number.alias("chunk_no"),
+            F.array_join(F.transform(inside, lambda p: p["text"]), "\n").alias("text"),
+            F.get(pages, F.lit(0)).alias("page"),
+            F.get(headings, F.size(headings) - 1).alias("heading"),
+            F.coalesce(headings, F.array().cast("array<string>")).alias("headings"),
+        )
+
+    # Chunks are made before the rows are multiplied, so that no chunk carries its whole document.
+    chunks = spans.select("document_id", *keep, F.explode(F.transform("_spans", chunk)).alias("_chunk"))
+    return chunks.select(
         "document_id",
         *keep,
-        "chunk_no",
-        F.concat_ws("-", "document_id", "chunk_no").alias("chunk_id"),
-        F.array_join(F.transform(inside, lambda p: p["text"]), "\n").alias("text"),
-        F.get(pages, F.lit(0)).alias("page"),
-        F.get(headings, F.size(headings) - 1).alias("heading"),
-        F.coalesce(headings, F.array().cast("array<string>")).alias("headings"),
+        "_chunk.chunk_no",
+        F.concat_ws("-", "document_id", "_chunk.chunk_no").alias("chunk_id"),
+        *[f"_chunk.{name}" for name in ("text", "page", "heading", "headings")],
     )
 
 

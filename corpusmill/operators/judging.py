@@ -20,7 +20,7 @@ def quality_verdict(content: Column, threshold: float = QUALITY_THRESHOLD) -> Co
     return let(
         score(content),
         lambda value: F.when(value.isNull(), F.lit("judging_error")).when(
-            ~(value >= threshold), F.lit("quality_judged_insufficient")
+            ~(value >= threshold) | F.isnan(value), F.lit("quality_judged_insufficient")
         ),
     )
 
@@ -31,7 +31,7 @@ def preference_verdict(content: Column, margin: float = PREFERENCE_MARGIN) -> Co
     return let(
         lead,
         lambda value: F.when(value.isNull(), F.lit("judging_error")).when(
-            ~(value >= margin), F.lit("dpo_preference_not_confirmed")
+            ~(value >= margin) | F.isnan(value), F.lit("dpo_preference_not_confirmed")
         ),
     )
 

@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from corpusmill.functions.records import (
     CPT,
     DPO,
-    MESSAGES,
     ROLES,
     SFT_CONVERSATION,
     SFT_PAIR,
@@ -55,6 +54,20 @@ def string_field(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("string")
 
 
+def written_field(df: DataFrame, name: str) -> Column:
+    """A field as it would be written in a text; null when it is missing, null, false or zero."""
+    value = _variant(df, name)
+    if value is not None:
+        plain = F.try_variant_get(value, "$", "string")
+        absent = (json_type(value) != "STRING") & plain.isin("false", "0", "0.0", "-0.0")
+    elif name in df.columns and not isinstance(df.schema[name].dataType, T.StringType):
+        plain = F.col(name).cast("string")
+        absent = plain.isin("false", "0", "0.0", "-0.0")
+    else:
+        return string_field(df, name)
+    return F.when(~absent, plain)
+
+
 def _pairs_field(df: DataFrame, name: str, who: str, what: str) -> Column:
     """A list field as ARRAY<STRUCT<who, what>>, members null where not strings."""
     value = _variant(df, name)
@@ -103,7 +116,7 @@ def normalize_prompt_completion(df: DataFrame, *keep: str) -> DataFrame:
 
 def normalize_instruction(df: DataFrame, *keep: str) -> DataFrame:
     """The input, if there is one, follows the instruction after a blank line."""
-    instruction, output, extra = (string_field(df, name) for name in ("instruction", "output", "input"))
+    instruction, output, extra = string_field(df, "instruction"), string_field(df, "output"), written_field(df, "input")
     joined = strip(F.concat(instruction, F.lit("\n\n"), extra))
     prompt = F.when(extra.isNull() | (extra == ""), instruction).otherwise(joined)
     return _records(df, SFT_PAIR, _required(instruction=instruction, output=output), keep, prompt=prompt, completion=output)
@@ -122,7 +135,7 @@ def _conversation(df: DataFrame, keep, pairs: Column, messages: Column) -> DataF
 
 def normalize_messages(df: DataFrame, *keep: str) -> DataFrame:
     messages = _pairs_field(df, "messages", "role", "content")
-    return _conversation(df, keep, messages, messages.cast(MESSAGES))
+    return _conversation(df, keep, messages, F.transform(messages, lambda m: message(m["role"], m["content"])))
 
 
 def normalize_conversations(df: DataFrame, *keep: str) -> DataFrame:

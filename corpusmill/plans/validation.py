@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.minhash import NUM_PERM, THRESHOLD, band_keys
 from corpusmill.functions.records import DPO, rendered
-from corpusmill.functions.text import normalized_hash
+from corpusmill.functions.text import fail_unless, normalized_hash
 from corpusmill.functions.tokens import WORDS
 from corpusmill.operators.dedup import FINISH_LIMIT, bucket_memberships, resolve_first_wins
 from corpusmill.operators.judging import PREFERENCE_MARGIN, QUALITY_THRESHOLD, judge_requests, verdicts
@@ -90,7 +90,6 @@ def validate(
     scope: Sequence[str] = (),
     judge: Callable[[DataFrame], DataFrame] | None = None,
     judge_all: bool = False,
-    has_dpo: bool = False,
     quality_threshold: float = QUALITY_THRESHOLD,
     preference_margin: float = PREFERENCE_MARGIN,
     near_threshold: float = THRESHOLD,
@@ -99,17 +98,18 @@ def validate(
     """Structure and length, exact duplicates, near duplicates, judging.
 
     ``judge`` maps request rows to (request_id, content) rows.  Preference pairs
-    always need it; say ``has_dpo`` when ``records`` holds any.  Other kinds are
+    always need it: without a judge, a job that meets one fails.  Other kinds are
     judged only with ``judge_all``.  ``scope`` columns limit where duplicates
     are looked for; the default is the whole input.  ``records`` is read twice
     (keys, then the records themselves), so pass a written table when it is
     costly to compute.
     """
-    if has_dpo and judge is None:
-        raise ValueError("preference pairs cannot be validated without a judge")
+    if judge is None:
+        needs_none = F.coalesce(F.col("kind") != DPO, F.lit(True))
+        records = records.where(fail_unless(needs_none, F.lit("preference pairs cannot be validated without a judge")))
     decided = flag_duplicates(flag_structure(records, max_tokens, tokenizer), scope, near_threshold, finish_limit=finish_limit)
     judged = False
-    if has_dpo or (judge_all and judge is not None):
+    if judge is not None:
         due = F.col("reject_reason").isNull() & (F.lit(judge_all) | (F.col("kind") == DPO))
         decided = materialize(decided, "deduplicated")
         judged = not decided.where(due).isEmpty()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import has_text, strip
+from corpusmill.functions.text import fail_unless, has_text, strip
 from corpusmill.session import join_bounded
 
 ROW_DATA = "map<string,variant>"
@@ -75,11 +75,12 @@ def read_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_json_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A JSON array gives one row per element, a JSON object one row."""
+    """A JSON array gives one row per element, a JSON object one row; a malformed file fails the job."""
     text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("value")
     )
     items = F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    text = text.where(fail_unless(items.isNotNull(), F.concat(F.lit("malformed JSON array in "), F.col("path"))))
     rows = text.select("path", F.posexplode(items).alias("row_no", "item"))
     return _finish(rows.withColumn("row_no", F.col("row_no").cast("bigint")), F.parse_json("item"))
 

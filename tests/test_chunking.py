@@ -117,3 +117,11 @@ def test_sample_takes_sources_in_order_within_the_budget(spark):
                     parts.append(piece)
                     left -= len(piece)
             assert got[project] == ("\n\n---\n\n".join(parts), 50 - left)
+
+
+def test_a_long_document_does_not_travel_with_its_chunks(spark):
+    one = spark.range(1).selectExpr(
+        "'d' AS document_id", "array(named_struct('level', 0, 'text', repeat('some word ', 800000), 'page', CAST(null AS INT))) AS blocks"
+    )
+    rows = chunk_blocks(one).selectExpr("count(*) AS n", "max(length(text)) AS longest", "count(headings) AS h").first()
+    assert rows.n == 3125 and rows.longest < 512 * 6 and rows.h == 3125

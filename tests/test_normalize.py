@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.records import position
 from corpusmill.operators.detection import ColumnMappingError, detect_columns, detect_sources, map_columns, map_row_keys, preview
-from corpusmill.operators.normalize import normalize_rows, route_sources
+from corpusmill.operators.normalize import normalize_instruction, normalize_messages, normalize_rows, route_sources
 from corpusmill.operators.urls import is_allowed
 
 
@@ -109,3 +109,21 @@ def test_url_allow_list(spark, url, ok):
     allowed = (("example.org", "/"), ("code.example.com", "/team"))
     df = spark.createDataFrame([(url,)], "url string")
     assert df.select(is_allowed(F.col("url"), allowed).alias("ok")).first().ok is ok
+
+
+def test_message_fields_are_taken_by_name(spark):
+    rows = [("r0", [("hello", "ann", "user"), ("hi", "bot", "assistant")])]
+    df = spark.createDataFrame(rows, "row_id string, messages array<struct<content:string,name:string,role:string>>")
+    df = df.select(F.lit(1).cast("bigint").alias("ord"), F.lit("d").alias("document_id"), F.lit("s").alias("source_name"), F.lit("h").alias("source_hash"), "row_id", "messages")
+    row = normalize_messages(df).first()
+    assert row.reject_reason is None and [tuple(m) for m in row.messages] == [("user", "hello"), ("assistant", "hi")]
+
+
+def test_inputs_that_are_no_strings_are_written_out(spark):
+    df = spark.sql(
+        """SELECT CAST(id AS BIGINT) AS ord, 'd' AS document_id, 's' AS source_name, 'h' AS source_hash, CAST(id AS STRING) AS row_id,
+        map('instruction', parse_json('"Sum"'), 'input', parse_json(j), 'output', parse_json('"x"')) AS data
+        FROM VALUES (0, '5'), (1, '0'), (2, 'null'), (3, '"0"'), (4, 'false') AS t(id, j)"""
+    )
+    got = {r.ord: r.prompt for r in normalize_instruction(df).collect()}
+    assert got == {0: "Sum\n\n5", 1: "Sum", 2: "Sum", 3: "Sum\n\n0", 4: "Sum"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.sources import cache as C
 from corpusmill.sources.documents import extract_blocks, flag_admission, hash_files, list_files
 from corpusmill.sources.manifest import add_sources, confirm_mapping, latest, list_active, run_summary, split_confirmed
-from corpusmill.sources.structured import EmptySource, UnsupportedFormat, read_csv_rows, read_jsonl_rows, read_structured
+from corpusmill.sources.structured import EmptySource, UnsupportedFormat, read_csv_rows, read_json_rows, read_jsonl_rows, read_structured
 
 
 def data(df):
@@ -165,3 +165,10 @@ def test_latest_active_and_summary(spark):
     runs = spark.createDataFrame([("r", "completed", False), ("e", "completed", True)], "run_id string, status string, is_preview boolean")
     found = {r.run_id: (r.accepted_generated, r.accepted_normalized, r.total_rows) for r in run_summary(records, runs).collect()}
     assert found == {"r": (2, 1, 3), "e": (0, 0, 0)}
+
+
+def test_malformed_json_array_is_not_passed_over(spark, tmp_path):
+    (tmp_path / "good.json").write_text('[{"x": 1}]')
+    (tmp_path / "bad.json").write_text('[{"x": 1}, {"x"')
+    with pytest.raises(Exception, match="malformed JSON array"):
+        read_json_rows(spark, str(tmp_path)).collect()

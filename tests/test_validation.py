@@ -112,10 +112,10 @@ def test_optional_quality_judging(spark):
 
 def test_preference_judging_is_mandatory(spark):
     records = preferences(spark, [([("user", "q")], [("assistant", "a")], [("assistant", "b")])])
-    with pytest.raises(ValueError):
-        validate(records, max_tokens=None, has_dpo=True)
-    assert numbers(validate(records, max_tokens=None, has_dpo=True, judge=replies('{"score_a": 7, "score_b": 6}')).accepted) == [0]
-    close = validate(records, max_tokens=None, has_dpo=True, judge=replies('{"score_a": 7, "score_b": 6.5}'))
+    with pytest.raises(Exception, match="without a judge"):
+        validate(records, max_tokens=None).accepted.collect()
+    assert numbers(validate(records, max_tokens=None, judge=replies('{"score_a": 7, "score_b": 6}')).accepted) == [0]
+    close = validate(records, max_tokens=None, judge=replies('{"score_a": 7, "score_b": 6.5}'))
     assert [r.reject_reason for r in close.report.collect()] == ["dpo_preference_not_confirmed"]
 
 
@@ -128,3 +128,11 @@ def test_the_judge_only_sees_survivors(spark):
 
     validate(texts(spark, ["a b c", "A B C", " ", "d e f"]), max_tokens=None, judge=judge, judge_all=True).accepted.count()
     assert sorted(int(i) >> 28 for i in asked) == [0, 3]
+
+
+def test_scores_that_are_no_number_do_not_pass(spark):
+    pair = preferences(spark, [([("user", "q")], [("assistant", "a")], [("assistant", "b")])])
+    reply = replies('{"score_a": "nan", "score_b": 1}')
+    assert numbers(validate(pair, max_tokens=None, judge=reply).accepted) == []
+    record = texts(spark, ["some text"])
+    assert numbers(validate(record, max_tokens=None, judge=replies('{"score": "nan"}'), judge_all=True).accepted) == []
