@@ -8,7 +8,7 @@ from catalog.registry import cpt_documents, doc_of, query
 from corpusmill.functions.minhash import MAX_HASH, NUM_PERM, PRIME, band_shape, permutations, signatures_of
 from corpusmill.functions.text import normalized_hash
 from corpusmill.operators.dedup import drop_exact_duplicates, drop_near_duplicates, exact_first, near_duplicates
-from corpusmill.session import spread
+from corpusmill.session import materialize, spread
 
 # The checked tables hold ASCII whitespace only, so \s is enough in SQL.
 HASH_SQL = r"sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))"
@@ -91,7 +91,7 @@ def near_duplicates_of_all(spark, folder):
     "SELECT doc_id FROM base WHERE doc_id NOT IN (SELECT doc_id FROM near)"
 )
 def near_dedup(spark, folder):
-    once = drop_exact_duplicates(spread(cpt_documents(spark, folder), "ord"))
+    once = materialize(drop_exact_duplicates(spread(cpt_documents(spark, folder), "ord")), "once")
     return drop_near_duplicates(once).select(doc_of(F.col("ord")).alias("doc_id"))
 
 
@@ -100,7 +100,7 @@ def near_dedup(spark, folder):
     "SELECT doc_id, source FROM base WHERE doc_id NOT IN (SELECT doc_id FROM near)"
 )
 def near_dedup_by_source(spark, folder):
-    once = drop_exact_duplicates(spread(cpt_documents(spark, folder, "source"), "ord"), scope=("source",))
+    once = materialize(drop_exact_duplicates(spread(cpt_documents(spark, folder, "source"), "ord"), scope=("source",)), "once")
     return drop_near_duplicates(once, scope=("source",)).select(doc_of(F.col("ord")).alias("doc_id"), "source")
 
 

@@ -53,9 +53,11 @@ EXPORT_COLUMNS = {
 
 
 def position(source_ordinal: Column, item: Column | int = 0) -> Column:
-    """Pack source position and item position into one sortable BIGINT."""
-    item = item if isinstance(item, Column) else F.lit(item)
-    return F.shiftleft(source_ordinal.cast("bigint"), ITEM_BITS) + item.cast("bigint")
+    """Pack source position and item position into one sortable BIGINT; a job that
+    meets a position that does not fit fails."""
+    source, item = source_ordinal.cast("bigint"), (item if isinstance(item, Column) else F.lit(item)).cast("bigint")
+    fits = source.between(0, (1 << 63 - ITEM_BITS) - 1) & item.between(0, (1 << ITEM_BITS) - 1)
+    return F.when(~fits, F.raise_error("source or item position out of range").cast("bigint")).otherwise(F.shiftleft(source, ITEM_BITS) + item)
 
 
 def as_records(df: DataFrame, kind: str, *keep: str, **columns: Column) -> DataFrame:

@@ -190,6 +190,7 @@ def sample_text(
         before = F.sum("n").over(W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
         lengths = lengths.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < budget)
     taken = lengths.select("ord", (budget - F.col("before")).cast("int").alias("room"))
-    pieces = sources.join(taken, "ord").select(project, "ord", F.substring(opening, F.lit(1), F.col("room")).alias("piece"))
+    openings = sources.select(project, "ord", opening.alias("_opening"))
+    pieces = openings.join(taken, "ord").select(project, "ord", F.substring("_opening", F.lit(1), F.col("room")).alias("piece"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda p: p["piece"]), SAMPLE_JOINER)
     return pieces.groupBy(project).agg(joined.alias("sample"), F.sum(F.length("piece")).alias("n_chars"))

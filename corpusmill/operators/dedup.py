@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.minhash import NUM_PERM, THRESHOLD, band_keys
 from corpusmill.functions.text import normalized_hash
 from corpusmill.session import materialize
 
-# Memberships that one task may fold in memory (about 50 bytes each).
-FINISH_LIMIT = 200_000
-
 # Memberships from which a bucket counts as hot.  There are at most
 # memberships / HOT_BUCKET hot buckets, which bounds their broadcast.
 HOT_BUCKET = 1_000_000
@@ -41,33 +37,40 @@ def drop_exact_duplicates(records: DataFrame, scope: Sequence[str] = (), text: s
     return records.join(exact_first(records, scope, text).select("ord"), "ord", "left_semi")
 
 
+def later_copies(keyed: DataFrame) -> DataFrame:
+    """``ord`` of every row of a written table (ord, bucket) that has an earlier one in its bucket."""
+    first = keyed.groupBy("bucket").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return join_buckets(keyed, first, "inner").where("ord > first").select("ord")
+
+
+def exact_buckets(records: DataFrame, scope: Sequence[str], value: Column) -> DataFrame:
+    """(ord, bucket), a bucket being one normalized text within one scope."""
+    key = F.to_json(F.struct(*scope, normalized_hash(value).alias("text_hash")), {"ignoreNullFields": "false"})
+    return records.select("ord", F.unhex(F.md5(key)).alias("bucket"))
+
+
 def near_duplicates(
     records: DataFrame,
     scope: Sequence[str] = (),
     text: str = "text",
     threshold: float = THRESHOLD,
     num_perm: int = NUM_PERM,
-    finish_limit: int = FINISH_LIMIT,
 ) -> DataFrame:
     """``ord`` of every record that collides with an earlier *kept* record."""
     keyed = materialize(records.select("ord", *scope, band_keys(F.col(text), threshold, num_perm).alias("bands")), "bands")
-    return resolve_first_wins(bucket_memberships(keyed, scope), finish_limit)
+    return resolve_first_wins(bucket_memberships(keyed, scope))
 
 
-def join_buckets(members: DataFrame, buckets: DataFrame, how: str, total: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Join ``total`` memberships with one row (bucket, n, ...) per bucket.
+def join_buckets(members: DataFrame, buckets: DataFrame, how: str, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Join memberships with one row (bucket, n, ...) per bucket; ``how`` is inner, left or left_semi.
 
     Members of hot buckets meet a broadcast of those few and are never shuffled
     on their bucket; all others are joined as usual.
     """
-    if total <= hot_bucket:
-        return members.join(buckets.drop("n"), "bucket", how)
     hot = F.broadcast(buckets.where(F.col("n") > hot_bucket).drop("n"))
     cold = buckets.where(F.col("n") <= hot_bucket).drop("n")
     rest = members.join(hot.select("bucket"), "bucket", "left_anti")
-    if how == "left_anti":
-        return rest.join(cold, "bucket", how)
-    return members.join(hot, "bucket", how).unionByName(rest.join(cold, "bucket", how))
+    return members.join(hot, "bucket", "left_semi" if how == "left_semi" else "inner").unionByName(rest.join(cold, "bucket", how))
 
 
 def drop_near_duplicates(records: DataFrame, **options) -> DataFrame:
@@ -88,53 +91,28 @@ def bucket_memberships(keyed: DataFrame, scope: Sequence[str] = (), hot_bucket:
         ),
     )
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    total = keyed.agg(F.sum(F.size("bands"))).first()[0] or 0
-    return join_buckets(members, shared, "left_semi", total, hot_bucket).select("ord", "bucket")
+    return join_buckets(members, shared, "left_semi", hot_bucket).select("ord", "bucket")
 
 
-def resolve_first_wins(
-    members: DataFrame, finish_limit: int = FINISH_LIMIT, hot_bucket: int = HOT_BUCKET
-) -> DataFrame:
+def resolve_first_wins(members: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Greedy first-wins over bucket memberships, as a DataFrame of dropped ``ord``.
 
     A record that comes first in all its buckets is kept, and everything else in
-    those buckets is dropped; then the same again for what is undecided.  Each
-    round is a pre-aggregated minimum per bucket and joins against one row per
-    bucket or record, linear in the memberships: no pairs are formed and no
-    bucket is gathered.  Once at most ``finish_limit`` memberships are undecided
-    one task folds them in order, which spares long tails of small rounds.
+    those buckets is dropped; then the same again for what is undecided, until
+    nothing is.  The least undecided ``ord`` always leads, so every round decides
+    something.  A round is a pre-aggregated minimum per bucket and joins against
+    one row per bucket or record, linear in the memberships: no pairs are formed
+    and no bucket is gathered.
     """
     undecided = materialize(members, "undecided")
-    dropped = [members.sparkSession.createDataFrame([], "ord bigint")]
-    while (left := undecided.count()) > finish_limit:
-        first = undecided.groupBy("bucket").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
-        led = join_buckets(undecided, first, "inner", left, hot_bucket)
+    dropped = members.sparkSession.createDataFrame([], "ord bigint")
+    while not undecided.isEmpty():
+        first = materialize(undecided.groupBy("bucket").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "firsts")
+        led = join_buckets(undecided, first, "inner", hot_bucket)
         kept = led.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("first")).alias("leads")).where("leads")
         settled = materialize(first.join(kept.select(F.col("ord").alias("first")), "first", "left_semi"), "settled")
-        behind = join_buckets(undecided, settled, "inner", left, hot_bucket).where("ord > first")
-        losers = materialize(behind.select("ord").distinct(), "near-duplicates")
-        dropped.append(losers)
-        open_ = join_buckets(undecided, settled.select("bucket", "n"), "left_anti", left, hot_bucket)
-        undecided = materialize(open_.join(losers, "ord", "left_anti"), "undecided")
-    if left:
-        dropped.append(_fold_in_order(undecided))
-    result = dropped[0]
-    for part in dropped[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _fold_in_order(undecided: DataFrame) -> DataFrame:
-    """First-wins in one task; the caller has checked how many rows there are."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set[bytes] = set()
-        losers = []
-        for ord_, buckets in group.sort_values("ord").groupby("ord", sort=False)["bucket"]:
-            if taken.isdisjoint(buckets):
-                taken.update(buckets)
-            else:
-                losers.append(ord_)
-        return pd.DataFrame({"ord": pd.Series(losers, dtype="int64")})
-
-    return undecided.groupBy().applyInPandas(fold, "ord bigint")
+        met = materialize(join_buckets(undecided, settled, "left", hot_bucket), "met")
+        losers = materialize(met.where("ord > first").select("ord").distinct(), "near-duplicates")
+        dropped = dropped.unionByName(losers)
+        undecided = materialize(met.where("first IS NULL").select("ord", "bucket").join(losers, "ord", "left_anti"), "undecided")
+    return dropped

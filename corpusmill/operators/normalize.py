@@ -23,11 +23,11 @@ from corpusmill.functions.records import (
     metadata,
     roles_alternate,
 )
-from corpusmill.functions.replies import OBJECTIVE_BY_GOAL, json_type
+from corpusmill.functions.replies import json_type
 from corpusmill.functions.text import fail_unless, has_text, strip
 
 # Senders of shared conversations and the role of each; the record
-# kind of each detectable shape; the record kind of each objective.
+# kind of each detectable shape.
 ROLE_BY_SENDER = {"human": "user", "gpt": "assistant", "system": "system"}
 KIND_BY_SHAPE = {
     "text": CPT,
@@ -37,7 +37,6 @@ KIND_BY_SHAPE = {
     "conversations": SFT_CONVERSATION,
     "prompt_chosen_rejected": DPO,
 }
-KIND_BY_OBJECTIVE = {objective: objective for objective in OBJECTIVE_BY_GOAL.values()}
 
 
 def _variant(df: DataFrame, name: str) -> Column | None:

@@ -8,14 +8,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.chunking import MAX_ACCEPTED_ROWS
 from corpusmill.plans.validation import Validation
+from corpusmill.session import materialize
 from corpusmill.sources.records_io import read_run, write_run
 
 PREVIEW_ROWS = 10  # Fixed value: accepted rows of a preview run.
 
+# Ranges of positions that are counted at a time.
+RANGES = 4096
 
-def target_rows(target: int | None, is_preview: bool = False, ceiling: int | None = MAX_ACCEPTED_ROWS) -> int | None:
+
+def target_rows(target: int | None, is_preview: bool = False, ceiling: int | None = None) -> int | None:
     """How many accepted rows a run wants; None for all of them."""
     wanted = [n for n in (PREVIEW_ROWS if is_preview else target, ceiling) if n is not None]
     return min(wanted) if wanted else None
@@ -24,15 +27,36 @@ def target_rows(target: int | None, is_preview: bool = False, ceiling: int | Non
 def first_in_order(records: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` records by ``ord``.
 
-    Only the narrow ``ord`` goes through the top-n; the records are then
-    filtered where they lie against its last value, so no task gathers them.
+    The last of them is found from counts of ``ord`` by range, which are combined
+    before they are shuffled, so no task ever holds ``n`` rows; the records
+    are then filtered where they lie.
     """
     if n is None:
         return records
     if n <= 0:
         return records.limit(0)
-    last = records.select("ord").orderBy("ord").limit(n).agg(F.max("ord"))
-    return records.where(F.col("ord") <= last.scalar())
+    last = nth_position(materialize(records.select("ord"), "positions"), n)
+    return records if last is None else records.where(F.col("ord") <= last)
+
+
+def nth_position(ords: DataFrame, n: int, ranges: int = RANGES) -> int | None:
+    """The ``n``-th least ``ord``, None if there are not as many.
+
+    Each pass counts the rows in ``ranges`` equal ranges, at most that many numbers,
+    and goes on inside the range that holds the n-th row.
+    """
+    low, high, total = ords.agg(F.min("ord"), F.max("ord"), F.count("ord")).first()
+    if total < n:
+        return None
+    while low < high:
+        width = (high - low) // ranges + 1
+        inside = ords.where(F.col("ord").between(low, high))
+        for k, rows in sorted(map(tuple, inside.groupBy(F.expr(f"(ord - {low}L) div {width}L")).count().collect())):
+            if n <= rows:
+                low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+                break
+            n -= rows
+    return low
 
 
 def remaining_capacity(written: DataFrame, n: int | None) -> int | None:
@@ -55,7 +79,12 @@ def merge_structured(
     left = remaining_capacity(generated, target)
     if cap == "before":
         return validate(first_in_order(structured, left)).accepted
-    return first_in_order(validate(structured).accepted, left)
+    return first_in_order(_once(validate(structured).accepted, left), left)
+
+
+def _once(accepted: DataFrame, n: int | None) -> DataFrame:
+    """Written where it will be read twice, that is, where a cap applies."""
+    return accepted if n is None else materialize(accepted, "accepted")
 
 
 def assemble_run(
@@ -71,7 +100,7 @@ def assemble_run(
 ) -> DataFrame:
     """Validate and write both parts of a run, generated records first."""
     spark = generated.sparkSession
-    write_run(first_in_order(validate_generated(generated).accepted, target), folder, run_id, "generated")
+    write_run(first_in_order(_once(validate_generated(generated).accepted, target), target), folder, run_id, "generated")
     written = read_run(spark, folder, run_id).where("part = 'generated'")
     write_run(merge_structured(written, structured, target, validate_structured, cap), folder, run_id, "normalized")
     return read_run(spark, folder, run_id)
@@ -92,7 +121,7 @@ def generate_to_target(
     ``produce`` turns chunks into accepted records.  Every wave is one part of
     the run, followed by its checkpoint (last chunk, accepted rows).  A resumed
     run goes on behind the last checkpoint and replaces a wave that was written
-    without one, so nothing is appended twice.
+    without one, so nothing is appended twice.  A run without any wave has no rows.
     """
     spark = sources.sparkSession
     ledger = f"{folder}/checkpoints/run_id={run_id}"
@@ -105,11 +134,14 @@ def generate_to_target(
         if upper is None:
             break
         part = f"generated-{number:06d}"
-        write_run(first_in_order(produce(chunks), None if target is None else target - total), folder, run_id, part)
+        room = None if target is None else target - total
+        write_run(first_in_order(_once(produce(chunks), room), room), folder, run_id, part)
         accepted = read_run(spark, folder, run_id).where(F.col("part") == part).count()
         row = spark.createDataFrame([(number, upper, accepted)], _CHECKPOINT)
         row.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/wave={number}")
         number, last, total = number + 1, upper, total + accepted
+    if number == 0:
+        write_run(produce(sources.limit(0)), folder, run_id, "generated-000000")
     return read_run(spark, folder, run_id)
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.minhash import NUM_PERM, THRESHOLD, band_keys
 from corpusmill.functions.records import DPO, rendered
-from corpusmill.functions.text import fail_unless, normalized_hash
+from corpusmill.functions.text import fail_unless
 from corpusmill.functions.tokens import WORDS
-from corpusmill.operators.dedup import FINISH_LIMIT, bucket_memberships, resolve_first_wins
+from corpusmill.operators.dedup import bucket_memberships, exact_buckets, later_copies, resolve_first_wins
 from corpusmill.operators.judging import PREFERENCE_MARGIN, QUALITY_THRESHOLD, judge_requests, verdicts
 from corpusmill.operators.structure import flag_structure
 from corpusmill.session import materialize
@@ -48,38 +48,21 @@ def flag_duplicates(
     scope: Sequence[str] = (),
     threshold: float = THRESHOLD,
     num_perm: int = NUM_PERM,
-    finish_limit: int = FINISH_LIMIT,
 ) -> DataFrame:
     """Fill ``reject_reason`` with 'exact_duplicate' and 'near_duplicate'.
 
     Only the records without a reason take part.  Texts are read where they lie
-    and only keys are shuffled to decide; the records themselves move once, on
-    their unique ``ord``, to meet both decisions.
+    and only keys are shuffled to decide; signatures are made for the first of
+    equal texts alone.  The records then meet the losers, which Spark
+    broadcasts while they are few.
     """
-    keys = flagged.where("reject_reason IS NULL").select(
-        "ord",
-        *scope,
-        normalized_hash(rendered()).alias("text_hash"),
-        band_keys(rendered(), threshold, num_perm).alias("bands"),
-    )
-    survivors = materialize(
-        keys.groupBy(*scope, "text_hash").agg(F.min_by("bands", "ord").alias("bands"), F.min("ord").alias("ord")),
-        "survivors",
-    )
-    near = resolve_first_wins(bucket_memberships(survivors, scope), finish_limit)
-    return (
-        flagged.join(survivors.select("ord", F.lit(True).alias("_first")), "ord", "left")
-        .join(near.select("ord", F.lit(True).alias("_near")), "ord", "left")
-        .withColumn(
-            "reject_reason",
-            F.coalesce(
-                "reject_reason",
-                F.when(F.col("_first").isNull(), F.lit("exact_duplicate")),
-                F.when(F.col("_near"), F.lit("near_duplicate")),
-            ),
-        )
-        .drop("_first", "_near")
-    )
+    open_ = flagged.where("reject_reason IS NULL")
+    copies = materialize(later_copies(materialize(exact_buckets(open_, scope, rendered()), "text-hashes")), "later-copies")
+    bands = band_keys(rendered(), threshold, num_perm).alias("bands")
+    signed = materialize(open_.join(copies, "ord", "left_anti").select("ord", *scope, bands), "bands")
+    near = resolve_first_wins(bucket_memberships(signed, scope))
+    losers = copies.select("ord", F.lit("exact_duplicate").alias("_lost")).unionByName(near.select("ord", F.lit("near_duplicate").alias("_lost")))
+    return flagged.join(losers, "ord", "left").withColumn("reject_reason", F.coalesce("reject_reason", "_lost")).drop("_lost")
 
 
 def validate(
@@ -93,21 +76,20 @@ def validate(
     quality_threshold: float = QUALITY_THRESHOLD,
     preference_margin: float = PREFERENCE_MARGIN,
     near_threshold: float = THRESHOLD,
-    finish_limit: int = FINISH_LIMIT,
 ) -> Validation:
     """Structure and length, exact duplicates, near duplicates, judging.
 
     ``judge`` maps request rows to (request_id, content) rows.  Preference pairs
     always need it: without a judge, a job that meets one fails.  Other kinds are
     judged only with ``judge_all``.  ``scope`` columns limit where duplicates
-    are looked for; the default is the whole input.  ``records`` is read twice
-    (keys, then the records themselves), so pass a written table when it is
+    are looked for; the default is the whole input.  ``records`` is read three times
+    (keys, signatures, then the records themselves), so pass a written table when it is
     costly to compute.
     """
     if judge is None:
         needs_none = F.coalesce(F.col("kind") != DPO, F.lit(True))
         records = records.where(fail_unless(needs_none, F.lit("preference pairs cannot be validated without a judge")))
-    decided = flag_duplicates(flag_structure(records, max_tokens, tokenizer), scope, near_threshold, finish_limit=finish_limit)
+    decided = flag_duplicates(flag_structure(records, max_tokens, tokenizer), scope, near_threshold)
     judged = False
     if judge is not None:
         due = F.col("reject_reason").isNull() & (F.lit(judge_all) | (F.col("kind") == DPO))

@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SCRATCH_CONF = "corpusmill.scratch.dir"
 
@@ -78,11 +77,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 2_000_000) -> DataFrame:
-    """Join with ``small`` broadcast only when it counts at most ``max_rows``
-    (keep its rows narrow); beyond that Spark chooses the join."""
-    small = materialize(small, "lookup")
-    return big.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
+def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with ``small`` written first, so that Spark knows its bytes and
+    broadcasts it only while it is under ``spark.sql.autoBroadcastJoinThreshold``."""
+    return big.join(materialize(small, "lookup"), on, how)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

@@ -73,27 +73,26 @@ def sequential(memberships):
     return dropped
 
 
-@pytest.mark.parametrize("limit, hot", [(0, 1_000_000), (0, 3), (1_000_000, 1)])
+@pytest.mark.parametrize("hot", [1_000_000, 3])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_rounds_match_the_sequential_fold(spark, seed, limit, hot):
+def test_rounds_match_the_sequential_fold(spark, seed, hot):
     draw = random.Random(seed)
     pairs = sorted({(draw.randrange(60), draw.randrange(45)) for _ in range(150)})
     df = spark.createDataFrame([(r, str(b).encode()) for r, b in pairs], "ord bigint, bucket binary")
-    found = {row.ord for row in resolve_first_wins(df, finish_limit=limit, hot_bucket=hot).collect()}
+    found = {row.ord for row in resolve_first_wins(df, hot_bucket=hot).collect()}
     assert found == sequential(pairs)
 
 
 def test_a_chain_keeps_what_is_only_near_a_dropped_record(spark):
     pairs = [(i, str(b).encode()) for i in range(7) for b in (i, i + 1)]
     df = spark.createDataFrame(pairs, "ord bigint, bucket binary")
-    for limit in (0, 100):
-        assert sorted(r.ord for r in resolve_first_wins(df, limit).collect()) == [1, 3, 5]
+    assert sorted(r.ord for r in resolve_first_wins(df).collect()) == [1, 3, 5]
 
 
 def test_one_bucket_with_most_records(spark):
     df = spark.range(0, 30_000).select(F.col("id").alias("ord"), F.lit(b"hot").alias("bucket"))
     for hot in (1_000, 1_000_000):
-        assert resolve_first_wins(df, finish_limit=0, hot_bucket=hot).count() == 29_999
+        assert resolve_first_wins(df, hot_bucket=hot).count() == 29_999
 
 
 def test_shared_buckets_are_the_same_with_hot_ones_split(spark):

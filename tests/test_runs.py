@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill import session
 from corpusmill.functions.records import CPT, SFT_PAIR, as_records, metadata, position
 from corpusmill.operators.structure import flag_structure
-from corpusmill.plans.run import assemble_run, first_in_order, generate_to_target, merge_structured, target_rows, unprocessed
+from corpusmill.plans.run import assemble_run, first_in_order, generate_to_target, merge_structured, nth_position, target_rows, unprocessed
 from corpusmill.plans.validation import Validation
 from corpusmill.sources import records_io as IO
 from corpusmill.streaming.incremental import dedup_stream, process_stream, read_stream
@@ -20,8 +20,8 @@ def shape_only(records):
 
 def test_targets():
     assert target_rows(500) == 500 and target_rows(500, is_preview=True) == 10
-    assert target_rows(200_000) == 100_000 and target_rows(None) == 100_000
-    assert target_rows(None, ceiling=None) is None
+    assert target_rows(200_000, ceiling=100_000) == 100_000 and target_rows(200_000) == 200_000
+    assert target_rows(None) is None
 
 
 def test_first_in_order(spark):
@@ -31,6 +31,28 @@ def test_first_in_order(spark):
     assert numbers(first_in_order(records, None)) == list(range(6))
 
 
+def test_nth_position_is_found_from_range_counts(spark):
+    values = sorted((i * i * 977) % 100_003 + (i % 3) * 2**40 for i in range(500))
+    ords = spark.createDataFrame([(v,) for v in values], "ord bigint")
+    assert [nth_position(ords, n, ranges=7) for n in (1, 250, 500)] == [values[0], values[249], values[499]]
+    assert nth_position(ords, 501) is None
+
+
+def test_a_run_without_a_wave_is_empty(spark, tmp_path):
+    chunks = texts(spark, ["a", "b"]).drop("scope")
+    same = lambda batch: batch
+    assert generate_to_target(chunks, same, str(tmp_path / "x"), "r", target=0, wave=1).count() == 0
+    assert generate_to_target(chunks.limit(0), same, str(tmp_path / "y"), "r", target=None, wave=1).count() == 0
+    assert generate_to_target(chunks, same, str(tmp_path / "x"), "r", target=None, wave=1).count() == 2
+
+
+@pytest.mark.parametrize("source, item", [(2**35, 0), (-1, 0), (0, 2**28)])
+def test_positions_that_do_not_fit_fail(spark, source, item):
+    df = spark.createDataFrame([(source, item)], "s bigint, i bigint")
+    with pytest.raises(Exception, match="out of range"):
+        df.select(position(F.col("s"), F.col("i"))).collect()
+
+
 def test_cap_before_and_after_validation(spark):
     generated, structured = texts(spark, ["a", "b"]), texts(spark, ["c", " ", "d", "e"])
     assert numbers(merge_structured(generated, structured, 4, shape_only)) == [0]
@@ -152,9 +174,6 @@ def test_scratch_folder_comes_from_the_session(spark, tmp_path):
     assert df.count() == 5 and any("corpusmill" in f for f in df.inputFiles())
 
 
-def test_lookups_are_broadcast_only_within_their_bound(spark):
-    big, small = spark.range(100), spark.range(10)
-    for limit, hinted in ((10, True), (9, False)):
-        joined = session.join_bounded(big, small, ["id"], max_rows=limit)
-        assert joined.count() == 10
-        assert ("ResolvedHint" in joined._jdf.queryExecution().analyzed().toString()) is hinted
+def test_lookups_carry_no_broadcast_hint(spark):
+    joined = session.join_bounded(spark.range(100), spark.range(10), ["id"])
+    assert joined.count() == 10 and "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()

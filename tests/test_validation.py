@@ -89,7 +89,7 @@ def test_reasons_in_order_and_everything_accounted_for(spark):
 def test_validation_does_not_depend_on_partitions_and_is_repeatable(spark):
     words = [f"w{i}" for i in range(30)]
     values = [" ".join(words[i % 4 :] + [str(i % 9)]) for i in range(60)]
-    results = [numbers(validate(texts(spark, values).repartition(n), max_tokens=None, finish_limit=0).accepted) for n in (1, 5, 5)]
+    results = [numbers(validate(texts(spark, values).repartition(n), max_tokens=None).accepted) for n in (1, 5, 5)]
     assert results[0] == results[1] == results[2]
 
 
