@@ -47,14 +47,19 @@ _PIECE = 4 << 20
 _PLACE_BITS = 24
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all runs of GRAM = 24 bytes."""
-    n = len(data) - GRAM + 1
+def _eights(data: np.ndarray) -> np.ndarray:
+    """All runs of eight bytes as numbers."""
     eight = data.astype("uint64")
     for shift in (1, 2, 4):
         grown = eight[: len(eight) - shift].copy()
         grown |= eight[shift:] << np.uint64(8 * shift)
         eight = grown
+    return eight
+
+
+def _gram_hashes(eight: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all runs of GRAM = 24 bytes."""
+    n = len(eight) + 8 - GRAM
     with np.errstate(over="ignore"):
         out = mixed(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
         out = mixed(out + eight[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -71,19 +76,31 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _digests(eight: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit keys of the byte strings, all their bytes and their size being mixed into either."""
+    out = [mixed(size.astype("uint64") + np.uint64(seed)) for seed in (1, 2)]
+    with np.errstate(over="ignore"):
+        for k in range(0, int(size.max()), 8):
+            # The last eight bytes of a string come again where it has no more.
+            word = eight[begin + np.minimum(k, size - 8)]
+            out = [mixed(h * np.uint64(m) + word) for h, m in zip(out, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))]
+    return [h.view("int64") for h in out]
+
+
 def string_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(piece, first start, number of starts, gram hash, sides) of the runs of strings with one gram.
+    """(piece, first start, number of starts, gram hash, sides, h1, h2) of the runs of strings with one gram.
 
     Of a string, SIDE bytes before its gram or SIDE bytes behind it belong to it as well, or both.
     ``sides`` has 32 bits for the gram with the bytes before it and 32 for that with those behind
-    it, zero where no string of the run has them.
+    it, zero where no string of the run has them.  ``h1`` and ``h2`` stand for the run's bytes.
     """
     ends = np.cumsum([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), dtype="uint8")
     empty = np.empty(0, dtype="int64")
     if len(data) < LENGTH:
-        return empty, empty, empty, empty, empty
-    hashes = _gram_hashes(data)
+        return (empty,) * 7
+    eight = _eights(data)
+    hashes = _gram_hashes(eight)
     low = np.uint64((1 << _PLACE_BITS) - 1)
     least = _window_minima((hashes & ~low) | np.arange(len(hashes), dtype="uint64"), LENGTH - GRAM + 1)
     chosen = (least & low).astype("int64")
@@ -92,7 +109,7 @@ def string_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     valid = start + LENGTH <= ends[piece]
     start, chosen, piece = start[valid], chosen[valid], piece[valid]
     if not len(start):
-        return empty, empty, empty, empty, empty
+        return (empty,) * 7
     opens = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (piece[1:] != piece[:-1])))
     count = np.diff(np.append(opens, len(start)))
     first, begin, gram = piece[opens], start[opens], chosen[opens]
@@ -107,7 +124,7 @@ def string_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     before = side(begin <= gram - SIDE, -SIDE, -(SIDE - GRAM), 0)
     behind = side(begin + count - 1 >= gram - SIDE, 0, GRAM, SIDE)
     sides = ((before << np.uint64(32)) | behind).view("int64")
-    return first, begin - (ends - [len(p) for p in pieces])[first], count, hashes[gram].view("int64"), sides
+    return first, begin - (ends - [len(p) for p in pieces])[first], count, hashes[gram].view("int64"), sides, *_digests(eight, begin, count + LENGTH - 1)
 
 
 def _pieces(value: bytes) -> Iterator[tuple[int, bytes]]:
@@ -117,15 +134,16 @@ def _pieces(value: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(gram, id, start, count) of all documents."""
+    """(gram, id, start, count, sides, h1, h2) of all documents."""
+    names = ["gram", "id", "start", "count", "sides", "h1", "h2"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            piece, start, count, gram, sides = string_runs([p for _, _, p in waiting])
+            piece, start, count, gram, *rest = string_runs([p for _, _, p in waiting])
             ids = np.array([i for i, _, _ in waiting], dtype="int64")
             offsets = np.array([o for _, o, _ in waiting], dtype="int64")
-            columns = [gram, ids[piece], start + offsets[piece], count, sides]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype="int64")) for c in columns], names=["gram", "id", "start", "count", "sides"])
+            columns = [gram, ids[piece], start + offsets[piece], count, *rest]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype="int64")) for c in columns], names=names)
 
         waiting, size = [], 0
         for batch in batches:
@@ -140,7 +158,7 @@ def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col(id).cast("long"), text).where(F.col(id).isNotNull())
-    return rows.mapInArrow(scan, "gram long, id long, start long, count long, sides long")
+    return rows.mapInArrow(scan, ", ".join(f"{n} long" for n in names))
 
 
 def _repeated(runs: DataFrame) -> DataFrame:
@@ -165,9 +183,9 @@ def _place(id: Column, start: Column) -> Column:
 
 
 def _with_bytes(docs: DataFrame, runs: DataFrame, id: str, text: str) -> DataFrame:
-    """(gram, id, start, count, sides, h1, h2, bytes) of the runs."""
-    lists = runs.groupBy("id").agg(F.collect_list(F.struct("gram", "start", "count", "sides")).alias("runs"))
-    schema = "gram long, id long, start long, count long, sides long, h1 long, h2 long, bytes binary"
+    """(gram, kinds, id, start, count, bytes) of the runs."""
+    lists = runs.groupBy("id").agg(F.collect_list(F.struct("gram", "kinds", "start", "count")).alias("runs"))
+    names = ["gram", "kinds", "id", "start", "count"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,15 +194,15 @@ def _with_bytes(docs: DataFrame, runs: DataFrame, id: str, text: str) -> DataFra
                 data = (value or "").encode("utf-8", "surrogatepass")
                 for run in runs:
                     part = data[run["start"] : run["start"] + run["count"] + LENGTH - 1]
-                    digest = hashlib.blake2b(part, digest_size=16).digest()
-                    numbers.append((run["gram"], identifier, run["start"], run["count"], run["sides"], *np.frombuffer(digest, dtype="<i8").tolist()))
-                    parts.append(part)
-            table = np.array(numbers, dtype="int64").reshape(-1, 7).T
-            names = ["gram", "id", "start", "count", "sides", "h1", "h2", "bytes"]
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in table], pa.array(parts, pa.binary())], names=names)
+                    # Rows that share an id: one whose text ends before is not the one with the run.
+                    if len(part) == run["count"] + LENGTH - 1:
+                        numbers.append((run["gram"], run["kinds"], identifier, run["start"], run["count"]))
+                        parts.append(part)
+            table = np.array(numbers, dtype="int64").reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in table], pa.array(parts, pa.binary())], names=[*names, "bytes"])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.join(lists, "id").select("id", "text", "runs").mapInArrow(cut, schema)
+    return rows.join(lists, "id").select("id", "text", "runs").mapInArrow(cut, ", ".join(f"{n} long" for n in names) + ", bytes binary")
 
 
 def later_strings(shard: pd.DataFrame) -> pd.DataFrame:
@@ -246,17 +264,14 @@ def _of_hot_grams(runs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD, hot: int = HOT) -> DataFrame:
     """(id, start, length) of byte spans that repeat earlier ones; spans may overlap."""
     runs = materialize(_repeated(_runs(docs, id, text)), "repeated-runs")
-    found = materialize(_with_bytes(docs, runs, id, text), "run-bytes")
-    place = _place(F.col("id"), F.col("start"))
-    groups = found.groupBy("gram", "h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    groups = materialize(groups, "run-groups")
-    copies = found.join(groups.where("copies > 1").drop("copies"), ["gram", "h1", "h2"]).where(place > F.col("first"))
+    first = F.min(F.struct("id", "start", "count", "sides"))
+    groups = materialize(runs.groupBy("gram", "h1", "h2").agg(first.alias("first"), F.count("*").alias("copies")), "run-groups")
+    copied = groups.where("copies > 1").select("gram", "h1", "h2", F.col("first.id").alias("_id"), F.col("first.start").alias("_start"))
+    copies = runs.join(copied, ["gram", "h1", "h2"]).where("id > _id OR (id = _id AND start > _start)")
     whole = copies.select("id", "start", (F.col("count") + LENGTH - 1).alias("length"))
     several = groups.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    firsts = groups.join(several, "gram").select("gram", "h1", "h2", "first", "kinds")
-    firsts = found.join(firsts, ["gram", "h1", "h2"]).where(place == F.col("first")).dropDuplicates(["gram", "h1", "h2"])
-    firsts = _with_equal_side(materialize(firsts.select("gram", "sides", "kinds", "id", "start", "count", "bytes"), "different-runs"))
-    firsts = materialize(firsts.select("gram", "kinds", "id", "start", "count", "bytes"), "first-runs")
+    firsts = materialize(groups.join(several, "gram").select("gram", "kinds", "first.*"), "different-runs")
+    firsts = materialize(_with_bytes(docs, _with_equal_side(firsts), id, text), "first-runs")
     total = firsts.where(F.col("kinds") <= hot).agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     columns = ["id", "start", "count", "bytes"]
