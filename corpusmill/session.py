@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH_CONF = "corpusmill.scratch.dir"
+_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "*", app: str = "corpusmill", **conf: str) -> SparkSession:
@@ -69,11 +70,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage, survives the loss of executors, and gives the optimizer
     real sizes, so it broadcasts the result only while it is under
-    ``spark.sql.autoBroadcastJoinThreshold``.
+    ``spark.sql.autoBroadcastJoinThreshold``.  Its shuffle files are removed as soon
+    as it is written, since nothing reads them again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP_CONF, "false")
+    spark.conf.set(_CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
