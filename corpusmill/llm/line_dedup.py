@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.links import lead_pairs, similar_groups
+from corpusmill.llm.links import key_groups, shared_keys
 from corpusmill.llm.words import char_shingles, minima, mixed, runs_within, set_key
 from corpusmill.session import materialize
 
@@ -121,13 +121,13 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simi
     # Written once, so that the numbers given to the distinct lines stay what they are.
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
     members = distinct.select("node", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"))
-    pairs = materialize(lead_pairs(members), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    members = materialize(shared_keys(members), "line-keys")
+    wanted = members.select("node").distinct()
     place = F.col("place")
     wanted = wanted.join(distinct, "node").select("node", _document(place).alias("id"), F.pmod(place, F.lit(1 << 32)).cast("long").alias("line"))
     texts = materialize(_texts_of_lines(docs, wanted, id, text), "line-texts")
     shingles = lambda line: char_shingles(line, SHINGLE)
-    groups, _ = similar_groups(pairs, texts, shingles, similarity)
+    groups = key_groups(members, texts, shingles, similarity)
     grouped = distinct.select("node", "h1", "h2", "place", "n").join(groups, "node", "left")
     firsts = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("place").alias("first"))
     # Distinct lines of which some occurrence goes, with the place that stays.

@@ -47,9 +47,9 @@ def lead_pairs(members: DataFrame, *others: str) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingles: Shingles, threshold: float) -> DataFrame:
-    """The pairs whose texts, (node, text), have a Jaccard similarity of ``threshold`` or more."""
+    """(a, b, similarity) of the pairs whose texts, (node, text), have a Jaccard similarity of ``threshold`` or more."""
     node = pairs.schema["a"].dataType
-    schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
+    schema = T.StructType([T.StructField("a", node), T.StructField("b", node), T.StructField("similarity", T.DoubleType())])
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -57,13 +57,15 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingles: Shingles, thresh
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[str | None, np.ndarray] = {}
-            close = []
+            values = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if y not in known:
                     # Leads come again and again; a batch is what is remembered at most.
                     known[y] = shingles(y)
-                close.append(jaccard(shingles(x), known[y]) >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(close, pa.bool_())) for c in batch.columns[:2]], schema=pa.schema([(n, c.type) for n, c in zip("ab", batch.columns)]))
+                values.append(jaccard(shingles(x), known[y]))
+            close = pa.array([v >= threshold - 1e-12 for v in values], pa.bool_())
+            columns = [*batch.columns[:2], pa.array(values, pa.float64())]
+            yield pa.RecordBatch.from_arrays([c.filter(close) for c in columns], names=schema.names)
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, schema)
 
@@ -156,3 +158,53 @@ def similar_groups(pairs: DataFrame, texts: DataFrame, shingles: Shingles, simil
     tiles = materialize(tile_links(groups, texts, shingles, similarity, block), "tile-links")
     edges = tiles.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(edges), tiles.groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def shared_keys(members: DataFrame) -> DataFrame:
+    """The rows of (node, key) whose key has more than one node."""
+    groups = members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("key")
+    return members.join(groups, "key").select("node", "key")
+
+
+def lead_rounds(members: DataFrame, texts: DataFrame, shingles: Shingles, similarity: float, loose: float = LOOSE) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of a node and a lead that are loosely similar, and the rows of (node, key) that are left.
+
+    In a round the nodes of a key are compared with the least of them.  That one leaves the key, and so
+    do those that are so near to it that whatever is similar to them is loosely similar to it
+    (one less the similarity is a distance): they meet all that they can be similar to in its
+    group.  All others stay for the next round with the next lead.  Rounds go on while they take a
+    quarter of the rows away; rows that are left have to be compared with each other.
+    """
+    loose = min(loose, similarity)
+    enough = loose + (1 - similarity) + 1e-9
+    rest, near = members, None
+    size = rest.count()
+    while size:
+        leads = rest.groupBy("key").agg(F.min("node").alias("b"))
+        others = materialize(rest.join(leads, "key").where("node > b").select(F.col("node").alias("a"), "b", "key"), "lead-pairs")
+        close = materialize(similar_pairs(others.select("a", "b").distinct(), texts, shingles, loose), "near-leads")
+        near = close if near is None else near.unionByName(close)
+        gone = close.where(F.col("similarity") >= enough).select("a", "b")
+        rest = materialize(shared_keys(others.join(gone, ["a", "b"], "left_anti").select(F.col("a").alias("node"), "key")), "keys-left")
+        before, size = size, rest.count()
+        if size > 0.75 * before:
+            break
+    if near is None:
+        near = similar_pairs(members.select(F.col("node").alias("a"), F.col("node").alias("b")), texts, shingles, loose)
+    return near, rest
+
+
+def key_groups(members: DataFrame, texts: DataFrame, shingles: Shingles, similarity: float, loose: float = LOOSE, block: int = BLOCK) -> DataFrame:
+    """(node, component) of similar texts; any two nodes of (node, key) that share a key are compared or
+    known to be less similar, however unlike the others of the key are.
+
+    Nodes that are loosely similar to a common lead, directly or over others, are one group, and
+    within a group, as among the nodes that are left in a key, everything is compared
+    with everything, in tiles.
+    """
+    near, rest = lead_rounds(members, texts, shingles, similarity, loose)
+    groups = materialize(components(near), "loose-groups")
+    tiles = tile_links(groups, texts, shingles, similarity, block)
+    left = tile_links(rest.select("node", F.col("key").alias("component")), texts, shingles, similarity, 2 * block)
+    edges = tiles.unionByName(left).where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(materialize(edges, "tile-links"))
