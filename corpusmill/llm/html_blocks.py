@@ -8,7 +8,7 @@ get the label of the nearest decided block in the second pass; between two that
 one that is in wins.
 
 Defined cases: a null or empty page has an empty text; unclosed elements end with what holds
-them; repeated rows come out alike; other columns are ignored; an empty table gives
+them, items, terms and cells at the next one as well; repeated rows come out alike; other columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -46,6 +46,22 @@ STOP_WORDS = frozenset(
     "el los las del y que en un una por con para es se no lo al su como más o".split()
 )
 
+# What the start of an element closes, and the elements that it does not reach beyond.
+_CELLS = ("tr", "td", "th")
+_SECTIONS = ("thead", "tbody", "tfoot", *_CELLS)
+_CLOSES = {
+    "li": ("li",),
+    **dict.fromkeys(("dt", "dd"), ("dt", "dd")),
+    **dict.fromkeys(("td", "th"), ("td", "th")),
+    "tr": _CELLS,
+    **dict.fromkeys(("thead", "tbody", "tfoot"), _SECTIONS),
+}
+_HOLDERS = {
+    **{k: (BLOCK | SKIPPED) - {"address", "div", "p", "option", "legend", "dialog", *_CLOSES[k]} for k in ("li", "dt", "dd")},
+    **dict.fromkeys(("td", "th"), frozenset(["table", "tr"])),
+    **dict.fromkeys(("tr", "thead", "tbody", "tfoot"), frozenset(["table"])),
+}
+
 SHORT, LONG = 70, 200
 LINKS, FEW_STOPS, MANY_STOPS = 0.5, 0.15, 0.3
 
@@ -75,6 +91,7 @@ class _Cutter:
     parts: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
     in_link: int = 0
+    places: dict[str, list[int]] = field(default_factory=dict)  # of the open elements, by name
 
     def state(self) -> tuple[bool, bool, bool]:
         return self.open[-1][1:] if self.open else (False, False, False)
@@ -103,8 +120,7 @@ class _Cutter:
             self.text(" ")
         if name in VOID or rest.endswith("/") and name not in BLOCK:
             return
-        if name == "p":
-            self.end_open_paragraph()
+        self.end_implied(name)
         skipped, out, inside = self.state()
         named = {w.lower() for m in _NAMED.finditer(rest) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")} if rest else set()
         # A page's header goes, an article's heading is part of it.
@@ -112,11 +128,23 @@ class _Cutter:
         if rest and _HIDDEN.search(rest):
             marked = True
         if name in BLOCK or name in SKIPPED or marked:
+            self.places.setdefault(name, []).append(len(self.open))
             self.open.append((name, skipped or name in SKIPPED, out or marked, inside or name in IN))
 
-    def end_open_paragraph(self) -> None:
-        if self.open and self.open[-1][0] == "p":
-            self.open.pop()
+    def end_from(self, k: int) -> None:
+        for name, *_ in self.open[k:]:
+            self.places[name].pop()
+        del self.open[k:]
+
+    def end_implied(self, name: str) -> None:
+        if name == "p" or name == "option":
+            if self.open and self.open[-1][0] == name:
+                self.end_from(len(self.open) - 1)
+        elif name in _CLOSES:
+            holder = max((at[-1] for n, at in self.places.items() if at and n in _HOLDERS[name]), default=-1)
+            closed = [at[-1] for n in _CLOSES[name] if (at := self.places.get(n)) and at[-1] > holder]
+            if closed:
+                self.end_from(min(closed))
 
     def end(self, name: str) -> None:
         if name == "a":
@@ -124,11 +152,9 @@ class _Cutter:
             return
         if name in BLOCK or name in SKIPPED:
             self.close_block()
-        for k in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            if self.open[k][0] == name:
-                self.close_block()
-                del self.open[k:]
-                return
+        if self.places.get(name):
+            self.close_block()
+            self.end_from(self.places[name][-1])
 
 
 def blocks_of(html: str) -> list[Block]:

@@ -33,6 +33,20 @@ def test_pages_without_an_article_are_told_by_their_words():
     assert main_text("<article><p>" + "w " * 300_000).count("w") == 300_000
 
 
+def test_unclosed_items_do_not_hide_the_page():
+    article = "<article><p>The text of the page.</article>"
+    lists = ("<ul>{}</ul>", "<li><a href=/x>x</a>"), ("<dl>{}</dl>", "<dt>x<dd>y"), ("<table>{}</table>", "<tr><td>x<td>y"), ("<div>{}</div>", "<div>x")
+    for out in ("nav", "aside", "form", "footer"):
+        for holder, item in lists:
+            assert main_text(f"<{out}>{holder.format(item * 400)}</{out}>{article}") == "The text of the page."
+    assert main_text("<article><ul><li>One<ul><li>Two</ul>Three<li class=ad>Four<li>Five</ul></article>").split("\n") == ["One", "Two", "Three", "Five"]
+    item = "item " * 30
+    assert main_text(f"<li>x<article><p>Text.<li>{item}</article>").split("\n")[1:] == ["Text.", item.strip()]
+    assert main_text("<article><table><thead><tr><th>Head<tbody hidden><tr><td>No<tr><td>No</table></article>") == "Head"
+    table = "<article><table><tr><td class=ad>No<td>One<table><tr><td>Two</table>Three<tr class=ad><td>No<tr><td>Four</table></article>"
+    assert main_text(table).split("\n") == ["One", "Two", "Three", "Four"]
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     rows = extract_main_text(pages).collect()
