@@ -3,8 +3,8 @@
 The patterns give the base spans and, on a bounded sample, the labelled spans that the model is
 trained on, along with variants of them that the patterns don't know (numbers without
 a plus sign, other separators, addresses with a written-out at sign) and windows of other text
-that has digits.  The model looks at every part of a text that holds a digit or an at sign, the
-only places where a span of these kinds can be.  Such a part goes in windows that overlap;
+that has digits.  The model looks at every part of a text that holds a digit, an at sign or a
+written-out one ("at" with a dotted name after it), the only places where a span of these kinds can be.  Such a part goes in windows that overlap;
 each character takes its tag from the window in which it is farthest from the edge, so
 that a span over two windows comes out once.  Found spans that touch no base span and have
 the digits of their kind are added.
@@ -47,6 +47,13 @@ WINDOW, OVERLAP, CONTEXT = 96, 48, 32
 _BATCH = 2048
 _TRIGGER = re.compile(r"[0-9@]")
 
+# Longest names of an address (RFC 5321, RFC 1035), and where an added span can be: a written-out
+# at sign needs a dotted name after it.
+LOCAL, DOMAIN = 64, 253
+_WRITTEN_AT = re.compile(r"\bat\b(?:(?<=\.at)|(?=((?s:.{0,%d}?)\.[A-Za-z]{2})))" % (DOMAIN + 8))
+_BEFORE = re.compile(r"\S*\s*[(\[{<]?\s*\Z")
+_AFTER = re.compile(r"\s*[)\]}>]?\s*\S{0,%d}" % (DOMAIN + 2))
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -162,17 +169,32 @@ def train(docs: DataFrame, text: str = "text", most: int = TRAIN_TEXTS, steps: i
 
 
 def _regions(text: str) -> list[tuple[int, int]]:
-    """The parts of a text around its digits and at signs."""
-    out: list[list[int]] = []
+    """The parts of a text around its digits, and around its at signs with the names beside them."""
+    parts = []
     for m in _TRIGGER.finditer(text):
-        start, end = max(0, m.start() - CONTEXT), min(len(text), m.start() + CONTEXT)
+        start, end = m.span()
+        if m[0] == "@":
+            start, end = _names(text, start, end)
+        parts.append((max(0, start - CONTEXT), min(len(text), max(end - 1, m.start()) + CONTEXT)))
+    for m in _WRITTEN_AT.finditer(text):
+        start, end = _names(text, *m.span())
+        end = max(end, m.end(1))
+        parts.append((max(0, start - CONTEXT), min(len(text), end + CONTEXT)))
+    out: list[list[int]] = []
+    for start, end in sorted(parts):
         if out and start <= out[-1][1]:
-            out[-1][1] = end
+            out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end])
     return [(a, b) for a, b in out]
 
 
+def _names(text: str, start: int, end: int) -> tuple[int, int]:
+    """From the start of the name before an at sign to the end of the one after it."""
+    first = max(0, start - LOCAL - 8)
+    return first + _BEFORE.search(text[first:start]).start(), _AFTER.match(text, end).end()
+
+
 def _plausible(kind: str, value: str) -> bool:
     digits = _digits(value)
     if kind == "phone":

@@ -7,7 +7,7 @@ import pytest
 
 from corpusmill.llm.html_blocks import extract_main_text, main_text
 from corpusmill.llm.lstm_crf import Tagger
-from corpusmill.llm.personal_data import KINDS, WINDOW, all_spans, base_spans, find_personal_data, luhn, model_spans, train, training_windows, written
+from corpusmill.llm.personal_data import KINDS, WINDOW, _regions, _tags, all_spans, base_spans, find_personal_data, luhn, model_spans, train, training_windows, written
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -143,6 +143,26 @@ def test_model_learns_the_spans_and_adds_variants(spark, sentences):
         assert set(filter(None, written(base).split(","))) <= set(rows[i].spans.split(","))
 
 
+def test_written_out_addresses_are_seen_without_a_digit():
+    class Reader:
+        def decode(self, symbols):
+            texts = ["".join(chr(31 + c) for c in row) for row in symbols]
+            form = re.compile(r"[a-z.]+(?: at | \(at\) |\[at\])[a-z]+(?:\.[a-z]+)+")
+            return np.stack([_tags(WINDOW, [(*m.span(), "email") for m in form.finditer(t)]) for t in texts])
+
+    prose = "as it was in all of the books, or at the end of them, that we have read so far; " * 3
+    for sign in (" at ", " (at) ", "[at]"):
+        address = f"ann.miller{sign}mail.example.com"
+        text = f"{prose}{address} {prose}"
+        ((base, added),) = all_spans([text], Reader())
+        assert base == [] and [text[s:e] for s, e, _ in added] == [address]
+        long = f"{'l' * 64}{sign}{'d' * 60}.{'e' * 60}.{'f' * 60}.example"
+        text = f"Number 7: {long} {prose}"
+        start = text.index(long)
+        assert any(a <= start and start + len(long) <= b for a, b in _regions(text))
+    assert _regions(prose) == []
+
+
 def test_texts_without_spans(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "no data"), (2, "")], "doc_id long, text string")
     assert train(docs) is None
