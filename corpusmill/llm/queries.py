@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from corpusmill.llm.decontamination import with_passages
+from corpusmill.llm.fill_in_middle import fill_in_middle, restored
 from corpusmill.llm.html_blocks import extract_main_text
 from corpusmill.llm.line_dedup import dedup_lines
 from corpusmill.llm.ngram_join import ngram_classes
@@ -16,7 +17,9 @@ from corpusmill.llm.quality import quality_judgements
 from corpusmill.llm.registry import query, table
 from corpusmill.llm.suffix_dedup import repeated_spans, without_spans
 from corpusmill.llm.toxicity import held_out, scored, train
+from corpusmill.llm.vector_codes import code, encoded_vectors, with_label_errors
 from corpusmill.llm.warc import described, read_archive, write_archive
+from corpusmill.llm.winnowing import edited_and_next, likeness, written
 from corpusmill.session import scratch_path
 
 _QUALITY_SQL = r"""
@@ -120,3 +123,89 @@ def op9_induced_suffix_dedup(spark, folder):
 def op10_fuzzy_lines(spark, folder):
     docs = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_gone").alias("n_removed"), "text")
+
+
+_MIDDLE_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+units AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM texts),
+cuts AS (
+  SELECT *, len(w)::BIGINT AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+parts AS (
+  SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS p, coalesce(array_to_string(w[a + 1:b], ''), '') AS m, coalesce(array_to_string(w[b + 1:], ''), '') AS s
+  FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts"""
+
+
+@query(_MIDDLE_SQL)
+def op11_fill_in_middle(spark, folder):
+    out = fill_in_middle(table(spark, folder, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query()
+def op12_winnowing(spark, folder):
+    both = edited_and_next(table(spark, folder, "documents"))
+    return both.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        written(F.col("print")).alias("fingerprint"),
+        written(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("print.hashes"), F.col("edited_print.hashes")).alias("near_edited"),
+        likeness(F.col("print.hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
+def _assign_sql(name: str, books: str) -> str:
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT vec_id, p, x, m % 64 AS e, m // 64 AS far FROM (
+    SELECT vec_id, a.p, any_value(a.x) AS x,
+      min(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + b.e) AS m
+    FROM parts a JOIN {books} b ON a.p = b.p GROUP BY vec_id, a.p))"""
+
+
+def _update_sql(name: str, books: str, assignment: str) -> str:
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (
+    SELECT p, e, list((total - ((total % n) + n) % n) // n ORDER BY i) AS x FROM (
+      SELECT p, e, i, sum(x[i])::BIGINT AS total, count(*) AS n
+      FROM {assignment}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY p, e, i)
+    GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"""
+
+
+_CODES_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM kept, LATERAL (SELECT unnest(range(16)) AS p)),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts QUALIFY e < 64),
+{_assign_sql("first", "book0")}, {_update_sql("book1", "book0", "first")},
+{_assign_sql("second", "book1")}, {_update_sql("book2", "book1", "second")},
+{_assign_sql("final", "book2")},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM final GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
+@query(_CODES_SQL)
+def op13_active_lloyd(spark, folder):
+    coded, books = encoded_vectors(table(spark, folder, "embeddings"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return with_label_errors(coded).select(F.col("id").alias("vec_id"), code().alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
