@@ -12,65 +12,88 @@ each by itself; other columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.words import by_size
 from corpusmill.session import materialize
 
 WINDOW = 4096
 END_ID = 2
 
 # White space that Python and the tokenizers may not agree about; such texts are tokenized in one go.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_ODD_SPACE = "[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]"
 
-# Words that a Python worker remembers.
-_REMEMBERED = 1_000_000
-_WORDS: dict[tuple[str, str], dict[str, bytes]] = {}
+# Words that a task remembers, and bytes of text that it tokenizes at a time.
+_REMEMBERED = 1 << 17
+_STEP = 1 << 23
 
+Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
-def split_tokenizer(path: str, dtype: str):
-    """texts -> id bytes, for tokenizers that drop white space and never merge across it.
 
-    Words come back again and again, so each is tokenized once and remembered.
+def _ids_of(tokenizer, texts: list[str], dtype: str) -> list[np.ndarray]:
+    return [np.array(e.ids, dtype=dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def split_tokenizer(path: str, dtype: str) -> Encoder:
+    """texts -> (all ids, ids of each text), for tokenizers that drop white space and never merge across it.
+
+    The words of the texts are encoded as a dictionary, so that each distinct one is tokenized once,
+    and the ids are put together by position.  Some words stay known until the task ends.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known = _WORDS.setdefault((path, dtype), {})
-
-    def ids(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    known: dict[str, np.ndarray] = {}
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def learn(words: list[str]) -> list[np.ndarray]:
         if len(known) > _REMEMBERED:
             known.clear()
-        words = [None if _ODD_SPACE.search(text) else text.split() for text in texts]
-        new = list({w for row in words if row for w in row if w not in known})
+        new = [w for w in words if w not in known]
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            known.update(zip(part, ids(part)))
-        get = known.__getitem__
-        return [ids([text])[0] if row is None else b"".join(map(get, row)) for text, row in zip(texts, words)]
+            known.update(zip(part, _ids_of(tokenizer, part, dtype)))
+        return [known[w] for w in words]
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        whole = {k: _ids_of(tokenizer, [texts[k].as_py()], dtype)[0] for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
+        rows = pc.ascii_split_whitespace(pc.if_else(odd, "", texts) if whole else texts)
+        words = rows.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        found = learn(words.dictionary.to_pylist())
+        lengths = np.array([len(x) for x in found], dtype="int64")
+        flat = np.concatenate([*found, np.empty(0, dtype=dtype)])
+        n = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], n) + np.arange(ends[-1])]
+        ends = ends[rows.offsets.to_numpy()]
+        counts = np.diff(ends)
+        if whole:
+            parts = [whole.get(k, ids[ends[k] : ends[k + 1]]) for k in range(len(counts))]
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], dtype="int64")
+        return ids, counts
 
     return encode
 
 
-def whole_tokenizer(path: str, dtype: str):
-    """texts -> id bytes, for any tokenizer of the library."""
+def whole_tokenizer(path: str, dtype: str) -> Encoder:
+    """texts -> (all ids, ids of each text), for any tokenizer of the library."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = _ids_of(tokenizer, texts.to_pylist(), dtype)
+        return np.concatenate([*found, np.empty(0, dtype=dtype)]), np.array([len(x) for x in found], dtype="int64")
 
     return encode
 
@@ -91,18 +114,18 @@ def tokenized(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, part, at = load(tokenizer, dtype), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                piece = batch.slice(start, 500)
-                ids = [b + end for b in run([t or "" for t in piece.column(1).to_pylist()])]
-                n = np.array([len(b) // width for b in ids], dtype="int64")
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
+            for piece in by_size(batch, 1, _STEP):
+                ids, n = run(pc.fill_null(piece.column(1).cast(pa.string()), ""))
+                ids = np.insert(ids, np.cumsum(n), end_id).astype(dtype)
+                n = n + 1
+                ends = np.concatenate([[0], np.cumsum(n)])
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * width).astype("int32")), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array([part] * len(n), pa.int32()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
+                    [piece.column(0), pa.array([part] * len(n), pa.int32()), pa.array(at + ends[:-1]), pa.array(n), data],
                     names=schema.names,
                 )
+                at += int(ends[-1])
 
     return materialize(docs.select(id, text).mapInArrow(encode, schema), "tokens")
 

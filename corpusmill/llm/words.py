@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 # Words that a worker remembers the hash of.
@@ -12,6 +16,18 @@ _HASHES: dict[str, int] = {}
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def by_size(batch: pa.RecordBatch, text: int, step: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces whose texts, column number ``text``, have about ``step`` bytes; at
+    least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + step, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
     with np.errstate(over="ignore"):
