@@ -12,6 +12,7 @@ each by itself; other columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -33,7 +34,7 @@ END_ID = 2
 _ODD_SPACE = "[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]"
 
 # Words that a task remembers, and bytes of text that it tokenizes at a time.
-_REMEMBERED = 1 << 17
+_REMEMBERED = 1 << 19
 _STEP = 1 << 23
 
 Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -51,16 +52,19 @@ def split_tokenizer(path: str, dtype: str) -> Encoder:
     """
     from tokenizers import Tokenizer
 
+    # A task has one core.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, np.ndarray] = {}
+    width = np.dtype(dtype).itemsize
+    known: dict[str, bytes] = {}
 
-    def learn(words: list[str]) -> list[np.ndarray]:
+    def learn(words: list[str]) -> list[bytes]:
         if len(known) > _REMEMBERED:
             known.clear()
         new = [w for w in words if w not in known]
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            known.update(zip(part, _ids_of(tokenizer, part, dtype)))
+            known.update(zip(part, (x.tobytes() for x in _ids_of(tokenizer, part, dtype))))
         return [known[w] for w in words]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +74,8 @@ def split_tokenizer(path: str, dtype: str) -> Encoder:
         words = rows.flatten().dictionary_encode()
         at = words.indices.to_numpy()
         found = learn(words.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in found], dtype="int64")
-        flat = np.concatenate([*found, np.empty(0, dtype=dtype)])
+        lengths = np.array([len(x) // width for x in found], dtype="int64")
+        flat = np.frombuffer(b"".join(found), dtype=dtype)
         n = lengths[at]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], n) + np.arange(ends[-1])]
