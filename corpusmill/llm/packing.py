@@ -44,27 +44,73 @@ def _ids_of(tokenizer, texts: list[str], dtype: str) -> list[np.ndarray]:
     return [np.array(e.ids, dtype=dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _letters_encoder(tokenizer, dtype: str) -> Callable[[list[str]], list[bytes]]:
+    """words of letters -> id bytes of each.
+
+    Where the vocabulary marks the ends of words, many words are encoded as one text and cut after each
+    such mark: as many marks as words leave one for each.
+    """
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    if suffix:
+        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    width = np.dtype(dtype).itemsize
+
+    def encode(words: list[str]) -> list[bytes]:
+        if not suffix:
+            return [x.tobytes() for x in _ids_of(tokenizer, words, dtype)]
+        out: list[bytes] = []
+        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
+        for group, ids in zip(groups, _ids_of(tokenizer, [" ".join(g) for g in groups], dtype)):
+            stops = (np.flatnonzero(ends[ids]) + 1) * width
+            if len(stops) != len(group):
+                out += [x.tobytes() for x in _ids_of(tokenizer, group, dtype)]
+                continue
+            data, start = ids.tobytes(), 0
+            for stop in stops.tolist():
+                out.append(data[start:stop])
+                start = stop
+        return out
+
+    return encode
+
+
 def split_tokenizer(path: str, dtype: str) -> Encoder:
     """texts -> (all ids, ids of each text), for tokenizers that drop white space and never merge across it.
 
     The words of the texts are encoded as a dictionary, so that each distinct one is tokenized once,
-    and the ids are put together by position.  Some words stay known until the task ends.
+    and the ids are put together by position.  Some words stay known until the task ends.  A word and the
+    punctuation mark after it are looked up apart where the tokenizer parts them.
     """
     from tokenizers import Tokenizer
 
     # A task has one core.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
+    letters = _letters_encoder(tokenizer, dtype)
     width = np.dtype(dtype).itemsize
+    pieces = tokenizer.pre_tokenizer.pre_tokenize_str if tokenizer.pre_tokenizer else lambda text: [(text, (0, len(text)))]
+    marks = {m for m in ".,;:!?" if [at for _, at in pieces(f"ab{m}")] == [(0, 2), (2, 3)]}
     known: dict[str, bytes] = {}
 
     def learn(words: list[str]) -> list[bytes]:
         if len(known) > _REMEMBERED:
             known.clear()
-        new = [w for w in words if w not in known]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            known.update(zip(part, (x.tobytes() for x in _ids_of(tokenizer, part, dtype))))
+        whole, parted = {}, []
+        for word in words:
+            if word not in known:
+                if word[-1:] in marks and word[:-1].isalpha():
+                    parted.append(word)
+                    whole[word[:-1]] = whole[word[-1]] = None
+                else:
+                    whole[word] = None
+        new = [w for w in whole if w not in known]
+        plain, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        for some, run in ((plain, letters), (rest, lambda part: [x.tobytes() for x in _ids_of(tokenizer, part, dtype)])):
+            for start in range(0, len(some), 20_000):
+                part = some[start : start + 20_000]
+                known.update(zip(part, run(part)))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in parted)
         return [known[w] for w in words]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
