@@ -8,6 +8,7 @@ from catalog.registry import cpt_documents, doc_of, query
 from corpusmill.functions.minhash import MAX_HASH, NUM_PERM, PRIME, band_shape, permutations, signatures_of
 from corpusmill.functions.text import normalized_hash
 from corpusmill.operators.dedup import drop_exact_duplicates, drop_near_duplicates, exact_first, near_duplicates
+from corpusmill.operators.similarity import similar_to_kept
 from corpusmill.session import materialize, spread
 
 # The checked tables hold ASCII whitespace only, so \s is enough in SQL.
@@ -118,3 +119,44 @@ def minhash_bands(spark, folder):
         "band",
         F.md5(F.array_join(F.slice("signature", F.col("band") * rows + 1, F.lit(rows)), ",")).alias("band_key"),
     )
+
+
+def similar_sql(scope: str = "''") -> str:
+    """Greedy first-wins over all pairs of documents with a Jaccard similarity of 0.85 or more."""
+    return f"""
+    WITH RECURSIVE sets AS MATERIALIZED (
+      SELECT doc_id, {scope} AS scope, list_distinct(regexp_extract_all(text, '\\S+')) AS w FROM documents),
+    tokens AS MATERIALIZED (SELECT doc_id, scope, len(w) AS n, unnest(w) AS w FROM sets),
+    edges AS MATERIALIZED (
+      SELECT x.doc_id AS lo, y.doc_id AS hi FROM tokens x JOIN tokens y ON x.w = y.w AND x.scope = y.scope AND x.doc_id < y.doc_id
+      WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+      GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))
+      UNION SELECT x.doc_id, y.doc_id FROM sets x JOIN sets y ON x.scope = y.scope AND x.doc_id < y.doc_id WHERE len(x.w) = 0 AND len(y.w) = 0),
+    rounds(round, doc_id, status) AS (
+      SELECT 0, doc_id, 'u' FROM (SELECT lo AS doc_id FROM edges UNION SELECT hi FROM edges)
+      UNION ALL
+      SELECT any_value(s.round) + 1, s.doc_id,
+        CASE WHEN any_value(s.status) <> 'u' THEN any_value(s.status)
+             WHEN bool_or(l.status = 'k') THEN 'd'
+             WHEN coalesce(bool_and(l.status = 'd'), true) THEN 'k' ELSE 'u' END
+      FROM rounds s LEFT JOIN edges e ON e.hi = s.doc_id LEFT JOIN rounds l ON l.doc_id = e.lo
+      WHERE EXISTS (SELECT 1 FROM rounds u WHERE u.status = 'u')
+      GROUP BY s.doc_id),
+    fate AS (SELECT doc_id, status FROM rounds QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round DESC) = 1)
+    SELECT hi AS doc_id, min(lo) AS kept_doc_id FROM edges JOIN fate h ON h.doc_id = hi AND h.status = 'd' JOIN fate l ON l.doc_id = lo AND l.status = 'k'
+    GROUP BY hi"""
+
+
+def _similar_documents(spark, folder, *scope):
+    told = similar_to_kept(spread(cpt_documents(spark, folder, *scope), "ord"), scope=scope)
+    return told.select(doc_of(F.col("ord")).alias("doc_id"), doc_of(F.col("kept_ord")).alias("kept_doc_id"))
+
+
+@query(similar_sql())
+def similar_documents(spark, folder):
+    return _similar_documents(spark, folder)
+
+
+@query(similar_sql("source"))
+def similar_documents_by_source(spark, folder):
+    return _similar_documents(spark, folder, "source")
