@@ -15,6 +15,7 @@ from corpusmill.operators.generation import generate
 from corpusmill.operators.structure import flag_structure
 from corpusmill.plans.run import assemble_run, first_in_order, generate_to_target, target_rows, unprocessed
 from corpusmill.plans.validation import validate
+from corpusmill.plans.waves import WaveValidator
 from corpusmill.session import materialize, scratch_path, spread
 from corpusmill.streaming.incremental import dedup_stream, process_stream, read_stream
 
@@ -134,6 +135,34 @@ def page_records(spark, folder):
     return result.decided.select("metadata.chunk_id", F.sha2("text", 256).alias("text_hash"), "reject_reason")
 
 
+def _waved(spark, folder, waves):
+    """Documents in so many waves, each validated against all before it."""
+    docs = table(spark, folder, "documents")
+    chunks = docs.select(position(F.col("doc_id")).alias("ord"), "doc_id", "text", "source")
+    path = scratch_path(spark, "runs")
+
+    def produce(batch):
+        return as_records(spread(batch, "ord"), CPT, ord=F.col("ord"), text=F.col("text"), metadata=document_metadata())
+
+    validator = WaveValidator(f"{path}/ledgers", MAX_TOKENS)
+    run = generate_to_target(chunks, produce, path, "r1", target=None, wave=docs.count() // waves + 1, validate=validator)
+    return run.select(doc_of(F.col("ord")).alias("doc_id"))
+
+
+_WAVED_SQL = f"WITH RECURSIVE {decided_sql()} SELECT doc_id FROM decided WHERE reject_reason IS NULL"
+
+
+@query(_WAVED_SQL)
+def waved_run(spark, folder):
+    """The same rows as one validation of everything."""
+    return _waved(spark, folder, 2)
+
+
+@query(_WAVED_SQL)
+def waved_run_of_small_waves(spark, folder):
+    return _waved(spark, folder, 3)
+
+
 # --- resuming and streams ---------------------------------------------------------------
 
 

@@ -78,18 +78,19 @@ def drop_near_duplicates(records: DataFrame, **options) -> DataFrame:
     return records.join(near_duplicates(records, **options), "ord", "left_anti")
 
 
+def band_buckets(keyed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(ord, bucket) of every band; a bucket is one band key within one scope."""
+    key = F.concat_ws("|", F.hex("band_key"), "band", *[F.col(c).cast("string") for c in scope])
+    spread = keyed.select("ord", *scope, F.posexplode("bands").alias("band", "band_key"))
+    return spread.select("ord", F.unhex(F.md5(key)).alias("bucket"))
+
+
 def bucket_memberships(keyed: DataFrame, scope: Sequence[str] = (), hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(ord, bucket) for the buckets that hold more than one record.
 
-    A bucket is one band key within one scope.  ``keyed`` is read twice, so pass
-    a written table rather than a plan that computes signatures.
+    ``keyed`` is read twice, so pass a written table rather than a plan that computes signatures.
     """
-    members = keyed.select("ord", *scope, F.posexplode("bands").alias("band", "band_key")).select(
-        "ord",
-        F.unhex(F.md5(F.concat_ws("|", F.hex("band_key"), "band", *[F.col(c).cast("string") for c in scope]))).alias(
-            "bucket"
-        ),
-    )
+    members = band_buckets(keyed, scope)
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return join_buckets(members, shared, "left_semi", hot_bucket).select("ord", "bucket")
 

@@ -113,12 +113,15 @@ def generate_to_target(
     run_id: str,
     target: int | None,
     wave: int,
+    validate: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Work through ``sources`` in order, ``wave`` chunks at a time, and stop as
     soon as ``target`` accepted records are written, so that no model is asked
     for chunks that are not needed.
 
-    ``produce`` turns chunks into accepted records.  Every wave is one part of
+    ``produce`` turns chunks into records, and ``validate``, such as a
+    :class:`~corpusmill.plans.waves.WaveValidator`, the records of a wave of the given number into accepted ones;
+    a check that looks at one wave alone makes the result depend on ``wave``.  Every wave is one part of
     the run, followed by its checkpoint (last chunk, accepted rows).  A resumed
     run goes on behind the last checkpoint and replaces a wave that was written
     without one, so nothing is appended twice.  A run without any wave has no rows.
@@ -135,7 +138,8 @@ def generate_to_target(
             break
         part = f"generated-{number:06d}"
         room = None if target is None else target - total
-        write_run(first_in_order(_once(produce(chunks), room), room), folder, run_id, part)
+        records = produce(chunks) if validate is None else validate(materialize(produce(chunks), "records"), number)
+        write_run(first_in_order(_once(records, room), room), folder, run_id, part)
         accepted = read_run(spark, folder, run_id).where(F.col("part") == part).count()
         row = spark.createDataFrame([(number, upper, accepted)], _CHECKPOINT)
         row.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/wave={number}")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.functions.text import normalized_hash
+from corpusmill.operators.dedup import exact_buckets
+from corpusmill.session import materialize
+from corpusmill.streaming.ledger import KeyLedger
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -42,21 +45,17 @@ def dedup_stream(
 ) -> StreamingQuery:
     """Exact duplicates across micro-batches: the first arrival wins.
 
-    The hashes seen so far live in the output itself (``text_hash``), read with
-    column pruning; there is no streaming state to outgrow memory.  Output of
-    the batch being replayed is not counted as seen.
+    Texts seen so far are a :class:`~corpusmill.streaming.ledger.KeyLedger` below ``output``, of which a
+    batch opens the folders of its own keys' prefixes only; there is no streaming state to outgrow memory.
+    A batch that is replayed looks at earlier batches alone, and writes the same again.
     """
-    spark = stream.sparkSession
-    keys = [*scope, "text_hash"]
-    types = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in scope)
-    seen_schema = f"{types + ', ' if types else ''}text_hash string, batch bigint"
+    ledger = KeyLedger(f"{output}/_ledger")
 
     def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
-        hashed = batch.withColumn("text_hash", normalized_hash(F.col(text)))
-        first = hashed.groupBy(*keys).agg(F.min("ord").alias("ord"))
-        if batch_id > 0:
-            seen = spark.read.schema(seen_schema).option("basePath", output).parquet(output)
-            first = first.join(seen.where(F.col("batch") < batch_id).select(*keys), keys, "left_anti")
-        return hashed.join(first.select("ord"), "ord", "left_semi")
+        keyed = materialize(exact_buckets(batch, scope, F.col(text)), "text-hashes")
+        firsts = materialize(keyed.groupBy(F.col("bucket").alias("key")).agg(F.min("ord").alias("ord")), "first-texts")
+        new = materialize(ledger.unknown(firsts, batch_id), "new-texts")
+        ledger.add(new, batch_id)
+        return batch.withColumn("text_hash", normalized_hash(F.col(text))).join(new.select("ord"), "ord", "left_semi")
 
     return process_stream(stream, output, checkpoint, fresh, available_now)

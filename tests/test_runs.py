@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,11 @@ from corpusmill import session
 from corpusmill.functions.records import CPT, SFT_PAIR, as_records, metadata, position
 from corpusmill.operators.structure import flag_structure
 from corpusmill.plans.run import assemble_run, first_in_order, generate_to_target, merge_structured, nth_position, target_rows, unprocessed
-from corpusmill.plans.validation import Validation
+from corpusmill.plans.validation import Validation, validate
+from corpusmill.plans.waves import WaveValidator
 from corpusmill.sources import records_io as IO
 from corpusmill.streaming.incremental import dedup_stream, process_stream, read_stream
+from corpusmill.streaming.ledger import KeyLedger
 from tests.helpers import numbers, texts
 
 
@@ -177,3 +180,50 @@ def test_scratch_folder_comes_from_the_session(spark, tmp_path):
 def test_lookups_carry_no_broadcast_hint(spark):
     joined = session.join_bounded(spark.range(100), spark.range(10), ["id"])
     assert joined.count() == 10 and "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+
+
+def digest(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "v string").select(F.unhex(F.md5("v")).alias("key"))
+
+
+def test_a_batch_opens_its_own_prefixes_only(spark, tmp_path):
+    ledger = KeyLedger(str(tmp_path), prefixes=64)
+    for batch in range(3):
+        ledger.add(digest(spark, *[f"{batch}-{k}" for k in range(200)]), batch)
+    rows = digest(spark, "0-1", "2-5", "new")
+    wanted = {r.p for r in rows.select(F.pmod(F.xxhash64("key"), F.lit(64)).alias("p")).collect()}
+    # Files of other prefixes, and of the batch itself and later ones, cannot be read any more.
+    for file in tmp_path.rglob("*.parquet"):
+        prefix, batch = (int(p.split("=")[1]) for p in (file.parent.name, file.parent.parent.name))
+        if prefix not in wanted or batch >= 2:
+            file.write_bytes(b"no parquet at all")
+    assert ledger.known(rows, 2).count() == 1 and ledger.unknown(rows, 2).count() == 2
+    assert ledger.known(rows, 0).count() == 0
+
+
+def test_a_repeated_batch_replaces_its_keys(spark, tmp_path):
+    ledger = KeyLedger(str(tmp_path))
+    assert ledger.unknown(digest(spark, "a"), 0).count() == 1
+    for _ in range(2):
+        ledger.add(digest(spark, "a", "a", "b"), 0)
+    rows = digest(spark, "a", "c")
+    assert ledger.unknown(rows, 0).count() == 2 and ledger.unknown(rows, 1).count() == 1
+    ledger.add(digest(spark, "c").limit(0), 1)
+    assert ledger.unknown(rows, 2).count() == 1
+
+
+def test_waves_of_any_size_accept_the_same(spark, tmp_path):
+    base = " ".join(f"w{k}" for k in range(120))
+    values = [base, "other", base + " x", "OTHER ", "", base, "third thing", base + " x y", "third  thing", "last"]
+    records = texts(spark, values)
+    want = numbers(validate(records, max_tokens=None).accepted)
+    assert 0 in want and 5 not in want and 3 not in want and 4 not in want
+    for wave in (1, 3, 100):
+        folder = str(tmp_path / str(wave))
+        run = lambda: generate_to_target(
+            records, lambda chunks: chunks, folder, "r", target=None, wave=wave, validate=WaveValidator(f"{folder}/ledgers", None)
+        )
+        assert numbers(run()) == want
+        # The last wave was written but not checkpointed.
+        shutil.rmtree(f"{folder}/checkpoints/run_id=r/wave={-(-10 // wave) - 1}")
+        assert numbers(run()) == want
