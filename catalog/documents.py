@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from catalog.registry import conversations, query, table
 from corpusmill.operators.chunking import chunk_blocks, document_id, estimate_rows, sample_text, token_windows
 from corpusmill.functions.tokens import WORDS
-from corpusmill.session import spread
-from corpusmill.sources.cache import best_variant, missing
+from corpusmill.session import scratch_path, spread
+from corpusmill.sources.cache import best_variant, extract_cached, missing
 from corpusmill.sources.documents import (
     BLOCK_TAGS,
     HIDDEN,
     content_hash,
     extract_blocks,
     flag_admission,
+    hash_files,
     html_blocks,
+    list_files,
     markdown_blocks,
     unescape_blocks,
 )
@@ -302,3 +304,70 @@ def missing_extractions(spark, folder):
     """Pages a remote run with extractor v1 still has to extract."""
     pages = table(spark, folder, "pages").select(content_hash(F.col("html")).alias("source_hash")).distinct()
     return missing(pages, _cache(spark, folder), "v1", "remote")
+
+
+# --- pages as files ------------------------------------------------------------------------
+
+
+def _page_files(spark, folder):
+    """Every page as a file of its own, whose folder has its number; pages with a query string are compressed."""
+    path = scratch_path(spark, "page-files")
+    pages = table(spark, folder, "pages").select("page_id", F.col("html").alias("value"), F.contains("url", F.lit("?")).alias("zipped"))
+    for zipped, codec in ((False, "none"), (True, "gzip")):
+        some = pages.where(F.col("zipped") == zipped).drop("zipped")
+        some.repartition("page_id").write.mode("append").partitionBy("page_id").option("compression", codec).text(path)
+    return path
+
+
+def _page_of(path):
+    return F.regexp_extract(path, r"page_id=(\d+)/", 1).cast("bigint")
+
+
+@query(
+    """SELECT page_id, CASE WHEN contains(url, '?') THEN 'unsupported' END AS reject_reason,
+      CASE WHEN NOT contains(url, '?') THEN octet_length(encode(html)) + 1 END::BIGINT AS length FROM pages"""
+)
+def listed_files(spark, folder):
+    """Files found in folders, with admission by their names and sizes."""
+    files = flag_admission(list_files(spark, _page_files(spark, folder)))
+    accepted = F.col("reject_reason").isNull()
+    return files.select(_page_of(F.col("path")).alias("page_id"), "reject_reason", F.when(accepted, F.col("length")).alias("length"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN octet_length(encode(html)) + 1 <= 4000 THEN sha256(html || chr(10)) END AS source_hash
+    FROM pages WHERE NOT contains(url, '?')"""
+)
+def hashed_files(spark, folder):
+    """Digests of files up to a size; the contents of larger ones are not read."""
+    files = hash_files(spark, _page_files(spark, folder), most_bytes=4000)
+    plain = files.where(F.col("path").endswith(".txt"))
+    return plain.select(_page_of(F.col("path")).alias("page_id"), "source_hash")
+
+
+@query(
+    """WITH told AS (SELECT sha256(html) AS source_hash, min(url) AS url FROM pages GROUP BY html)
+    SELECT source_hash, CASE WHEN contains(url, '?') THEN 'fallback' ELSE 'remote' END AS variant, 1::BIGINT AS n FROM told"""
+)
+def cached_extractions(spark, folder):
+    """Pages extracted through the cache in two runs and a repetition: first the English ones, then all.
+
+    The remote side is unavailable for paths with a query string.  Of equal contents the least path counts.
+    """
+    cache = scratch_path(spark, "extractions")
+    pages = table(spark, folder, "pages").select(
+        content_hash(F.col("html")).alias("source_hash"), F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content")
+    )
+    pages = pages.join(pages.groupBy("source_hash").agg(F.min("path").alias("path")), ["source_hash", "path"], "left_semi")
+    no_blocks = F.lit(None).cast("array<struct<level:int,text:string,page:int>>")
+
+    def remote(docs):
+        away = F.when(F.contains("path", F.lit("?")), F.lit("unavailable"))
+        return docs.withColumn("blocks", no_blocks).withColumn("reject_reason", away)
+
+    def local(docs):
+        return extract_blocks(docs.withColumn("path", F.lit("page.html")))
+
+    for some in (pages.where(F.contains("path", F.lit("/en/"))), pages, pages):
+        found = extract_cached(some, cache, "v1", local, remote)
+    return found.groupBy("source_hash", "variant").agg(F.count("*").alias("n"))

@@ -42,7 +42,7 @@ class WaveValidator:
         flagged = flag_structure(records, self.max_tokens, self.tokenizer)
         sound = flagged.where("reject_reason IS NULL").drop("reject_reason")
 
-        hashed = materialize(exact_buckets(sound, self.scope, rendered()), "text-hashes")
+        hashed = exact_buckets(sound, self.scope, rendered())
         firsts = materialize(hashed.groupBy(F.col("bucket").alias("key")).agg(F.min("ord").alias("ord")), "first-texts")
         new = materialize(texts.unknown(firsts, wave), "new-texts")
         texts.add(new, wave)

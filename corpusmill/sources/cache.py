@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialize
+
 KEY = ("source_hash", "extractor_version")
 
 # Stored variants by preference, per mode of extraction.
@@ -39,6 +41,56 @@ def missing(documents: DataFrame, cache: DataFrame, version: str, mode: str = "l
     return documents.join(stored, "source_hash", "left_anti")
 
 
+def one_path_each(documents: DataFrame) -> DataFrame:
+    """One row per content, that with the least path: since the suffix of a path decides how a
+    content is read, the choice must not depend on the order of rows.  The paths are compared on narrow rows."""
+    least = documents.groupBy("source_hash").agg(F.min("path").alias("path"))
+    chosen = documents.join(least.withColumnRenamed("path", "_path"), "source_hash").where(F.col("path").eqNullSafe(F.col("_path")))
+    return chosen.drop("_path").dropDuplicates(["source_hash"])
+
+
+class ExtractionCache:
+    """Stored extractions below a folder.
+
+    Every append is a folder of its own, ``extractor_version=V/variant=X/batch=B``, cut by the first digit of the
+    hash, and counts only once its row is among the ``commits``.  A batch is named by the contents it holds.
+    An append that failed half-way left no commit, so its repetition finds the same contents
+    missing, has the same name, and replaces what was written.
+    """
+
+    SCHEMA = "source_hash string, blocks array<struct<level:int,text:string,page:int>>, reject_reason string"
+    PLACE = "extractor_version string, variant string, batch string, prefix string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _read(self, path: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:  # nothing is stored yet
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def stored(self) -> DataFrame:
+        """All committed rows, with extractor_version and variant."""
+        done = [r.batch for r in self._read(f"{self.path}/commits", "batch string, rows bigint").select("batch").distinct().collect()]
+        rows = self._read(f"{self.path}/data", f"{self.SCHEMA}, {self.PLACE}")
+        return rows.where(F.col("batch").isin(done)).drop("batch", "prefix")
+
+    def append(self, extracted: DataFrame, version: str, variant: str) -> int:
+        """Store (source_hash, blocks, reject_reason) and commit; the number of rows."""
+        rows = materialize(extracted.select("source_hash", "blocks", "reject_reason"), "extracted")
+        n, digest = rows.agg(F.count("*"), F.bit_xor(F.xxhash64("source_hash"))).first()
+        if n:
+            batch = f"{n:x}-{digest & (1 << 64) - 1:016x}-{variant}-{version}"
+            placed = rows.withColumn("prefix", F.substring("source_hash", 1, 1)).repartition("prefix")
+            target = f"{self.path}/data/extractor_version={version}/variant={variant}/batch={batch}"
+            placed.write.mode("overwrite").partitionBy("prefix").parquet(target)
+            self.spark.createDataFrame([(n,)], "rows bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
+        return n
+
+
 def extract_cached(
     documents: DataFrame,
     cache_path: str,
@@ -46,7 +98,7 @@ def extract_cached(
     extract: Callable[[DataFrame], DataFrame],
     remote: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Extract what the cache at ``cache_path`` lacks, append it, and return the
+    """Extract what the cache at ``cache_path`` lacks, store it, and return the
     stored extraction of every document.
 
     ``documents`` is (source_hash, path, content); ``extract`` adds ``blocks``
@@ -54,27 +106,16 @@ def extract_cached(
     'unavailable': those documents fall back to ``extract`` and are stored as
     'fallback', so a later run asks the remote again.  Other reasons are final.
     """
-    spark = documents.sparkSession
-    schema = "source_hash string, blocks array<struct<level:int,text:string,page:int>>, reject_reason string, extractor_version string, variant string"
-    contents = documents.dropDuplicates(["source_hash"])
-
-    def stored() -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(cache_path)
-        except AnalysisException as error:  # a cache that does not exist yet
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return spark.createDataFrame([], schema)
+    cache = ExtractionCache(documents.sparkSession, cache_path)
+    contents = one_path_each(documents)
 
-    def append(extracted: DataFrame, variant: str) -> None:
-        extracted.select(
-            "source_hash", "blocks", "reject_reason", F.lit(version).alias("extractor_version"), F.lit(variant).alias("variant")
-        ).write.mode("append").partitionBy("extractor_version", "variant").parquet(cache_path)
+    def usable(mode: str) -> DataFrame:
+        return best_variant(cache.stored(), mode).where(F.col("extractor_version") == version)
 
     if remote is None:
-        append(extract(missing(contents, stored(), version, "local")), "local")
-        return best_variant(stored(), "local").where(F.col("extractor_version") == version)
-    tried = remote(missing(contents, stored(), version, "remote"))
-    append(tried.where("NOT (reject_reason <=> 'unavailable')"), "remote")
-    append(extract(missing(contents, stored(), version, "remote_failed")), "fallback")
-    return best_variant(stored(), "remote_failed").where(F.col("extractor_version") == version)
+        cache.append(extract(missing(contents, cache.stored(), version, "local")), version, "local")
+        return usable("local")
+    tried = materialize(remote(missing(contents, cache.stored(), version, "remote")), "tried")
+    cache.append(tried.where("NOT (reject_reason <=> 'unavailable')"), version, "remote")
+    cache.append(extract(missing(contents, cache.stored(), version, "remote_failed")), version, "fallback")
+    return usable("remote_failed")

@@ -43,7 +43,7 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     index, which has the names of all.
     """
     one_form = lambda name: F.regexp_replace(name, "^([A-Za-z0-9]+):/+", "$1:/")
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     scanned = files.select("path", "length", "modificationTime", one_form(F.col("_metadata.file_path")).alias("_name"))
     indexed = spark.createDataFrame([(name,) for name in files.inputFiles()], "_name string")
     empty = indexed.select(one_form(F.col("_name")).alias("_name")).join(scanned.select("_name"), "_name", "left_anti")
@@ -72,10 +72,15 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def hash_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length, source_hash) of every file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", content_hash(F.col("content")).alias("source_hash"))
+def hash_files(spark: SparkSession, path: str | list[str], most_bytes: int = MAX_SOURCE_BYTES) -> DataFrame:
+    """(path, length, source_hash) of every file; no hash beyond ``most_bytes``.
+
+    The limit reaches the scan, so contents of larger files are never read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    hashed = files.where(F.col("length") <= most_bytes).select("path", "length", content_hash(F.col("content")).alias("source_hash"))
+    larger = files.where(F.col("length") > most_bytes).select("path", "length", F.lit(None).cast("string").alias("source_hash"))
+    return hashed.unionByName(larger)
 
 
 def _blocks(marked: Column) -> Column:

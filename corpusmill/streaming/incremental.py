@@ -52,7 +52,7 @@ def dedup_stream(
     ledger = KeyLedger(f"{output}/_ledger")
 
     def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
-        keyed = materialize(exact_buckets(batch, scope, F.col(text)), "text-hashes")
+        keyed = exact_buckets(batch, scope, F.col(text))
         firsts = materialize(keyed.groupBy(F.col("bucket").alias("key")).agg(F.min("ord").alias("ord")), "first-texts")
         new = materialize(ledger.unknown(firsts, batch_id), "new-texts")
         ledger.add(new, batch_id)

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,30 @@ def test_malformed_json_array_is_not_passed_over(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"x": 1}, {"x"')
     with pytest.raises(Exception, match="malformed JSON array"):
         read_json_rows(spark, str(tmp_path)).collect()
+
+
+def test_the_cache_depends_on_neither_order_nor_a_failed_append(spark, tmp_path):
+    rows = [("h1", "a.pdf", b"same"), ("h1", "b.txt", b"same"), ("h2", "z.txt", b"two"), ("h2", "c.txt", b"two"), ("h3", "d.md", b"# t")]
+    schema = "source_hash string, path string, content binary"
+    told = []
+    for turn, order in enumerate((rows, rows[::-1])):
+        path = str(tmp_path / str(turn))
+        docs = spark.createDataFrame(order, schema).repartition(turn + 1)
+        first = C.extract_cached(docs, path, "v1", extract_blocks)
+        told.append(sorted((r.source_hash, r.reject_reason) for r in first.collect()))
+        # As if the run had ended before its commit: the files are there, the commit is not.
+        (commit,) = (tmp_path / str(turn) / "commits").glob("batch=*")
+        shutil.rmtree(commit)
+        assert C.ExtractionCache(spark, path).stored().count() == 0
+        again = C.extract_cached(docs, path, "v1", extract_blocks)
+        told.append(sorted((r.source_hash, r.reject_reason) for r in again.collect()))
+    # The least path is that of a kind without an extractor.
+    assert told == [[("h1", "no_extractor"), ("h2", None), ("h3", None)]] * 4
+
+
+def test_contents_beyond_the_limit_are_not_hashed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"12345")
+    (tmp_path / "b.txt").write_bytes(b"1234567890")
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.source_hash) for r in hash_files(spark, str(tmp_path), most_bytes=5).collect()}
+    assert got == {"a.txt": (5, hashlib.sha256(b"12345").hexdigest()), "b.txt": (10, None)}
