@@ -3,9 +3,15 @@
 A page is cut into blocks at its block elements.  The first pass decides what it can: blocks in
 menus, headers, footers, sidebars, notices, adverts, forms and comments are out, as are those
 that consist of links; blocks of an article or main element are in; elsewhere a block is in
-or out by its length and its share of stop words.  Short blocks that this leaves open
+or out by its length and its share of stop words, or by its length alone where the page has hardly a stop
+word that is known here.  Short blocks that this leaves open
 get the label of the nearest decided block in the second pass; between two that are as near, the
-one that is in wins.
+one that is in wins.  Where no block is in, those left open are.
+
+An element is a menu and so on by its name, or by a class, id or role that names the thing itself
+(``site-footer``, ``sidebar-left``), not a state or a lack of it (``has-sidebar``, ``nav-open``).  Forms, and what
+such names mark, count for nothing around an article or main element that is not so
+marked, or, without such an element, around most of the page's text.
 
 Defined cases: a null or empty page has an empty text; unclosed elements end with what holds
 them, items, terms and cells at the next one as well; repeated rows come out alike; other columns are ignored; an empty table gives
@@ -17,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +33,8 @@ from pyspark.sql import types as T
 # Elements, and words of class, id and role that say what an element is.
 SKIPPED = frozenset("head script style noscript template iframe object svg math canvas audio video textarea select button".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
-OUT = frozenset("nav footer aside form menu dialog".split())
+OUT = frozenset("nav footer aside menu dialog".split())
+OUT_UNLESS_AROUND = frozenset(["form"])
 IN = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
@@ -39,6 +47,13 @@ OUT_WORDS = frozenset(
     "related search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget contentinfo "
     "complementary navigation alert".split()
 )
+# Words of a name that say a part or a place of the thing named, that it is lacking or elsewhere, and its state.
+TAILS = frozenset(
+    "area aside block body bottom box button buttons col column container content count form group icon icons inner item items left link "
+    "links list main outer overlay panel primary right row secondary section slot strip text title top unit wrap wrapper".split()
+)
+NEGATIONS = frozenset("has hide is no not show shows with without".split())
+STATES = frozenset("active closed collapsed disabled enabled expanded fixed off on open opened sticky visible".split())
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has he her his i in is it its not of on or she that the their they this to was we were which will "
     "with you der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach "
@@ -64,6 +79,8 @@ _HOLDERS = {
 
 SHORT, LONG = 70, 200
 LINKS, FEW_STOPS, MANY_STOPS = 0.5, 0.15, 0.3
+# Share of stop words below which a page's language is taken to be another.
+KNOWN = 0.05
 
 _TAG = re.compile(r"""<(?:(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<comment>!--)|[!?/][^>]*+>)""")
 _LOOSE_TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*+)>")
@@ -79,22 +96,41 @@ class Block:
     out: bool
     inside: bool
     links: int
+    mark: int = -1  # the nearest marked element around it
     label: bool | None = None
 
 
+@lru_cache(maxsize=4096)
+def _names_a_part(value: str, inside: bool) -> bool:
+    """Whether a class, id or role names something that is no main text."""
+    for token in value.split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if not words or words[0] in NEGATIONS or words[-1] in STATES:
+            continue
+        while len(words) > 1 and words[-1] in TAILS:
+            words.pop()
+        # An article's header is part of it.
+        if words[-1] in OUT_WORDS and not (inside and words[-1] == "header"):
+            return True
+    return False
+
+
 @dataclass
 class _Cutter:
     """Collects the text of the open elements and closes a block at each block element."""
 
     blocks: list[Block] = field(default_factory=list)
-    open: list[tuple[str, bool, bool, bool]] = field(default_factory=list)  # name, skipped, out, inside
+    open: list[tuple[str, bool, bool, bool, int]] = field(default_factory=list)  # name, skipped, out, inside, nearest mark
+    marks: list[int] = field(default_factory=list)  # of each marked element the marked one around it
+    holds: list[bool] = field(default_factory=list)  # whether an article is in it
+    has_article: bool = False
     parts: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
     in_link: int = 0
     places: dict[str, list[int]] = field(default_factory=dict)  # of the open elements, by name
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def state(self) -> tuple[bool, bool, bool, int]:
+        return self.open[-1][1:] if self.open else (False, False, False, -1)
 
     def text(self, value: str) -> None:
         if value and not self.state()[0]:
@@ -105,9 +141,9 @@ class _Cutter:
     def close_block(self) -> None:
         text = _SPACE.sub(" ", unescape("".join(self.parts))).strip()
         if text:
-            _, out, inside = self.state()
+            _, out, inside, mark = self.state()
             links = len(_SPACE.sub(" ", unescape("".join(self.links))).strip())
-            self.blocks.append(Block(text, out, inside, links))
+            self.blocks.append(Block(text, out, inside, links, mark))
         self.parts, self.links = [], []
 
     def start(self, name: str, rest: str) -> None:
@@ -121,15 +157,42 @@ class _Cutter:
         if name in VOID or rest.endswith("/") and name not in BLOCK:
             return
         self.end_implied(name)
-        skipped, out, inside = self.state()
-        named = {w.lower() for m in _NAMED.finditer(rest) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")} if rest else set()
+        skipped, out, inside, mark = self.state()
+        named = [m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(rest)] if rest and name not in ("body", "html") else []
         # A page's header goes, an article's heading is part of it.
-        marked = name in OUT or (name == "header" and not inside) or (name not in ("body", "html") and not OUT_WORDS.isdisjoint(named))
-        if rest and _HIDDEN.search(rest):
-            marked = True
-        if name in BLOCK or name in SKIPPED or marked:
+        gone = name in OUT or (name == "header" and not inside) or bool(rest and _HIDDEN.search(rest))
+        marked = name in OUT_UNLESS_AROUND or any(_names_a_part(value, inside) for value in named)
+        if marked:
+            self.marks.append(mark)
+            self.holds.append(False)
+            mark = len(self.marks) - 1
+        elif name in IN and not (gone or out or skipped):
+            self.has_article = True
+            if mark >= 0:
+                self.holds[mark] = True
+        if name in BLOCK or name in SKIPPED or gone or marked:
             self.places.setdefault(name, []).append(len(self.open))
-            self.open.append((name, skipped or name in SKIPPED, out or marked, inside or name in IN))
+            self.open.append((name, skipped or name in SKIPPED, out or gone, inside or name in IN, mark))
+
+    def settle(self) -> list[Block]:
+        """The blocks, out where a mark around them counts."""
+        sizes = [0] * len(self.marks)
+        for block in self.blocks:
+            if block.mark >= 0:
+                sizes[block.mark] += len(block.text)
+        # Marked elements come after those around them.
+        for k in range(len(self.marks) - 1, -1, -1):
+            if self.marks[k] >= 0:
+                sizes[self.marks[k]] += sizes[k]
+                self.holds[self.marks[k]] |= self.holds[k]
+        total = sum(len(b.text) for b in self.blocks if not b.out)
+        counts: list[bool] = []
+        for k, around in enumerate(self.marks):
+            void = self.holds[k] or (not self.has_article and 2 * sizes[k] > total)
+            counts.append(not void or (around >= 0 and counts[around]))
+        for block in self.blocks:
+            block.out = block.out or (block.mark >= 0 and counts[block.mark])
+        return self.blocks
 
     def end_from(self, k: int) -> None:
         for name, *_ in self.open[k:]:
@@ -191,10 +254,16 @@ def blocks_of(html: str) -> list[Block]:
                     cutter.text("" if cutter.state()[0] else html[at:ends])
                 at = ends
     cutter.close_block()
-    return cutter.blocks
+    return cutter.settle()
 
 
-def _decided(block: Block) -> bool | None:
+def _stop_words(block: Block) -> tuple[int, int]:
+    """(stop words, words)."""
+    words = block.text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
+def _decided(block: Block, known: bool) -> bool | None:
     """In, out, or open."""
     length = len(block.text)
     if block.out or block.links > LINKS * length:
@@ -203,8 +272,10 @@ def _decided(block: Block) -> bool | None:
         return True
     if length < SHORT:
         return False if block.links or "©" in block.text else None
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if not known:
+        return True if length > LONG else None
+    stops, words = _stop_words(block)
+    stops /= words
     if stops >= MANY_STOPS or (stops >= FEW_STOPS and length > LONG):
         return True
     return None if stops >= FEW_STOPS else False
@@ -212,7 +283,12 @@ def _decided(block: Block) -> bool | None:
 
 def classify(blocks: list[Block]) -> list[Block]:
     """The blocks, each with its label."""
-    labels = [_decided(b) for b in blocks]
+    running = [_stop_words(b) for b in blocks if not (b.out or b.inside) and len(b.text) >= SHORT]
+    known = sum(s for s, _ in running) >= KNOWN * sum(n for _, n in running)
+    labels = [_decided(b, known) for b in blocks]
+    if True not in labels:
+        # Nothing to inherit from: a page of short blocks keeps them.
+        labels = [label is None for label in labels]
     nearest: list[list[tuple[int, bool]]] = [[] for _ in blocks]
     for places in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
         last = None
@@ -222,8 +298,7 @@ def classify(blocks: list[Block]) -> list[Block]:
             elif last is not None:
                 nearest[k].append((abs(k - last), not labels[last]))
     for block, label, near in zip(blocks, labels, nearest):
-        # Without any decided block the page has no main text to tell.
-        block.label = label if label is not None else bool(near) and not min(near)[1]
+        block.label = label if label is not None else not min(near)[1]
     return blocks
 
 

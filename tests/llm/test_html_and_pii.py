@@ -29,7 +29,7 @@ def test_pages_without_an_article_are_told_by_their_words():
     page = f"<body><div>Home</div><div><a href=a>x</a> | <a href=b>yyyyyyyyyy</a></div><h1>A tale</h1><div>{prose}</div><div>Fin</div><div>{prose}</div><div>© 2020</div>"
     assert main_text(page).split("\n") == ["A tale", prose.strip(), "Fin", prose.strip()]
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<a <b") [0:0]
-    assert main_text("<div>" * 5000 + "x" + "</div>" * 5000) == ""
+    assert main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert main_text("<article><p>" + "w " * 300_000).count("w") == 300_000
 
 
@@ -47,6 +47,57 @@ def test_unclosed_items_do_not_hide_the_page():
     assert main_text(table).split("\n") == ["One", "Two", "Three", "Four"]
 
 
+ARTICLE = "<article><h1>Head</h1><p>The text of the page.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [f'<div class="{c}">' for c in ("layout has-sidebar", "site with-sidebar", "elementor-widget elementor-widget-theme", "content no-comments",
+                                    "page search-results", "main nav-open", "share-enabled", "social-science", "sidebar", "widget")]
+    + ['<form id="aspnetForm">', '<div id="banner"><div class="notice">', '<main class="no-sidebar">', '<main role="search">'],
+)
+def test_no_name_around_an_article_drops_it(opening):
+    assert main_text(f"<body>{opening}<nav><a href=/>Home</a></nav>{ARTICLE}<div class=sidebar><p>More of it, and of the rest.</p></div></body>") == "Head\nThe text of the page."
+
+
+def test_names_of_the_article_itself():
+    for name in ("post has-share comment-open", "no-sidebar", "post hentry", "social-science"):
+        assert main_text(f'<article class="{name}"><p>The text.</article>') == "The text."
+    comments = '<div id="comments"><ol><li><article class="comment-body"><p>A reader was here.</article></ol></div>'
+    assert main_text(f"<body>{ARTICLE}{comments}</body>") == "Head\nThe text of the page."
+    assert main_text('<article><div class="entry-header"><h1>Head</h1></div><p>Text.</article>') == "Head\nText."
+    for name in ("site-footer", "sidebar-left", "cookieNotice", "comment-list", "ad-slot", "main-nav", "newsletter-form", "sidebar-1", "site-header__inner"):
+        assert main_text(f'<body>{ARTICLE}<div class="{name}"><p>It is not of the text that we want to have.</p></div>') == "Head\nThe text of the page."
+
+
+def test_short_pages_and_other_languages_keep_their_text():
+    assert main_text("<p>One short paragraph.</p>") == "One short paragraph."
+    assert main_text("<nav><a href=/>Home</a></nav><p>One short paragraph.</p><footer>© me</footer>") == "One short paragraph."
+    russian = "Сегодня утром в городе открыли новый мост через реку. Его строили почти три года. По нему уже поехали первые машины. Жители довольны."
+    assert main_text(f"<nav><a href=/>Главная</a></nav><div>{russian}</div><div>{russian * 2}</div>") == f"{russian}\n{russian * 2}"
+    wrapped = "It was the best of times and it was the worst of times, as they say in all of the books. " * 4
+    assert main_text(f'<div class="widget"><div>{wrapped}</div></div><div class="sidebar">Of the rest and the best.</div>') == wrapped.strip()
+
+
+def plain_main_text(parts):
+    """Of (kind, texts) parts of a page with an article: what is in the article, and nothing else."""
+    return "\n".join(t for kind, texts in parts if kind == "article" for t in texts)
+
+
+def test_random_pages_with_an_article():
+    draw = random.Random(12)
+    wraps = ['<div class="page has-sidebar">{}</div>', "<div id=main-content>{}</div>", "<section>{}</section>", "<form>{}</form>", '<div class="widget"><div>{}</div></div>', "{}"]
+    outs = ["<nav>{}</nav>", "<footer>{}</footer>", "<aside>{}</aside>", '<div class="ad">{}</div>', '<div id="cookie-banner">{}</div>', '<ul class="comments">{}</ul>', "<div hidden>{}</div>"]
+    for _ in range(400):
+        parts, html = [], ""
+        for kind in draw.sample(["out"] * 4 + ["article"], 5):
+            texts = [" ".join(draw.choice("the of wort und mot дом x1 &".split()) for _ in range(draw.randrange(1, 30))) for _ in range(draw.randrange(1, 4))]
+            inner = "".join(f"<p>{t.replace('&', '&amp;')}" + draw.choice(["", "</p>"]) for t in texts)
+            html += draw.choice(outs).format(inner) if kind == "out" else draw.choice(wraps).format(f"<article>{inner}</article>")
+            parts.append((kind, texts))
+        assert main_text(f"<html><body class='nav-open sidebar'>{html}</body></html>") == plain_main_text(parts), html
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     rows = extract_main_text(pages).collect()
