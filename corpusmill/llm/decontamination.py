@@ -4,12 +4,17 @@ Texts are compared in lower case with white space collapsed.  A passage of m cha
 that occurs with at most e edits shares at least m - q + 1 - q * e of its q-grams, all on
 diagonals (document position less passage position) that differ by at most e.  So shared
 q-grams are counted in bands of diagonals that overlap by half, and only bands that reach
-that count are aligned, within the band.  Neither step loses an occurrence.
+that count are aligned, within the band.  Of e + 1 q-grams of a passage that don't overlap one is left
+by any e edits, so bands are counted only where one of the e + 1 rarest is found: an opening
+that many passages share costs nothing.  No step loses an occurrence.
+
+A passage may have an edit for every twenty characters, and q is ``Q`` or what e + 1
+q-grams leave room for.  A passage shorter than ``Q`` has to stand between word boundaries.
 
 The passages are taken in slices of at most ``SLICE_CHARS`` characters, each sent to all
 tasks; further slices are further passes over the documents.
 
-Defined cases: passages that are null, or under ``q`` characters, match nothing; a null or
+Defined cases: passages that are null or blank match nothing; a null or
 empty text holds no passage; repeated rows are judged each by itself; all columns of the
 documents are kept; an empty table gives an empty result.
 """
@@ -33,6 +38,9 @@ SLICE_CHARS = 4_000_000
 _PIECE = 1 << 20
 _FILTER_BITS = 22
 
+# Meetings of rare q-grams that are held at a time.
+_MEETINGS = 1 << 20
+
 FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("end", T.LongType())]))
 
 
@@ -58,44 +66,97 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-class PassageIndex:
-    """The q-grams of some passages, with their budgets of edits."""
+def _rarest_apart(rarity: np.ndarray, q: int, wanted: int) -> list[int]:
+    """``wanted`` starts of runs of ``q`` places that don't overlap, rare ones first; there is room for them."""
+    chosen: list[int] = []
+    free, end = np.ones(len(rarity) + q - 1, dtype=bool), len(rarity) + q - 1
+    for at in np.lexsort((np.arange(len(rarity)), rarity)).tolist():
+        if len(chosen) == wanted:
+            break
+        if not free[at] or not free[at + q - 1]:
+            continue
+        edges = sorted([*chosen, at])
+        # The gaps must still hold the others.
+        room = sum((b - a) // q for a, b in zip([0, *[e + q for e in edges]], [*edges, end]))
+        if len(edges) + room >= wanted:
+            chosen.append(at)
+            free[at : at + q] = False
+    return chosen
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, edit_percent: int = EDIT_PERCENT):
-        self.q = q
-        items = [(i, normalized(t)) for i, t in items]
-        self.items = [(i, t) for i, t in items if len(t) >= q]
-        lengths = np.array([len(t) for _, t in self.items], dtype="int64")
-        # At least one shared q-gram must be left of the lemma's count.
-        self.edits = np.minimum(lengths * edit_percent // 100, (lengths - q) // q)
+
+class _Passages:
+    """Passages that have the same q, and the keys of their rarest q-grams."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int, edit_percent: int):
+        self.q, self.items = q, items
+        lengths = np.array([len(t) for _, t in items], dtype="int64")
+        self.edits = lengths * edit_percent // 100
         self.least = lengths - q + 1 - q * self.edits
         self.longest = int((lengths + self.edits).max(initial=0))
-        keys = [_grams(_codes(t), q) for _, t in self.items]
-        self.item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        self.place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.empty(0, dtype="int64")
-        self.keys = np.concatenate(keys) if keys else np.empty(0, dtype="uint64")
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.item, self.place = self.keys[order], self.item[order], self.place[order]
+        grams = [_grams(_codes(t), q) for _, t in items]
+        known, times = np.unique(np.concatenate(grams), return_counts=True)
+        rare = [_rarest_apart(times[np.searchsorted(known, g)], q, int(e) + 1) for g, e in zip(grams, self.edits)]
+        self.item = np.repeat(np.arange(len(items)), [len(r) for r in rare])
+        self.place = np.concatenate([np.array(r, dtype="int64") for r in rare])
+        keys = np.concatenate([g[r] for g, r in zip(grams, rare)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item, self.place = keys[order], self.item[order], self.place[order]
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
+        # All q-grams of a passage, sorted, with their places.
+        orders = [np.argsort(g, kind="stable") for g in grams]
+        self.grams = [(g[o], o) for g, o in zip(grams, orders)]
 
-    def _bands(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+    def bands(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
         """(piece, item, band) where a band holds enough shared q-grams; pieces begin at ``starts``."""
         keys = _grams(codes, self.q)
         at = np.flatnonzero(self.filter[keys >> np.uint64(64 - _FILTER_BITS)])
-        keys = keys[at]
-        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        low, high = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
         n = high - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        at, item = np.repeat(at, n), self.item[hit]
-        piece = np.searchsorted(starts, at, "right") - 1
-        # Shifted so that no diagonal is negative.
-        band = (at - starts[piece] - self.place[hit] + self.longest) // np.maximum(self.edits[item], 1)
-        both = np.concatenate([band, band - 1])
-        piece, item = np.tile(piece, 2), np.tile(item, 2)
-        rows, count = np.unique(np.stack([piece, item, both]), axis=1, return_counts=True)
-        return [tuple(map(int, r)) for r in rows[:, count >= self.least[rows[1]]].T]
+        named: set[tuple[int, int, int]] = set()
+        ends = np.cumsum(n)
+        for first in range(0, int(ends[-1]) if len(ends) else 0, _MEETINGS):
+            # The meetings of rare q-grams from number ``first`` on.
+            number = np.arange(first, min(first + _MEETINGS, int(ends[-1])))
+            of = np.searchsorted(ends, number, "right")
+            hit = low[of] + number - (ends[of] - n[of])
+            item, place = self.item[hit], at[of]
+            piece = np.searchsorted(starts, place, "right") - 1
+            # Shifted so that no diagonal is negative.
+            band = (place - starts[piece] - self.place[hit] + self.longest) // np.maximum(self.edits[item], 1)
+            both = np.stack([np.tile(piece, 2), np.tile(item, 2), np.concatenate([band, band - 1])])
+            named.update(map(tuple, np.unique(both, axis=1).T.tolist()))
+        return [x for x in sorted(named) if self._shared(keys, starts, *x) >= self.least[x[1]]]
+
+    def _shared(self, keys: np.ndarray, starts: np.ndarray, piece: int, item: int, band: int) -> int:
+        """Meetings of q-grams of a piece and a passage in a band of diagonals."""
+        width = max(int(self.edits[item]), 1)
+        grams, places = self.grams[item]
+        least = band * width - self.longest
+        low = max(int(starts[piece]) + least, int(starts[piece]))
+        stop = int(starts[piece + 1]) if piece + 1 < len(starts) else len(keys)
+        own = keys[low : max(low, min(int(starts[piece]) + least + 2 * width + len(grams), stop))]
+        left, right = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+        n = right - left
+        of = np.repeat(np.arange(len(own)), n)
+        hit = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        diagonal = low - int(starts[piece]) + of - places[hit]
+        return int(((diagonal >= least) & (diagonal < least + 2 * width)).sum())
+
+
+class PassageIndex:
+    """The q-grams of some passages, with their budgets of edits."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, edit_percent: int = EDIT_PERCENT):
+        self.q, self.groups = q, []
+        self.items = [(i, t) for i, t in ((i, normalized(t)) for i, t in items) if t]
+        self.edits = [len(t) * edit_percent // 100 for _, t in self.items]
+        of: dict[int, list[tuple[int, str]]] = {}
+        for (i, t), edits in zip(self.items, self.edits):
+            of.setdefault(min(q, len(t) // (edits + 1)), []).append((i, t))
+        self.groups = [_Passages(group, q, edit_percent) for q, group in sorted(of.items())]
+        self.longest = max((g.longest for g in self.groups), default=0)
 
     def find(self, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
         """For each text, item_id -> (edits, end in the normalized text) of its best occurrence."""
@@ -123,14 +184,25 @@ class PassageIndex:
             return
         # A line end separates the pieces; normalized passages have none.
         starts = np.cumsum([0, *[len(p) + 1 for _, _, p in batch[:-1]]])
-        for piece, item, band in self._bands(_codes("\n".join(p for _, _, p in batch)), starts):
-            row, at, text = batch[piece]
-            identifier, passage = self.items[item]
-            edits = int(self.edits[item])
-            first = band * max(edits, 1) - self.longest
-            result = aligned(passage, text, first - edits, first + 2 * max(edits, 1) + edits, edits)
-            if result and (identifier not in found[row] or result < found[row][identifier]):
-                found[row][identifier] = (result[0], at + result[1])
+        codes = _codes("\n".join(p for _, _, p in batch))
+        for group in self.groups:
+            for piece, item, band in group.bands(codes, starts):
+                row, at, text = batch[piece]
+                identifier, passage = group.items[item]
+                edits = int(group.edits[item])
+                first = band * max(edits, 1) - group.longest
+                result = aligned(passage, text, first - edits, first + 2 * max(edits, 1) + edits, edits)
+                if result and len(passage) < self.q and not _apart(text, result[1] - len(passage), result[1], at):
+                    continue
+                if result and (identifier not in found[row] or result < found[row][identifier]):
+                    found[row][identifier] = (result[0], at + result[1])
+
+
+def _apart(text: str, start: int, end: int, at: int) -> bool:
+    """Whether a passage stands between word boundaries of a piece that begins at ``at``."""
+    # A piece may begin within a word; what it cuts there, the piece before holds whole.
+    opens = start > 0 and not (text[start - 1].isalnum() and text[start].isalnum()) or start == 0 and at == 0
+    return opens and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
 
 
 def aligned(passage: str, text: str, low: int, high: int, most: int) -> tuple[int, int] | None:

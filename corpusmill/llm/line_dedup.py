@@ -141,14 +141,24 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simi
     return gone.groupBy("id").agg(F.collect_set("line").alias("lines"))
 
 
-def without_lines(docs: DataFrame, gone: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lines taken out of the text, and (_n_lines, _n_gone) added.
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    while name.lower() in [c.lower() for c in columns]:
+        name = f"_{name}"
+    return name
+
+
+def without_lines(docs: DataFrame, gone: DataFrame, id: str = "doc_id", text: str = "text", n_lines: str = "_n_lines", n_gone: str = "_n_gone") -> DataFrame:
+    """``docs`` with the lines taken out of the text, and (n_lines, n_gone) added, which must be new names.
 
     The list of a document is no longer than the document, which is a row as well.
     """
-    lists = materialize(gone, "lines-gone").select(F.col("id").alias("_id"), F.col("lines").alias("_lines"))
-    joined = docs.join(lists, F.col(id).cast("long") == F.col("_id"), "left").drop("_id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_gone", T.LongType())])
+    if {n_lines.lower(), n_gone.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"documents have a column {n_lines} or {n_gone} already")
+    key, taken = unused("_id", docs.columns), unused("_lines", docs.columns)
+    lists = materialize(gone, "lines-gone").select(F.col("id").alias(key), F.col("lines").alias(taken))
+    joined = docs.join(lists, docs[id].cast("long") == lists[key], "left").drop(key)
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_gone, T.LongType())])
     at = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +182,8 @@ def without_lines(docs: DataFrame, gone: DataFrame, id: str = "doc_id", text: st
     return joined.mapInArrow(cut, schema)
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with near-equal lines taken out but for one of each group, and (_n_lines, _n_gone)."""
-    return without_lines(docs, repeated_lines(docs, id, text, similarity), id, text)
+def dedup_lines(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n_lines: str = "_n_lines", n_gone: str = "_n_gone"
+) -> DataFrame:
+    """``docs`` with near-equal lines taken out but for one of each group, and (n_lines, n_gone)."""
+    return without_lines(docs, repeated_lines(docs, id, text, similarity), id, text, n_lines, n_gone)

@@ -107,6 +107,30 @@ def test_passages_equal_brute_force(spark):
     assert without_passages(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_short_passages_stand_apart():
+    index = PassageIndex([(1, "Ten chars!"), (2, "cat"), (3, "a passage of 21 chars"), (4, "x y"), (5, "日本語"), (6, " ")])
+    found = index.find(["so ten  CHARS! end", "concatenate cats", "the cat.", "cat", "a passge of 21 chars", "a pssge of 21 chars", "xx y x y", "xx yy", "日本語", "日本語文", None])
+    assert [sorted(f) for f in found] == [[1], [], [2], [2], [3], [], [4], [], [5], [], []]
+    assert found[6][4] == (0, 8)
+
+
+def test_a_common_opening_names_no_candidates():
+    draw = random.Random(1)
+    words = lambda n: " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(2, 9))) for _ in range(n))
+    opening = "choose the best answer to the following question: "
+    items = [(k, opening + words(25)) for k in range(3000)]
+    index = PassageIndex(items)
+    (group,) = index.groups
+    texts = [opening + words(25) for _ in range(50)] + [words(30) + " " + items[7][1].replace("e", "", 3) + words(5)]
+    starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), dtype="<u4").astype("uint64")
+    assert {item for _, item, _ in group.bands(codes, starts)} == {7}
+    assert [set(f) for f in index.find(texts)] == [set()] * 50 + [{7}]
+    # Passages that differ in little still have their rarest q-grams looked up.
+    alike = PassageIndex([(k, f"{opening}{k:04d} and then some more of it") for k in range(300)])
+    assert set(alike.find([f"{opening}0042 and then some more of it"])[0]) >= {42}
+
+
 def test_a_long_text_is_searched_whole():
     item = "the quick brown fox jumps over the lazy dog by the river bank"
     text = "lorem ipsum dolor " * 150_000 + item + " end " + "abc def " * 100_000

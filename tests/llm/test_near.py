@@ -144,3 +144,13 @@ def test_near_lines_meet_in_buckets_of_unlike_lines(spark, monkeypatch):
     of = groups_of(sorted(sets), lambda a, b: not keys[a].isdisjoint(keys[b]) and jaccard(sets[a], sets[b]) >= 0.8)
     assert len(set(of.values())) < len(lines) - 40
     assert {r.doc_id for r in dedup_lines(docs).collect() if not r._n_gone} == set(of.values())
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "one line of some length here\nother", "i", 5, "l"), (2, "one line of some length here", "j", 6, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _n_lines int, _lines string")
+    out = dedup_lines(docs, n_lines="before", n_gone="taken")
+    assert out.columns == [*docs.columns, "before", "taken"]
+    assert sorted(map(tuple, out.collect())) == [(1, rows[0][1], "i", 5, "l", 2, 0), (2, "", "j", 6, "m", 1, 1)]
+    with pytest.raises(ValueError):
+        dedup_lines(docs)
