@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.decontamination import without_passages
-from corpusmill.llm.line_dedup import dedup_lines
+from corpusmill.llm.line_dedup import dedup_lines, unused
 from corpusmill.llm.ngram_join import one_of_each_class
 from corpusmill.llm.packing import concat_and_cut, tokenized
 from corpusmill.llm.quality import keep_quality
@@ -28,8 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines one stays; a document that has no word left goes."""
     ship_package(spark)
-    cut = dedup_lines(docs).where((F.col("_n_gone") == 0) | F.rlike("text", F.lit(r"\S")))
-    changed = F.when(F.col("_n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    total, taken = unused("_n_lines", docs.columns), unused("_n_gone", docs.columns)
+    cut = dedup_lines(docs, n_lines=total, n_gone=taken).where((F.col(taken) == 0) | F.rlike("text", F.lit(r"\S")))
+    changed = F.when(F.col(taken) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", changed).select(*docs.columns)
 
 
