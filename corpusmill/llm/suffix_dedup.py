@@ -87,8 +87,9 @@ def _digests(eight: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[np.
     return [h.view("int64") for h in out]
 
 
-def string_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(piece, first start, number of starts, gram hash, sides, h1, h2) of the runs of strings with one gram.
+def string_runs(pieces: list[bytes], grams_only: bool = False) -> tuple[np.ndarray, ...]:
+    """(piece, first start, number of starts, gram hash, sides, h1, h2) of the runs of strings with one gram, or
+    their gram hashes alone.
 
     Of a string, SIDE bytes before its gram or SIDE bytes behind it belong to it as well, or both.
     ``sides`` has 32 bits for the gram with the bytes before it and 32 for that with those behind
@@ -97,8 +98,9 @@ def string_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     ends = np.cumsum([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), dtype="uint8")
     empty = np.empty(0, dtype="int64")
+    nothing = (empty,) * (1 if grams_only else 7)
     if len(data) < LENGTH:
-        return (empty,) * 7
+        return nothing
     eight = _eights(data)
     hashes = _gram_hashes(eight)
     low = np.uint64((1 << _PLACE_BITS) - 1)
@@ -109,10 +111,12 @@ def string_runs(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     valid = start + LENGTH <= ends[piece]
     start, chosen, piece = start[valid], chosen[valid], piece[valid]
     if not len(start):
-        return (empty,) * 7
+        return nothing
     opens = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (piece[1:] != piece[:-1])))
     count = np.diff(np.append(opens, len(start)))
     first, begin, gram = piece[opens], start[opens], chosen[opens]
+    if grams_only:
+        return (hashes[gram].view("int64"),)
 
     def side(there: np.ndarray, *shifts: int) -> np.ndarray:
         out = np.zeros(len(gram), dtype="uint64")
@@ -133,13 +137,16 @@ def _pieces(value: bytes) -> Iterator[tuple[int, bytes]]:
         yield at, value[at : at + _PIECE + LENGTH - 1]
 
 
-def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(gram, id, start, count, sides, h1, h2) of all documents."""
-    names = ["gram", "id", "start", "count", "sides", "h1", "h2"]
+def _runs(docs: DataFrame, id: str, text: str, grams_only: bool = False) -> DataFrame:
+    """(gram, id, start, count, sides, h1, h2) of all documents, or (gram)."""
+    names = ["gram"] if grams_only else ["gram", "id", "start", "count", "sides", "h1", "h2"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            piece, start, count, gram, *rest = string_runs([p for _, _, p in waiting])
+            pieces = [p for _, _, p in waiting]
+            if grams_only:
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in string_runs(pieces, True)], names=names)
+            piece, start, count, gram, *rest = string_runs(pieces)
             ids = np.array([i for i, _, _ in waiting], dtype="int64")
             offsets = np.array([o for _, o, _ in waiting], dtype="int64")
             columns = [gram, ids[piece], start + offsets[piece], count, *rest]
@@ -161,9 +168,9 @@ def _runs(docs: DataFrame, id: str, text: str) -> DataFrame:
     return rows.mapInArrow(scan, ", ".join(f"{n} long" for n in names))
 
 
-def _repeated(runs: DataFrame) -> DataFrame:
-    """The runs whose gram comes twice or more."""
-    again = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+def _repeated(runs: DataFrame, grams: DataFrame) -> DataFrame:
+    """The runs whose gram comes twice or more in ``grams``, a lighter scan of the same."""
+    again = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     return runs.join(again, "gram")
 
 
@@ -263,7 +270,7 @@ def _of_hot_grams(runs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD, hot: int = HOT) -> DataFrame:
     """(id, start, length) of byte spans that repeat earlier ones; spans may overlap."""
-    runs = materialize(_repeated(_runs(docs, id, text)), "repeated-runs")
+    runs = materialize(_repeated(_runs(docs, id, text), _runs(docs, id, text, grams_only=True)), "repeated-runs")
     first = F.min(F.struct("id", "start", "count", "sides"))
     groups = materialize(runs.groupBy("gram", "h1", "h2").agg(first.alias("first"), F.count("*").alias("copies")), "run-groups")
     copied = groups.where("copies > 1").select("gram", "h1", "h2", F.col("first.id").alias("_id"), F.col("first.start").alias("_start"))
