@@ -53,15 +53,20 @@ def string_field(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("string")
 
 
+# How values that count as absent are written.
+_NOTHING = ("false", "0", "0.0", "-0.0", "[]", "{}")
+
+
 def written_field(df: DataFrame, name: str) -> Column:
-    """A field as it would be written in a text; null when it is missing, null, false or zero."""
+    """A field as it would be written in a text, as in JSON; null when it is missing, null, false, zero or an
+    empty list or object."""
     value = _variant(df, name)
     if value is not None:
         plain = F.try_variant_get(value, "$", "string")
-        absent = (json_type(value) != "STRING") & plain.isin("false", "0", "0.0", "-0.0")
+        absent = (json_type(value) != "STRING") & plain.isin(*_NOTHING)
     elif name in df.columns and not isinstance(df.schema[name].dataType, T.StringType):
         plain = F.col(name).cast("string")
-        absent = plain.isin("false", "0", "0.0", "-0.0")
+        absent = plain.isin(*_NOTHING)
     else:
         return string_field(df, name)
     return F.when(~absent, plain)

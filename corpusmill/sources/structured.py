@@ -7,6 +7,7 @@ file, which cannot be split, is a bounded piece of work; JSONL is split freely.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,13 +75,18 @@ def read_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _finish(number_rows(raw), F.create_map(*cells))
 
 
+_NO_ROWS = "no rows in "
+
+
 def read_json_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A JSON array gives one row per element, a JSON object one row; a malformed file fails the job."""
+    """A JSON array gives one row per element, a JSON object one row; a malformed file fails the job, and
+    so does an array without elements, which would leave no trace among other files."""
     text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("value")
     )
     items = F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.array("value"))
     text = text.where(fail_unless(items.isNotNull(), F.concat(F.lit("malformed JSON array in "), F.col("path"))))
+    text = text.where(fail_unless(F.size(items) > 0, F.concat(F.lit(_NO_ROWS), F.col("path"))))
     rows = text.select("path", F.posexplode(items).alias("row_no", "item"))
     return _finish(rows.withColumn("row_no", F.col("row_no").cast("bigint")), F.parse_json("item"))
 
@@ -107,7 +113,13 @@ def read_structured(spark: SparkSession, path: str) -> DataFrame:
     if suffix not in READERS:
         raise UnsupportedFormat(f"{name}: no structured format has the suffix {suffix!r}")
     rows = READERS[suffix](spark, path)
-    if rows.isEmpty():
+    try:
+        empty = rows.isEmpty()
+    except PySparkException as error:
+        if _NO_ROWS not in str(error):
+            raise
+        empty = True
+    if empty:
         raise EmptySource(f"{name}: no rows")
     return rows
 

@@ -127,3 +127,9 @@ def test_inputs_that_are_no_strings_are_written_out(spark):
     )
     got = {r.ord: r.prompt for r in normalize_instruction(df).collect()}
     assert got == {0: "Sum\n\n5", 1: "Sum", 2: "Sum", 3: "Sum\n\n0", 4: "Sum"}
+
+
+def test_empty_containers_are_no_input(spark):
+    df = rows(spark, *[{"instruction": "Sum", "input": v, "output": "x"} for v in ([], {}, [1], "[]")])
+    got = normalize_rows(df, "instruction_input_output")
+    assert [r.prompt for r in got.orderBy("ord").collect()] == ["Sum", "Sum", "Sum\n\n[1]", "Sum\n\n[]"]

@@ -70,6 +70,15 @@ def test_unknown_suffix_and_empty_files(spark, tmp_path):
         read_structured(spark, str(tmp_path / "h.csv"))
 
 
+def test_an_empty_array_does_not_vanish_among_other_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"text": "x"}]')
+    (tmp_path / "b.json").write_text(" [ ] ")
+    with pytest.raises(Exception, match="no rows in .*b.json"):
+        read_json_rows(spark, str(tmp_path)).collect()
+    with pytest.raises(EmptySource):
+        read_structured(spark, str(tmp_path / "b.json"))
+
+
 def test_listing_admission_and_hashes(spark, tmp_path):
     for name, body in {"a.md": b"same", "b.TXT": b"same", "c.md": b"", "d.exe": b"x", "noext": b"x"}.items():
         (tmp_path / name).write_bytes(body)
