@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions.records import (
@@ -20,6 +19,9 @@ from corpusmill.functions.records import (
 from corpusmill.functions.text import has_text
 from corpusmill.functions.tokens import WORDS
 
+# Numbers of turns that are summed up together.
+TURNS_OF_BLOCK = 4096
+
 # Bytes charged per message besides its text, so that blank ones count too.
 _MESSAGE_OVERHEAD = 16
 
@@ -60,23 +62,28 @@ def split_oversize(turns: DataFrame, key: str, text: str, max_bytes: int) -> tup
     return turns.join(F.broadcast(oversize), key, "left_anti"), oversize
 
 
-def alternation_by_turn(
-    turns: DataFrame, key: str, order: str, role: str = "role", text: str = "text", max_bytes: int = MAX_SOURCE_BYTES
-) -> DataFrame:
-    """(key, alternates) from one row per message, without building any list.
+def alternation_by_turn(turns: DataFrame, key: str, order: str, role: str = "role", block: int = TURNS_OF_BLOCK) -> DataFrame:
+    """(key, alternates) from one row per message, for conversations of any length.
 
-    System messages are left out before neighbours are compared.  An oversize
-    conversation comes out null.
+    System messages are left out before neighbours are compared.  The turns of a conversation, whose
+    ``order`` is a number that no two of them share, are summed up in blocks of ``block`` numbers
+    wherever these land: first role, last role, and whether neighbours differ.  The summaries of a
+    conversation, one for each block, then meet in their order.
     """
-    within, oversize = split_oversize(turns, key, text, max_bytes)
-    by_turn = W.partitionBy(key).orderBy(order)
-    is_spoken = F.col(role) != "system"
-    steps = within.select(key, order, role).withColumn(
-        "previous", F.last(F.when(is_spoken, F.col(role)), ignorenulls=True).over(by_turn.rowsBetween(W.unboundedPreceding, -1))
-    )
-    ok = F.when(F.col("previous").isNull(), F.col(role) == "user").otherwise(F.col("previous") != F.col(role))
-    checked = steps.groupBy(key).agg(F.coalesce(F.bool_and(F.when(is_spoken, ok)), F.lit(False)).alias("alternates"))
-    return checked.unionByName(oversize, allowMissingColumns=True)
+    turn = F.when(F.col(role) != "system", F.struct(F.col(order).alias("at"), F.col(role).alias("role")))
+    differ = lambda left, right: F.forall(F.zip_with(left, right, lambda a, b: a != b), lambda x: x)
+    n_but_one = lambda x: F.greatest(F.size(x) - 1, F.lit(0))
+    head, tail = lambda x: F.slice(x, F.lit(1), n_but_one(x)), lambda x: F.slice(x, F.lit(2), n_but_one(x))
+    blocks = turns.groupBy(key, F.floor(F.col(order) / block).alias("_block")).agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
+    roles = blocks.select(key, "_block", F.transform("_turns", lambda t: t["role"]).alias("_roles"))
+    first, last = F.get("_roles", F.lit(0)), F.get("_roles", F.size("_roles") - 1)
+    summary = F.struct("_block", first.alias("first"), last.alias("last"), differ(head("_roles"), tail("_roles")).alias("ok"))
+    joined = roles.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.size("_roles") > 0, summary))).alias("_parts"))
+    parts = F.col("_parts")
+    opens = F.get(parts, F.lit(0))["first"] == "user"
+    inner = F.forall(parts, lambda p: p["ok"])
+    between = differ(F.transform(head(parts), lambda p: p["last"]), F.transform(tail(parts), lambda p: p["first"]))
+    return joined.select(key, F.coalesce((F.size(parts) > 0) & opens & inner & between, F.lit(False)).alias("alternates"))
 
 
 def fold_turns(

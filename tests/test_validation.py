@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +75,28 @@ def test_folding_refuses_an_oversize_conversation(spark):
     rows = {r.k: r.messages for r in fold_turns(turns, "k", "turn", max_bytes=100).collect()}
     assert [tuple(m) for m in rows[1]] == [("user", "a"), ("assistant", "b")]
     assert rows[2] is None
-    assert {r.k: r.alternates for r in alternation_by_turn(turns, "k", "turn", max_bytes=100).collect()} == {1: True, 2: None}
+
+
+@pytest.mark.parametrize("block", [1, 4, 4096])
+def test_alternation_does_not_depend_on_the_blocks(spark, block):
+    draw, rows, want = random.Random(block), [], {}
+    for k in range(150):
+        n = 1500 if k == 0 else draw.randrange(1, 14)
+        roles = [("user", "assistant")[i % 2] for i in range(n)]
+        for _ in range(draw.randrange(3)):
+            roles.insert(draw.randrange(len(roles) + 1), "system")
+        if k % 2:
+            roles[draw.randrange(len(roles))] = draw.choice(("user", "assistant", "system"))
+        at = sorted(draw.sample(range(-50, 6000), len(roles)))
+        rows += [(k, i, r) for i, r in zip(at, roles)]
+        spoken = [r for r in roles if r != "system"]
+        want[k] = bool(spoken) and spoken[0] == "user" and all(a != b for a, b in zip(spoken, spoken[1:]))
+    draw.shuffle(rows)
+    turns = spark.createDataFrame(rows, "k int, turn int, role string")
+    result = alternation_by_turn(turns, "k", "turn", block=block)
+    assert {r.k: r.alternates for r in result.collect()} == want and len(set(want.values())) == 2
+    # The turns are dealt out by conversation and block.
+    assert re.search(r"hashpartitioning\(k#\d+, \w+#\d+L?, \d+\)", result._jdf.queryExecution().toString())
 
 
 def test_reasons_in_order_and_everything_accounted_for(spark):
