@@ -25,25 +25,24 @@ Shingles = Callable[[str | None], np.ndarray]
 # Nodes of a block; a tile compares two blocks.
 BLOCK = 128
 
+# Rows of 64 bits that tell which nodes are wanted.
+WORDS = 1 << 18
+
 # Similarity to the lead of a bucket from which a node joins the lead's group for a full comparison.
 LOOSE = 0.45
 
 
-def lead_pairs(members: DataFrame, *others: str) -> DataFrame:
-    """(a, b) with b < a from (node, key, *others): each node with the least node of its key, and
-    with the least node of every finer key in ``others`` (keys within a key).
+def only_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of (node, text) whose node is in ``wanted`` (node), which is read twice.
 
-    The finer keys are looked at only where a key has more than one node.
+    A bit per hashed node, at most ``WORDS`` rows of 64 bits whatever the size of the tables, keeps
+    nearly all other texts out of the shuffle of the join that decides.
     """
-    groups = members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("key", "b")
-    shared = members.join(groups, "key")
-    if others:
-        shared = materialize(shared, "shared-keys")
-    pairs = shared.select(F.col("node").alias("a"), "b")
-    for finer in others:
-        leads = shared.groupBy(finer).agg(F.min("node").alias("_b"), F.max("node").alias("last")).where("_b < last").select(finer, "_b")
-        pairs = pairs.unionByName(shared.select(F.col("node").alias("a"), finer).join(leads, finer).select("a", F.col("_b").alias("b")))
-    return pairs.where("a > b").distinct()
+    word = F.pmod(F.xxhash64("node"), F.lit(WORDS))
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(node, 1), 64) as int))")
+    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    likely = texts.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return likely.select(*texts.columns).join(wanted, "node", "left_semi")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingles: Shingles, threshold: float) -> DataFrame:

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm.line_dedup import SHINGLE, _line_rows, dedup_lines
-from corpusmill.llm.links import components
-from corpusmill.llm.ngram_join import depth_for, ngram_classes, one_of_each_class
+from corpusmill.llm.links import components, only_wanted
+from corpusmill.llm.ngram_join import DEPTH, TREES, depth_for, forest_pairs, ngram_classes, one_of_each_class
 
 
 def jaccard(a, b):
@@ -93,6 +93,56 @@ def test_prefixes_are_shortened_until_the_recall_is_met():
         assert 1 - (1 - similarity ** (depth + 1)) ** 20 < 0.999 or depth == 12
 
 
+def test_trie_nodes_are_met_at_every_depth_and_over_borders(spark):
+    draw = random.Random(5)
+    base = bytes(draw.randrange(256) for _ in range(TREES * DEPTH))
+    labels = {}
+    for node in draw.sample(range(1000), 120):
+        label = bytearray(base if node % 3 else [draw.randrange(256) for _ in range(TREES * DEPTH)])
+        for t in range(TREES):
+            for k in range(draw.randint(2, DEPTH), DEPTH):
+                label[t * DEPTH + k] = draw.randrange(4)
+        labels[node] = bytes(label)
+    floor = 5
+    table = spark.createDataFrame(list(labels.items()), "node long, labels binary")
+    wanted = set()
+    for t in range(TREES):
+        for depth in range(floor, DEPTH + 1):
+            runs = {}
+            for node, label in labels.items():
+                runs.setdefault(label[t * DEPTH : t * DEPTH + depth], []).append(node)
+            wanted |= {(n, min(run)) for run in runs.values() for n in run if n > min(run)}
+    assert {tuple(r) for r in forest_pairs(table, floor).collect()} == wanted
+    # Cut by borders, what shares a node is still joined up.
+    joined = components(spark.createDataFrame(sorted(wanted), "a long, b long")).collect()
+    cut = components(forest_pairs(table, floor, rows_of_a_task=100)).collect()
+    assert {tuple(r) for r in cut} == {tuple(r) for r in joined}
+    assert forest_pairs(table.limit(0), floor).count() == 0
+
+
+def test_recall_of_the_forest(spark):
+    draw = random.Random(7)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    shared = [draw.choice(words) for _ in range(60)]
+    texts, pairs = [], []
+    for k in range(150):
+        base = shared + [draw.choice(words) for _ in range(150)]
+        other = base[:-22] + [draw.choice(words) for _ in range(22)]
+        pairs.append((2 * k, 2 * k + 1))
+        texts += [" ".join(base), " ".join(other)]
+    close = [(a, b) for a, b in pairs if jaccard(word_set(texts[a]), word_set(texts[b])) >= 0.8]
+    assert len(close) > 100
+    got = {r.doc_id: r.class_id for r in ngram_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in close) >= 0.95 * len(close)
+
+
+def test_only_wanted_texts(spark):
+    texts = spark.range(2000).select(F.col("id").alias("node"), F.col("id").cast("string").alias("text"))
+    wanted = spark.range(0, 5000, 7).select(F.col("id").alias("node"))
+    assert sorted(r.node for r in only_wanted(texts, wanted).collect()) == list(range(0, 2000, 7))
+    assert only_wanted(texts, wanted.limit(0)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200) if i != 77] + [(500, 3), (3, 500), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
