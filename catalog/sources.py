@@ -8,7 +8,7 @@ from catalog.registry import cpt_documents, doc_of, labelled, query, table
 from corpusmill.functions.records import CPT
 from corpusmill.session import scratch_path
 from corpusmill.sources.manifest import add_sources, confirm_mapping, latest, list_active, list_sources, run_summary, split_confirmed
-from corpusmill.sources.records_io import export_bundle, export_rows, first_records, load_jsonl, read_run, write_run
+from corpusmill.sources.records_io import export_bundle, export_rows, first_records, load_jsonl, read_bundle, read_run, write_run
 
 
 def _incoming(spark, folder):
@@ -156,6 +156,15 @@ def exported_jsonl(spark, folder):
     return _columns(load_jsonl(spark, f"{path}/train.jsonl", CPT))
 
 
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id::VARCHAR AS document_id, sha256(text) AS text_hash FROM documents")
+def exported_order(spark, folder):
+    """The bundle's records in the order they are read, which is that of the run."""
+    path = scratch_path(spark, "bundle")
+    # Written from rows that lie in another order.
+    export_bundle(cpt_documents(spark, folder).repartition(7, F.xxhash64("ord")), CPT, path)
+    return read_bundle(spark, path).select("position", "metadata.document_id", F.sha2("text", 256).alias("text_hash"))
+
+
 @query("SELECT count(*) AS n_checked FROM documents")
 def reload_checked(spark, folder):
     """Rows whose fingerprint was the same after reading back (a mismatch fails)."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.records import EXPORT_COLUMNS, RECORD_FIELDS
 from corpusmill.functions.text import fail_unless
+from corpusmill.session import materialize
 
+# A row's part and its number there as one number, as monotonically_increasing_id() has it.
+_ROWS_OF_A_PART = 33
 
 
 class ReloadMismatch(RuntimeError):
@@ -64,24 +67,66 @@ def reload_check(written: dict, reloaded: DataFrame) -> None:
         raise ReloadMismatch(f"wrote {written}, read back {found}")
 
 
+def _with_places(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of written Parquet files with ``_part`` and ``_row``, where each of them lies."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("bigint")
+    return spark.read.schema(schema).parquet(path).select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_row"))
+
+
 def export_bundle(records: DataFrame, kind: str, folder: str) -> int:
-    """Write train.parquet and train.jsonl below ``folder``; no records, no files.
+    """Write train.parquet and train.jsonl below ``folder``, in the order of ``ord``; no records, no files.
 
-    The fingerprint is observed while the Parquet files are written, so records
-    are computed once; the JSONL is written from the files just checked.
+    Records are computed once and sorted over range partitions, a part file each, so the files in the
+    order of their numbers are the records in order.  The fingerprint, which holds the place of every row, is
+    observed while the Parquet files are written; it is checked on what is read back, and the JSONL is
+    written from that.  ``parts.parquet`` beside them has (part, rows, first, last), the positions
+    of a part's rows among all.
     """
     spark = records.sparkSession
-    rows = export_rows(records, kind)
-    if rows.isEmpty():
+    # Sorting reads its input twice, to draw the bounds and to sort.
+    chosen = materialize(records.where(F.col("kind") == kind), "export-records")
+    if chosen.isEmpty():
         return 0
+    rows = export_rows(chosen.orderBy("ord"), kind)
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
     seen = Observation()
-    rows.observe(seen, *fingerprint(rows)).write.mode("overwrite").parquet(f"{folder}/train.parquet")
-    reloaded = spark.read.schema(rows.schema).parquet(f"{folder}/train.parquet")
+    path = f"{folder}/train.parquet"
+    placed.observe(seen, *fingerprint(placed)).drop("_at").write.mode("overwrite").option("maxRecordsPerFile", 0).parquet(path)
+    places = _with_places(spark, path, rows.schema)
+    reloaded = places.withColumn("_at", F.shiftleft("_part", _ROWS_OF_A_PART) + F.col("_row")).drop("_part", "_row")
     reload_check(seen.get, reloaded)
-    reloaded.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/train.jsonl")
+    # A row per file.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = places.groupBy("_part").agg(F.count("*").alias("rows")).withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    parts = parts.select(F.col("_part").alias("part"), "rows", "first", (F.col("first") + F.col("rows") - 1).alias("last"))
+    parts.write.mode("overwrite").parquet(f"{folder}/parts.parquet")
+    reloaded.orderBy("_at").drop("_at").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/train.jsonl")
     return int(seen.get["n"])
 
 
+def read_bundle(spark: SparkSession, folder: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """Exported records with their ``position``, from ``first`` to ``last``; a bundle whose files
+    have other rows than its ``parts.parquet`` tells fails the job.
+
+    Positions come from the part and the row's number in it, without a sort.
+    """
+    parts = spark.read.parquet(f"{folder}/parts.parquet")
+    schema = spark.read.parquet(f"{folder}/train.parquet").schema
+    places = _with_places(spark, f"{folder}/train.parquet", schema)
+    found = places.groupBy("_part").agg(F.count("*").alias("n"))
+    other = parts.join(found, F.col("part") == F.col("_part"), "full").where("rows IS DISTINCT FROM n")
+    if not other.isEmpty():
+        raise ReloadMismatch(f"{folder} has other rows than its parts.parquet")
+    wanted = F.col("position") >= first
+    if last is not None:
+        wanted &= F.col("position") <= last
+        parts = parts.where(F.col("first") <= last)
+    parts = parts.where(F.col("last") >= first).select(F.col("part").alias("_part"), F.col("first").alias("_first"))
+    # As many rows as files.
+    rows = places.join(F.broadcast(parts), "_part").withColumn("position", F.col("_first") + F.col("_row"))
+    return rows.where(wanted).select("position", *schema.names)
+
+
 def write_run(records: DataFrame, folder: str, run_id: str, part: str) -> None:
     """Replace one part ('generated', 'normalized') of one run.
 

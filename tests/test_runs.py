@@ -111,6 +111,30 @@ def test_export_and_reload(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/train.parquet").count() == 2
 
 
+def test_export_keeps_the_order(spark, tmp_path):
+    folder = str(tmp_path / "bundle")
+    df = spark.range(3000).select(((F.col("id") * 1301) % 3000).alias("n")).repartition(5)
+    where = metadata(F.lit("d"), F.lit("f"), F.lit("h"))
+    rows = as_records(df, CPT, ord=position(F.col("n")), text=F.col("n").cast("string"), metadata=where)
+    # Small tables would be merged to one part.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert IO.export_bundle(rows, CPT, folder) == 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(name for name in os.listdir(f"{folder}/train.jsonl") if name.endswith(".json"))
+    assert [json.loads(x)["text"] for name in names for x in open(f"{folder}/train.jsonl/{name}")] == [str(n) for n in range(3000)]
+    assert sorted((r.position, r.text) for r in IO.read_bundle(spark, folder).collect()) == [(n, str(n)) for n in range(3000)]
+    assert sorted(int(r.text) for r in IO.read_bundle(spark, folder, 700, 1900).collect()) == list(range(700, 1901))
+    parts = sorted(map(tuple, spark.read.parquet(f"{folder}/parts.parquet").select("first", "last", "rows").collect()))
+    assert len(parts) > 3 and parts[0][0] == 0 and parts[-1][1] == 2999 and all(b - a + 1 == n for a, b, n in parts)
+    assert all(x[1] + 1 == y[0] for x, y in zip(parts, parts[1:]))
+    gone = next(name for name in sorted(os.listdir(f"{folder}/train.parquet")) if name.endswith(".parquet"))
+    os.remove(f"{folder}/train.parquet/{gone}")
+    with pytest.raises(IO.ReloadMismatch):
+        IO.read_bundle(spark, folder)
+
+
 def test_no_records_no_files(spark, tmp_path):
     assert IO.export_bundle(pair_records(spark), CPT, str(tmp_path / "none")) == 0
     assert not (tmp_path / "none").exists()
