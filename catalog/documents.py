@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import conversations, query, table
 from corpusmill.operators.chunking import chunk_blocks, document_id, estimate_rows, sample_text, token_windows
-from corpusmill.functions.tokens import WORDS
+from corpusmill.functions.tokens import WORDS, SubwordTokenizer
 from corpusmill.session import scratch_path, spread
 from corpusmill.sources.cache import best_variant, extract_cached, missing
 from corpusmill.sources.documents import (
@@ -227,6 +227,33 @@ def document_windows(spark, folder):
     return windows.select("doc_id", F.col("window_no").cast("bigint").alias("window_no"), F.sha2("text", 256).alias("text_hash"))
 
 
+def _subwords():
+    # Imported here, so that the other queries need no tokenizer.
+    import public_tokenizers
+
+    return SubwordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(r"SELECT doc_id, sha256(text) AS rebuilt_hash FROM documents WHERE regexp_matches(text, '\S')")
+def subword_windows(spark, folder):
+    """Windows of a subword tokenizer, put together again: they leave nothing out."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    windows = token_windows(docs, "doc_id", size=CHUNK, tokenizer=_subwords())
+    # The windows of a document are no more than its row was.
+    ordered = F.array_sort(F.collect_list(F.struct("window_no", "text")))
+    rebuilt = windows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), "").alias("text"))
+    return rebuilt.select("doc_id", F.sha2("text", 256).alias("rebuilt_hash"))
+
+
+@query()
+def subword_chunks(spark, folder):
+    """Documents in chunks of a subword tokenizer's tokens."""
+    docs = spread(table(spark, folder, "documents"), "doc_id").select(
+        F.col("doc_id").cast("string").alias("document_id"), markdown_blocks(F.col("text")).alias("blocks")
+    )
+    return _chunk_columns(chunk_blocks(docs, max_tokens=CHUNK, tokenizer=_subwords()))
+
+
 @query(
     """SELECT doc_id, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)
       AS document_id FROM (SELECT doc_id, md5(source || ':' || sha256(text)) AS m FROM documents)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -41,30 +42,105 @@ class ArrowTokenizer:
     def __init__(self, load: Callable[[], tuple[Callable[[str], Sequence[int]], Callable[[Sequence[int]], str]]]):
         self._load = load
 
+    def open(self) -> tuple[Callable[[list[str]], list[int]], Callable[[str, int], list[str]]]:
+        """For a task: the token counts of some texts, and the pieces of a text."""
+        encode, decode = self._load()
+
+        def cut(text: str, size: int) -> list[str]:
+            ids = list(encode(text))
+            return [decode(ids[i : i + size]) for i in range(0, len(ids), size)] or [decode(ids)]
+
+        return lambda texts: [len(encode(t)) for t in texts], cut
+
     def count(self, text: Column) -> Column:
-        load = self._load
+        open = self.open
 
         @F.pandas_udf("int")
         def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encode, _ = load()
+            numbers, _ = open()
             for batch in batches:
-                yield batch.map(lambda t: len(encode(t)), na_action="ignore").astype("Int32")
+                there = batch.notna()
+                found = iter(numbers(batch[there].tolist()))
+                yield pd.Series([next(found) if known else None for known in there], dtype="Int32")
 
         return counts(text)
 
     def windows(self, text: Column, size: int) -> Column:
-        load = self._load
+        open = self.open
 
         @F.pandas_udf("array<string>")
-        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encode, decode = load()
+        def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            _, cut = open()
             for batch in batches:
-                encoded = batch.map(lambda t: list(encode(t or "")))
-                yield encoded.map(
-                    lambda ids: [decode(ids[i : i + size]) for i in range(0, len(ids), size)] or [decode(ids)]
-                )
+                yield batch.map(lambda t: cut(t or "", size))
+
+        return windows(text)
+
+    def pieces(self, levels: Column, texts: Column, size: int) -> Column:
+        """For arrays of levels and texts, an array of (text, tokens) per text: itself, or its windows
+        if its level is 0 and it has more than ``size`` tokens; none for a null text."""
+        open = self.open
+
+        @F.pandas_udf("array<array<struct<text: string, tokens: int>>>")
+        def pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            numbers, cut = open()
+
+            def of_row(levels, texts):
+                if texts is None:
+                    return None
+                counted = iter(numbers([t for t in texts if t is not None]))
+                row = []
+                for level, text in zip(levels, texts):
+                    parts = [] if text is None else [(text, next(counted))]
+                    if parts and not level and parts[0][1] > size:
+                        windows = cut(text, size)
+                        parts = list(zip(windows, numbers(windows)))
+                    row.append([{"text": t, "tokens": n} for t, n in parts])
+                return row
+
+            for level, text in batches:
+                yield pd.Series([of_row(a, b) for a, b in zip(level, text)], dtype=object)
+
+        return pieces.asNondeterministic()(levels, texts)
+
+
+class SubwordTokenizer(ArrowTokenizer):
+    """A public tokenizer, from its ``tokenizers`` file, which every executor has to reach.
+
+    Pieces are cut out of the text where their first token begins, so that together they are the
+    text, to the last space; a character that two tokens share goes to the later piece.
+    Special tokens are not added.  Texts go through the tokenizer many at a time, on one thread,
+    in steps of ``step`` characters, which bounds the offsets a task holds.
+    """
 
-        return cut(text)
+    def __init__(self, file: str, step: int = 1 << 20):
+        self._file, self._step = file, step
+
+    def open(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self._file)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+
+        def counts(texts: list[str]) -> list[int]:
+            out: list[int] = []
+            together, size = [], 0
+            for text in texts:
+                together.append(text)
+                size += len(text)
+                if size >= self._step:
+                    out += [len(e) for e in tokenizer.encode_batch(together, add_special_tokens=False)]
+                    together, size = [], 0
+            return out + [len(e) for e in tokenizer.encode_batch(together, add_special_tokens=False)]
+
+        def cut(text: str, size: int) -> list[str]:
+            offsets = tokenizer.encode(text, add_special_tokens=False).offsets
+            starts = [0, *[offsets[i][0] for i in range(size, len(offsets), size)], len(text)]
+            return [text[a:b] for a, b in zip(starts, starts[1:])]
+
+        return counts, cut
 
 
 WORDS = WordTokenizer()

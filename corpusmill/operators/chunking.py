@@ -123,27 +123,13 @@ def _word_pieces(documents: DataFrame, keep, max_tokens: int, tokenizer, blocks:
 
 
 def _arrow_pieces(documents: DataFrame, keep, max_tokens: int, tokenizer, blocks: str) -> DataFrame:
-    """As above for tokenizers that only work on plain columns, one row per
-    block on the way.  The blocks of one document return to one row, which was
-    one row before and is bounded by the ceiling for a source."""
-    rows = documents.select("document_id", *keep, F.posexplode(blocks).alias("_no", "_block"))
-    counted = rows.withColumn("_tokens", tokenizer.count(F.col("_block.text")))
-    long = (F.col("_block.level") == 0) & (F.col("_tokens") > max_tokens)
-    short_rows = counted.where(~long).withColumn("_windows", F.array("_block.text"))
-    long_rows = counted.where(long).withColumn("_windows", tokenizer.windows(F.col("_block.text"), max_tokens))
-    cut = (
-        short_rows.unionByName(long_rows)
-        .select("document_id", *keep, "_no", "_block", F.posexplode("_windows").alias("_part", "_text"))
-        .withColumn("_count", tokenizer.count(F.col("_text")))
-    )
-    ordered = F.array_sort(
-        F.collect_list(F.struct("_no", "_part", _piece(F.col("_block"), F.col("_text"), F.col("_count")).alias("piece")))
-    )
-    return (
-        cut.groupBy("document_id", *keep)
-        .agg(ordered.alias("_ordered"))
-        .select("document_id", *keep, F.transform("_ordered", lambda o: o["piece"]).alias("_pieces"))
-    )
+    """As above for tokenizers on Arrow batches; levels and texts visit Python as arrays, once, and
+    no block leaves its document's row."""
+    block = F.col(blocks)
+    cut = tokenizer.pieces(F.transform(block, lambda b: b["level"]), F.transform(block, lambda b: b["text"]), max_tokens)
+    found = documents.select("document_id", *keep, block.alias("_blocks"), cut.alias("_cut"))
+    pieces = F.zip_with("_blocks", "_cut", lambda b, c: F.transform(c, lambda w: _piece(b, w["text"], w["tokens"])))
+    return found.select("document_id", *keep, F.flatten(pieces).alias("_pieces"))
 
 
 def token_windows(documents: DataFrame, *keep: str, text: str = "text", size: int = MAX_CHUNK_TOKENS, tokenizer=WORDS) -> DataFrame:

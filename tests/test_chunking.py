@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions.tokens import ArrowTokenizer
+from corpusmill.functions.tokens import ArrowTokenizer, SubwordTokenizer
 from corpusmill.operators.chunking import chunk_blocks, document_id, estimate_rows, sample_text, token_windows
 from corpusmill.sources.documents import extract_blocks, markdown_blocks
 
@@ -91,6 +92,48 @@ def test_against_a_sequential_fold_and_another_tokenizer(spark):
         assert sorted((c.document_id, c.chunk_no, c.headings, c.text.split()) for c in got) == sorted(expected)
 
 
+def test_chunks_of_a_subword_tokenizer(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(file)
+    encode = lambda text: plain.encode(text, add_special_tokens=False)
+    draw = random.Random(8)
+    words = ["extraordinary", "naïve", "hedgehogs", "日本語", "😀😀", "x1234567", "the", "of", "--", "\u00a0z"]
+    texts = [" ".join(draw.choice(words) for _ in range(n)) for n in (1, 5, 60, 300)]
+    texts += ["  spaces \n\n kept\t ", "é" * 50, None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    tokens = SubwordTokenizer(file, step=500)
+    counted = {r.id: r.n for r in df.select("id", tokens.count(F.col("text")).alias("n")).collect()}
+    assert counted == {i: None if t is None else len(encode(t).ids) for i, t in enumerate(texts)}
+    windows = {}
+    for row in token_windows(df, "id", size=16, tokenizer=tokens).orderBy("window_no").collect():
+        windows.setdefault(row.id, []).append(row.text)
+    for i, text in enumerate(texts):
+        if text and text.strip():
+            offsets = encode(text).offsets
+            at = [0, *[o[0] for o in offsets[16::16]], len(text)]
+            assert windows[i] == [text[a:b] for a, b in zip(at, at[1:])] and "".join(windows[i]) == text
+    docs = spark.createDataFrame(
+        [("d", [(1, "H"), (0, texts[2]), (0, None), (0, "short one"), (0, "and another")]), ("e", None)],
+        "document_id string, b array<struct<level: int, text: string>>",
+    ).withColumn("blocks", F.transform("b", lambda b: F.struct(b["level"].alias("level"), b["text"].alias("text"), F.lit(1).alias("page"))))
+    got = chunk_blocks(docs, max_tokens=16, tokenizer=tokens).orderBy("chunk_no").collect()
+    pieces = [*windows[2], "short one", "and another"]
+    expected, used = [], 99
+    for piece in pieces:
+        n = len(encode(piece).ids)
+        if used + n <= 16:
+            expected[-1], used = f"{expected[-1]}\n{piece}", used + n
+        else:
+            expected.append(piece)
+            used = n
+    assert [c.text for c in got] == expected and {(c.heading, c.page) for c in got} == {("H", 1)}
+    plan = chunk_blocks(docs, max_tokens=16, tokenizer=tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_windows_of_plain_text(spark):
     df = spark.createDataFrame([(1, "a b\nc  d e"), (2, " ")], "id int, text string")
     assert [(r.id, r.window_no, r.text) for r in token_windows(df, "id", size=2).orderBy("window_no").collect()] == [(1, 0, "a b"), (1, 1, "c  d"), (1, 2, "e")]
