@@ -276,6 +276,7 @@ def selected_pairs(spark, folder):
 
 @query(
     """SELECT doc_id::VARCHAR AS request_id, CASE lang WHEN 'en' THEN 'domain_adaptation' WHEN 'fr' THEN 'preference_alignment' END AS goal,
+      CASE lang WHEN 'en' THEN 'cpt' WHEN 'fr' THEN 'dpo' END AS objective,
       CASE WHEN lang IN ('en', 'fr') THEN source END AS rationale,
       CASE WHEN lang IN ('en', 'fr') THEN n_chars::VARCHAR END AS desired_behavior,
       CASE WHEN lang NOT IN ('en', 'fr') THEN 'bad_goal_reply' END AS reject_reason FROM documents"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import cpt_documents, doc_of, labelled, query, table
-from corpusmill.functions.records import CPT
+from corpusmill.functions.records import CPT, EXPORT_COLUMNS
 from corpusmill.session import scratch_path
 from corpusmill.sources.manifest import add_sources, confirm_mapping, latest, list_active, list_sources, run_summary, split_confirmed
 from corpusmill.sources.records_io import export_bundle, export_rows, first_records, load_jsonl, read_bundle, read_run, write_run
@@ -165,6 +165,21 @@ def exported_order(spark, folder):
     return read_bundle(spark, path).select("position", "metadata.document_id", F.sha2("text", 256).alias("text_hash"))
 
 
+@query(
+    """SELECT 'cpt' AS kind, count(*) AS n_told, count(*) AS n_read FROM documents
+    UNION ALL SELECT kind, 0, 0 FROM (VALUES ('sft_prompt_completion'), ('sft_conversation'), ('dpo')) AS k(kind)"""
+)
+def exported_kinds(spark, folder):
+    """A bundle of every kind from the same run; a kind without records has no files."""
+    path = scratch_path(spark, "bundle")
+    records = cpt_documents(spark, folder)
+    told = spark.createDataFrame([(kind, export_bundle(records, kind, f"{path}/{kind}")) for kind in EXPORT_COLUMNS], "kind string, n_told bigint")
+    # The path matches those bundles only that have been written.
+    files = spark.read.parquet(f"{path}/*/train.parquet").select(F.regexp_extract("_metadata.file_path", "/([^/]+)/train[.]parquet/", 1).alias("kind"))
+    read = files.groupBy("kind").agg(F.count("*").alias("n_read"))
+    return told.join(read, "kind", "left").select("kind", "n_told", F.coalesce("n_read", F.lit(0)).cast("bigint").alias("n_read"))
+
+
 @query("SELECT count(*) AS n_checked FROM documents")
 def reload_checked(spark, folder):
     """Rows whose fingerprint was the same after reading back (a mismatch fails)."""

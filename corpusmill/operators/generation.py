@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import prompts
 from corpusmill.functions.records import CPT, DPO, ITEM_BITS, SFT_CONVERSATION, SFT_PAIR, as_records, message, metadata
-from corpusmill.functions.replies import goal_choice, qa_candidate, score
+from corpusmill.functions.replies import OBJECTIVE_BY_GOAL, goal_choice, qa_candidate, score
 from corpusmill.functions.text import let
 from corpusmill.session import materialize
 
@@ -330,11 +330,14 @@ def goal_requests(samples: DataFrame, project: str = "project_id") -> DataFrame:
 
 
 def goals(responses: DataFrame) -> DataFrame:
-    """(request_id, goal, rationale, desired_behavior, reject_reason)."""
+    """(request_id, goal, objective, rationale, desired_behavior, reject_reason); the objective is the
+    kind of record that serves the goal."""
     choice = goal_choice(F.col("content"))
+    objective = F.create_map(*[F.lit(x) for pair in OBJECTIVE_BY_GOAL.items() for x in pair])
     return responses.select("request_id", choice.alias("choice")).select(
         "request_id",
         F.col("choice.goal").alias("goal"),
+        F.try_element_at(objective, F.col("choice.goal")).alias("objective"),
         F.col("choice.rationale").alias("rationale"),
         F.col("choice.desired_behavior").alias("desired_behavior"),
         F.when(F.col("choice").isNull(), F.lit("bad_goal_reply")).alias("reject_reason"),
