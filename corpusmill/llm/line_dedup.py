@@ -19,20 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.links import key_groups, shared_keys
-from corpusmill.llm.words import char_shingles, minima, mixed, runs_within, set_key
+from corpusmill.llm.links import key_groups, neighbouring_keys
+from corpusmill.llm.words import char_shingles, minima, mixed, runs_within
 from corpusmill.session import materialize
 
 SIMILARITY = 0.8
 SHINGLE = 8
 BANDS, ROWS = 10, 4
 
-# Shingles that are hashed together.
-_STEP = 1 << 20
+# Characters of lines that leave as one batch, and of lines that are hashed together: few enough for a processor's cache.
+_STEP, _HASHED = 1 << 20, 1 << 15
 
 
 def _place(id: Column, line: Column) -> Column:
@@ -46,10 +47,29 @@ def _document(place: Column) -> Column:
 
 def _lines(text: str | None) -> list[tuple[int, str]]:
     """(number, normalized line) of the lines that have a word."""
-    rows = ((k, " ".join(line.lower().split())) for k, line in enumerate((text or "").split("\n")))
+    rows = ((k, " ".join(line.split())) for k, line in enumerate((text or "").lower().split("\n")))
     return [(k, line) for k, line in rows if line]
 
 
+def _band_keys(lines: list[str], bands: int) -> np.ndarray:
+    """(bands, lines) keys; lines are hashed a few at a time."""
+    lengths = np.array([len(line) for line in lines])
+    ends = np.cumsum(lengths)
+    keys, start = np.empty((bands, len(lines)), dtype="uint64"), 0
+    while start < len(lines):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + _HASHED, side="right")))
+        codes = np.frombuffer("".join(lines[start:stop]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("uint64")
+        shingles, counts = runs_within(codes, lengths[start:stop], SHINGLE)
+        values = minima(shingles, counts, bands * ROWS).astype("uint64").T.reshape(bands, ROWS, stop - start)
+        key = np.repeat(np.arange(bands, dtype="uint64")[:, None], stop - start, axis=1)
+        for r in range(ROWS):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, r])
+        keys[:, start:stop] = key
+        start = stop
+    return keys.view("int64")
+
+
 def _line_rows(docs: DataFrame, id: str, text: str, bands: int) -> DataFrame:
     """(id, line, h1, h2, k0, ...): a line's 128-bit key and its band keys, none if ``bands`` is 0."""
     names = ["h1", "h2", *[f"k{b}" for b in range(bands)]]
@@ -57,35 +77,26 @@ def _line_rows(docs: DataFrame, id: str, text: str, bands: int) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            table = np.array(rows, dtype="int64").reshape(-1, 4).T
-            columns = list(table)
-            if bands and lines:
-                codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("uint64")
-                shingles, counts = runs_within(codes, np.array([len(line) for line in lines]), SHINGLE)
-                values = minima(shingles, counts, bands * ROWS).astype("uint64").reshape(len(lines), bands, ROWS)
-                for b in range(bands):
-                    key = np.full(len(lines), b, dtype="uint64")
-                    for r in range(ROWS):
-                        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, b, r])
-                    columns.append(key.view("int64"))
-            elif bands:
-                columns += [np.empty(0, dtype="int64")] * bands
+            digests = np.frombuffer(b"".join(keys), dtype=">i8").astype("int64").reshape(-1, 2)
+            columns = [np.array(owners, dtype="int64"), np.array(numbers, dtype="int64"), digests[:, 0], digests[:, 1]]
+            if bands:
+                columns += list(_band_keys(lines, bands))
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=schema.names)
 
-        rows: list[tuple[int, int, int, int]] = []
-        lines: list[str] = []
-        size = 0
+        owners, numbers, keys, lines, size = [], [], [], [], 0
         for batch in batches:
             for identifier, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for number, line in _lines(value):
-                    rows.append((identifier, number, *set_key(line.encode("utf-8", "surrogatepass"))))
+                    owners.append(identifier)
+                    numbers.append(number)
+                    keys.append(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
                     if bands:
                         lines.append(line)
                         size += len(line)
-                    if size > _STEP or len(rows) > 100_000:
+                    if size > _STEP or len(owners) > 100_000:
                         yield flush()
-                        rows, lines, size = [], [], 0
-        if rows:
+                        owners, numbers, keys, lines, size = [], [], [], [], 0
+        if owners:
             yield flush()
 
     return docs.select(F.col(id).cast("long"), text).where(F.col(id).isNotNull()).mapInArrow(keyed, schema)
@@ -121,7 +132,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simi
     # Written once, so that the numbers given to the distinct lines stay what they are.
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
     members = distinct.select("node", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"))
-    members = materialize(shared_keys(members), "line-keys")
+    members = materialize(neighbouring_keys(members, distinct.count() * BANDS), "line-keys")
     wanted = members.select("node").distinct()
     place = F.col("place")
     wanted = wanted.join(distinct, "node").select("node", _document(place).alias("id"), F.pmod(place, F.lit(1 << 32)).cast("long").alias("line"))

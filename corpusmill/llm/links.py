@@ -28,6 +28,9 @@ BLOCK = 128
 # Rows of 64 bits that tell which nodes are wanted.
 WORDS = 1 << 18
 
+# Rows of keys that a task sorts.
+_ROWS = 1 << 20
+
 # Similarity to the lead of a bucket from which a node joins the lead's group for a full comparison.
 LOOSE = 0.45
 
@@ -165,6 +168,39 @@ def shared_keys(members: DataFrame) -> DataFrame:
     return members.join(groups, "key").select("node", "key")
 
 
+def neighbouring_keys(members: DataFrame, rows: int, rows_of_a_task: int = _ROWS) -> DataFrame:
+    """The rows of (node, key) whose key has more than one node, from a table of about ``rows`` rows, in one shuffle.
+
+    Rows are sorted by (key, node) over range partitions, so that a key with a third of all rows is in
+    many tasks, and a key of one row has other neighbours.  The outermost rows of a task stay too, as their
+    neighbours are in another one.
+    """
+    tasks = max(1, -(-rows // rows_of_a_task))
+    ordered = members.select("key", "node").repartitionByRange(tasks, "key", "node").sortWithinPartitions("key", "node")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row so far, and whether it stays whatever comes next.
+        held, stays = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = (c.to_numpy() for c in batch.columns)
+            if held is not None:
+                key, node = np.append(held[0], key), np.append(held[1], node)
+            keep = np.zeros(len(key), dtype=bool)
+            keep[0] = stays
+            same = key[1:] == key[:-1]
+            keep[1:] |= same
+            keep[:-1] |= same
+            held, stays = (key[-1:], node[-1:]), bool(keep[-1])
+            out = np.flatnonzero(keep[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(key[out])], names=["node", "key"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[0])], names=["node", "key"])
+
+    return ordered.mapInArrow(walk, "node long, key long")
+
+
 def lead_rounds(members: DataFrame, texts: DataFrame, shingles: Shingles, similarity: float, loose: float = LOOSE) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of a node and a lead that are loosely similar, and the rows of (node, key) that are left.
 
@@ -199,11 +235,19 @@ def key_groups(members: DataFrame, texts: DataFrame, shingles: Shingles, similar
 
     Nodes that are loosely similar to a common lead, directly or over others, are one group, and
     within a group, as among the nodes that are left in a key, everything is compared
-    with everything, in tiles.
+    with everything, in tiles.  A group needs no tile where the comparisons with its least node have
+    decided it: all its nodes are similar to that one, or there are two nodes.
     """
     near, rest = lead_rounds(members, texts, shingles, similarity, loose)
     groups = materialize(components(near), "loose-groups")
-    tiles = tile_links(groups, texts, shingles, similarity, block)
+    close = near.where(F.col("similarity") >= similarity - 1e-12).select("a", "b")
+    direct = groups.join(close, (F.col("node") == F.col("a")) & (F.col("component") == F.col("b"))).select("node", "component").distinct()
+    direct = materialize(direct, "similar-to-least")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    done = direct.groupBy("component").agg((F.count("*") + 1).alias("done"))
+    undecided = sizes.join(done, "component", "left").where("size > 2 AND size > coalesce(done, 1)").select("component")
+    undecided = groups.join(materialize(undecided, "undecided-groups"), "component")
+    tiles = tile_links(undecided, texts, shingles, similarity, block)
     left = tile_links(rest.select("node", F.col("key").alias("component")), texts, shingles, similarity, 2 * block)
     edges = tiles.unionByName(left).where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(materialize(edges, "tile-links"))
+    return components(materialize(edges.unionByName(direct.select(F.col("node").alias("a"), F.col("component").alias("b"))), "tile-links"))

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm.line_dedup import SHINGLE, _line_rows, dedup_lines
-from corpusmill.llm.links import components, only_wanted
+from corpusmill.llm.links import components, key_groups, neighbouring_keys, only_wanted
 from corpusmill.llm.ngram_join import DEPTH, TREES, depth_for, forest_pairs, ngram_classes, one_of_each_class
+from corpusmill.llm.words import word_shingles
 
 
 def jaccard(a, b):
@@ -204,3 +205,29 @@ def test_columns_of_any_name_stay(spark):
     assert sorted(map(tuple, out.collect())) == [(1, rows[0][1], "i", 5, "l", 2, 0), (2, "", "j", 6, "m", 1, 1)]
     with pytest.raises(ValueError):
         dedup_lines(docs)
+
+
+@pytest.mark.parametrize("rows_of_a_task", [4, 1 << 20])
+def test_keys_of_several_nodes_stay_over_borders(spark, rows_of_a_task):
+    rows = [(node, 7) for node in range(40)] + [(node, 100 + node) for node in range(60)] + [(node, 200 + node // 2) for node in range(20)]
+    members = spark.createDataFrame(rows, "node long, key long")
+    kept = neighbouring_keys(members, len(rows), rows_of_a_task)
+    found = {tuple(r) for r in kept.select("node", "key").collect()}
+    assert found <= set(rows) and kept.count() == len(found)
+    assert {r for r in rows if r[1] == 7 or r[1] >= 200} <= found
+    # Beyond those only the outermost rows of a task.
+    tasks = -(-len(rows) // rows_of_a_task)
+    assert len(found) <= 60 + 2 * tasks
+    assert neighbouring_keys(members.limit(0), 0).count() == 0
+
+
+def test_groups_decided_by_their_least_node_equal_tiles(spark):
+    # Sets of numbers as texts: 0 and 1 loose, 10 to 12 all similar to 10, 20 to 22 a chain.
+    base = [f"w{k}" for k in range(20)]
+    texts = {0: base, 1: base[:12] + [f"x{k}" for k in range(8)]}
+    texts |= {10: [f"a{k}" for k in range(20)], 11: [f"a{k}" for k in range(19)], 12: [f"a{k}" for k in range(18)]}
+    texts |= {20: [f"b{k}" for k in range(20)], 21: [f"b{k}" for k in range(2, 22)], 22: [f"b{k}" for k in range(4, 24)]}
+    rows = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "node long, text string")
+    members = spark.createDataFrame([(node, node // 10) for node in texts], "node long, key long")
+    groups = {r.node: r.component for r in key_groups(members, rows, lambda t: word_shingles(t, 1), 0.8).collect()}
+    assert groups == {10: 10, 11: 10, 12: 10, 20: 20, 21: 20, 22: 20}
