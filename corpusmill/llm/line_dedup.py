@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.links import key_groups, neighbouring_keys
+from corpusmill.llm.links import key_groups, marked, neighbouring_keys
 from corpusmill.llm.words import char_shingles, minima, mixed, runs_within
 from corpusmill.session import materialize
 
@@ -45,9 +45,14 @@ def _document(place: Column) -> Column:
     return F.floor(place / F.lit(1 << 32).cast("decimal(11,0)")).cast("long")
 
 
+def _collapsed(line: str) -> str:
+    # Of all white space only the space is printable.
+    return line.strip() if "  " not in line and line.isprintable() else " ".join(line.split())
+
+
 def _lines(text: str | None) -> list[tuple[int, str]]:
     """(number, normalized line) of the lines that have a word."""
-    rows = ((k, " ".join(line.split())) for k, line in enumerate((text or "").lower().split("\n")))
+    rows = ((k, _collapsed(line)) for k, line in enumerate((text or "").lower().split("\n")))
     return [(k, line) for k, line in rows if line]
 
 
@@ -103,7 +108,7 @@ def _line_rows(docs: DataFrame, id: str, text: str, bands: int) -> DataFrame:
 
 
 def _texts_of_lines(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """(node, text) of the wanted lines (node, id, line)."""
+    """(node, text) of the wanted lines (node, id, line), which are read twice."""
     numbers = wanted.groupBy("id").agg(F.collect_set(F.struct("line", "node")).alias("lines"))
     node = wanted.schema["node"].dataType
     schema = T.StructType([T.StructField("node", node), T.StructField("text", T.StringType())])
@@ -120,6 +125,7 @@ def _texts_of_lines(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> D
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=schema.names)
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = marked(rows, wanted, "id").where("_likely")
     return rows.join(numbers, "id").select("text", "lines").mapInArrow(pick, schema)
 
 
@@ -136,6 +142,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simi
     wanted = members.select("node").distinct()
     place = F.col("place")
     wanted = wanted.join(distinct, "node").select("node", _document(place).alias("id"), F.pmod(place, F.lit(1 << 32)).cast("long").alias("line"))
+    wanted = materialize(wanted, "lines-wanted")
     texts = materialize(_texts_of_lines(docs, wanted, id, text), "line-texts")
     shingles = lambda line: char_shingles(line, SHINGLE)
     groups = key_groups(members, texts, shingles, similarity)
@@ -148,7 +155,8 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simi
         .select("h1", "h2", F.coalesce("first", "place").alias("stays"))
     )
     decided = materialize(decided, "decided-lines")
-    gone = _line_rows(docs, id, text, 0).join(decided, ["h1", "h2"]).where(_place(F.col("id"), F.col("line")) != F.col("stays"))
+    lines = marked(_line_rows(docs, id, text, 0), decided, "h1", "h2").where("_likely").drop("_likely")
+    gone = lines.join(decided, ["h1", "h2"]).where(_place(F.col("id"), F.col("line")) != F.col("stays"))
     return gone.groupBy("id").agg(F.collect_set("line").alias("lines"))
 
 
@@ -168,7 +176,12 @@ def without_lines(docs: DataFrame, gone: DataFrame, id: str = "doc_id", text: st
         raise ValueError(f"documents have a column {n_lines} or {n_gone} already")
     key, taken = unused("_id", docs.columns), unused("_lines", docs.columns)
     lists = materialize(gone, "lines-gone").select(F.col("id").alias(key), F.col("lines").alias(taken))
-    joined = docs.join(lists, docs[id].cast("long") == lists[key], "left").drop(key)
+    # Documents that surely keep all lines stay out of the shuffle.
+    own, likely = unused("_own", docs.columns), unused("_likely", docs.columns)
+    rows = marked(docs.withColumn(own, F.col(id).cast("long")), lists.select(F.col(key).alias(own)), own, name=likely)
+    joined = rows.where(likely).join(lists, F.col(own) == F.col(key), "left").select(*docs.columns, taken)
+    whole = rows.where(~F.col(likely)).select(*docs.columns, F.size(F.split(text, "\n")).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_gone))
+    whole = whole.withColumn(n_lines, F.when(F.col(text).isNull(), 0).otherwise(F.col(n_lines)).cast("long"))
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_gone, T.LongType())])
     at = docs.columns.index(text)
 
@@ -190,7 +203,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, id: str = "doc_id", text: st
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).unionByName(whole)
 
 
 def dedup_lines(

@@ -28,24 +28,34 @@ BLOCK = 128
 # Rows of 64 bits that tell which nodes are wanted.
 WORDS = 1 << 18
 
-# Rows of keys that a task sorts.
+# Rows of keys that a task holds, 16 bytes each.
 _ROWS = 1 << 20
 
 # Similarity to the lead of a bucket from which a node joins the lead's group for a full comparison.
 LOOSE = 0.45
 
 
-def only_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of (node, text) whose node is in ``wanted`` (node), which is read twice.
+def marked(rows: DataFrame, wanted: DataFrame, *key: str, name: str = "_likely") -> DataFrame:
+    """``rows`` and whether their ``key`` columns can be in ``wanted``: true for all that are, and for few others
+    while there are far fewer keys than bits.
 
-    A bit per hashed node, at most ``WORDS`` rows of 64 bits whatever the size of the tables, keeps
-    nearly all other texts out of the shuffle of the join that decides.
+    A bit per hashed key, at most ``WORDS`` rows of 64 bits whatever the size of the tables.
     """
-    word = F.pmod(F.xxhash64("node"), F.lit(WORDS))
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(node, 1), 64) as int))")
-    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    likely = texts.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
-    return likely.select(*texts.columns).join(wanted, "node", "left_semi")
+    of = "pmod(xxhash64({}), {})".format(", ".join(f"`{k}`" for k in key), WORDS)
+    bit = "shiftleft(1L, cast(pmod(xxhash64({}, 1), 64) as int))".format(", ".join(f"`{k}`" for k in key))
+    word, bits = f"{name}_word", f"{name}_bits"
+    while {word.lower(), bits.lower()} & {c.lower() for c in rows.columns}:
+        word, bits = f"_{word}", f"_{bits}"
+    table = wanted.groupBy(F.expr(of).alias(word)).agg(F.bit_or(F.expr(bit)).alias(bits))
+    told = rows.withColumn(word, F.expr(of)).join(F.broadcast(table), word, "left")
+    likely = F.coalesce(F.col(bits).bitwiseAND(F.expr(bit)) != 0, F.lit(False))
+    return told.select(*[F.col(f"`{c}`") for c in rows.columns], likely.alias(name))
+
+
+def only_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of (node, text) whose node is in ``wanted`` (node), which is read twice; a sketch of it
+    keeps nearly all other texts out of the shuffle of the join that decides."""
+    return marked(texts, wanted, "node").where("_likely").drop("_likely").join(wanted, "node", "left_semi")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingles: Shingles, threshold: float) -> DataFrame:
@@ -171,34 +181,27 @@ def shared_keys(members: DataFrame) -> DataFrame:
 def neighbouring_keys(members: DataFrame, rows: int, rows_of_a_task: int = _ROWS) -> DataFrame:
     """The rows of (node, key) whose key has more than one node, from a table of about ``rows`` rows, in one shuffle.
 
-    Rows are sorted by (key, node) over range partitions, so that a key with a third of all rows is in
-    many tasks, and a key of one row has other neighbours.  The outermost rows of a task stay too, as their
-    neighbours are in another one.
+    Rows are dealt by ranges of (key, node), so that a key with a third of all rows is in many
+    tasks of about ``rows_of_a_task`` rows.  The rows of a task's least and greatest key stay too, as the
+    key may go on in another task.
     """
     tasks = max(1, -(-rows // rows_of_a_task))
-    ordered = members.select("key", "node").repartitionByRange(tasks, "key", "node").sortWithinPartitions("key", "node")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row so far, and whether it stays whatever comes next.
-        held, stays = None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node = (c.to_numpy() for c in batch.columns)
-            if held is not None:
-                key, node = np.append(held[0], key), np.append(held[1], node)
-            keep = np.zeros(len(key), dtype=bool)
-            keep[0] = stays
-            same = key[1:] == key[:-1]
-            keep[1:] |= same
-            keep[:-1] |= same
-            held, stays = (key[-1:], node[-1:]), bool(keep[-1])
-            out = np.flatnonzero(keep[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(key[out])], names=["node", "key"])
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[0])], names=["node", "key"])
-
-    return ordered.mapInArrow(walk, "node long, key long")
+    dealt = members.select("key", "node").repartitionByRange(tasks, "key", "node")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        key, node = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        several = (key == key[0]) | (key == key[-1])
+        several[1:] |= same
+        several[:-1] |= same
+        yield pa.RecordBatch.from_arrays([pa.array(node[order[several]]), pa.array(key[several])], names=["node", "key"])
+
+    return dealt.mapInArrow(keep, "node long, key long")
 
 
 def lead_rounds(members: DataFrame, texts: DataFrame, shingles: Shingles, similarity: float, loose: float = LOOSE) -> tuple[DataFrame, DataFrame]:

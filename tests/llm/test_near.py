@@ -215,7 +215,7 @@ def test_keys_of_several_nodes_stay_over_borders(spark, rows_of_a_task):
     found = {tuple(r) for r in kept.select("node", "key").collect()}
     assert found <= set(rows) and kept.count() == len(found)
     assert {r for r in rows if r[1] == 7 or r[1] >= 200} <= found
-    # Beyond those only the outermost rows of a task.
+    # Beyond those only the rows of the outermost keys of a task.
     tasks = -(-len(rows) // rows_of_a_task)
     assert len(found) <= 60 + 2 * tasks
     assert neighbouring_keys(members.limit(0), 0).count() == 0
