@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import ArrowTokenizer, SubwordTokenizer
 from corpusmill.operators.chunking import chunk_blocks, document_id, estimate_rows, sample_text, token_windows
-from corpusmill.sources.documents import extract_blocks, markdown_blocks
+from corpusmill.sources.documents import extract_blocks, html_blocks, markdown_blocks, unescape_blocks
 
 
 def chunks(spark, text, **options):
@@ -168,3 +168,10 @@ def test_a_long_document_does_not_travel_with_its_chunks(spark):
     )
     rows = chunk_blocks(one).selectExpr("count(*) AS n", "max(length(text)) AS longest", "count(headings) AS h").first()
     assert rows.n == 3125 and rows.longest < 512 * 6 and rows.h == 3125
+
+
+def test_the_heading_of_a_page_keeps_a_reference_cut_short(spark):
+    pages = spark.createDataFrame([("p", "<h1>Auf&amp;amp &amp</h1><p>one &lt; two &lt")], "document_id string, html string")
+    blocks = unescape_blocks(pages.select("document_id", html_blocks(F.col("html")).alias("blocks")))
+    chunk = chunk_blocks(blocks, max_tokens=8).first()
+    assert (chunk.heading, chunk.text) == ("Auf&amp &amp", "one < two &lt")
