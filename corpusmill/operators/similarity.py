@@ -4,7 +4,9 @@ Candidates come from prefix filtering.  All tokens have one global order, rare o
 with n and m tokens and a similarity of ``t`` share at least one token among the first
 ``n - ceil(t n) + 1`` and ``m - ceil(t m) + 1``, and in general their first k shared tokens lie among the first
 ``... + k``.  So sets are keyed by one token of that prefix, and where too many sets have a
-key, by a further token behind it, until the groups are small.
+key, by a further token behind it, until the groups are small.  Two sets meet only if what lies behind
+their key in the shorter rest would still do.  Those that met are held against each other by their sketches,
+whose different bits are no more than the tokens that one of them has alone; only pairs that pass move their tokens.
 
 The order rests on a sketch of token counts with a fixed number of cells, so ordering a record's tokens
 needs no shuffle.  Any order gives the same result; rare tokens first give small groups.
@@ -27,6 +29,9 @@ CELLS = 1 << 18
 HOT_KEY = 64
 LONGEST_KEY = 4
 
+# 64-bit words of a set's sketch.
+SKETCH_WORDS = 8
+
 # Share of key memberships that a round of leads has to settle for another round to follow.
 WORTHWHILE = 0.25
 
@@ -71,9 +76,38 @@ def _start(ords: DataFrame) -> DataFrame:
     return ords.select("ord", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("at"))
 
 
+def sketch(tokens: Column) -> Column:
+    """Bits that are set where an odd number of tokens fall."""
+
+    def word(k: int) -> Column:
+        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(t, 55).bitwiseAND(63).cast("int"))
+        own = F.filter(tokens, lambda t: F.shiftrightunsigned(t, 61) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit(t)))
+
+    return F.array(*[word(k) for k in range(SKETCH_WORDS)])
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(ord, size, sketch), as written or else from the tokens."""
+    known = F.col("sketch") if "sketch" in sets.columns else sketch(F.col("tokens"))
+    return sets.select("ord", F.size("tokens").alias("size"), known.alias("sketch"))
+
+
+def _near(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more bits than similar sets may differ in tokens."""
+    both = pairs
+    for side in ("a", "b"):
+        drawn = _sketches(sets).select(F.col("ord").alias(side), F.col("size").alias(f"_n{side}"), F.col("sketch").alias(f"_s{side}"))
+        both = both.join(drawn, side)
+    different = [F.bit_count(F.get("_sa", F.lit(k)).bitwiseXOR(F.get("_sb", F.lit(k)))) for k in range(SKETCH_WORDS)]
+    alone = (F.col("_na") + F.col("_nb")) * ((1 - threshold) / (1 + threshold))
+    return both.where(sum(different[1:], different[0]) <= alone + 1e-6).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
-    both = pairs.join(sets.select(F.col("ord").alias("a"), F.col("tokens").alias("x")), "a").join(
+    near = materialize(_near(pairs, sets, threshold), "near-pairs")
+    both = near.join(sets.select(F.col("ord").alias("a"), F.col("tokens").alias("x")), "a").join(
         sets.select(F.col("ord").alias("b"), F.col("tokens").alias("y")), "b"
     )
     shared = F.size(F.array_intersect("x", "y"))
@@ -84,6 +118,11 @@ def _sizes_fit(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
 
 
+def _rest_fits(m: Column, n: Column, at: Column, bt: Column, length: int, threshold: float) -> Column:
+    """Whether sets of m and n tokens may be similar that share ``length`` tokens up to the places ``at`` and ``bt``."""
+    return length + F.least(m - at, n - bt) - 1 >= (m + n) * (threshold / (1 + threshold)) - 1e-6
+
+
 def similar_earlier(later: DataFrame, earlier: DataFrame, sets: DataFrame, threshold: float, hot_key: int = HOT_KEY, longest_key: int = LONGEST_KEY) -> DataFrame:
     """All similar pairs (a, b) with a of ``later``, b of ``earlier`` and b < a.
 
@@ -97,8 +136,11 @@ def similar_earlier(later: DataFrame, earlier: DataFrame, sets: DataFrame, thres
         hot = materialize(counts.where(F.col("n") > hot_key).select("key").join(left.select("key").distinct(), "key", "left_semi"), "hot-keys")
         last = length == longest_key or hot.isEmpty()
         met = right if last else right.join(hot, "key", "left_anti")
-        pairs = left.select(F.col("ord").alias("a"), "key", F.col("size").alias("m")).join(met.select(F.col("ord").alias("b"), "key", F.col("size").alias("n")), "key")
-        pairs = pairs.where((F.col("b") < F.col("a")) & _sizes_fit(F.col("m"), F.col("n"), threshold)).select("a", "b")
+        pairs = left.select(F.col("ord").alias("a"), "key", F.col("size").alias("m"), "at").join(
+            met.select(F.col("ord").alias("b"), "key", F.col("size").alias("n"), F.col("at").alias("bt")), "key"
+        )
+        fit = _sizes_fit(F.col("m"), F.col("n"), threshold) & _rest_fits(F.col("m"), F.col("n"), F.col("at"), F.col("bt"), length, threshold)
+        pairs = pairs.where((F.col("b") < F.col("a")) & fit).select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         if last:
             break
@@ -154,7 +196,7 @@ def similar_to_kept(
     firsts = materialize(keyed.groupBy("set_key").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "first-sets")
     levels = token_levels(tokens)
     sets = tokens.join(firsts.select(F.col("first").alias("ord")), "ord", "left_semi").where(F.size("tokens") > 0)
-    sets = materialize(sets.select("ord", rare_first(F.col("tokens"), levels).alias("tokens")), "ordered-sets")
+    sets = materialize(sets.select("ord", rare_first(F.col("tokens"), levels).alias("tokens"), sketch(F.col("tokens")).alias("sketch")), "ordered-sets")
 
     members = _several(_longer_keys(_start(sets), sets, 1, threshold).select("ord", "size", "key"))
     dropped, kept, size = None, None, members.count()

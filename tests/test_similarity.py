@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import similarity
 from corpusmill.operators.similarity import drop_similar, rare_first, similar_earlier, similar_to_kept, token_levels, token_sets
 from tests.helpers import numbers, texts
 
@@ -79,3 +80,24 @@ def test_a_common_word_makes_no_large_group(spark):
     assert last["count"] == 200
     pairs = similar_earlier(sets.select("ord"), sets.select("ord"), ordered, 0.85)
     assert pairs.count() == 0
+
+
+def test_tokens_move_for_few_pairs_only(spark, monkeypatch):
+    # All sets share some tokens of their prefixes, so nearly all of them meet; two are similar.
+    draw = random.Random(3)
+    values = [" ".join(f"w{k}" for k in draw.sample(range(300), 120)) for _ in range(60)]
+    values.append(values[7] + " more")
+    written = {}
+    write = similarity.materialize
+
+    def counted(df, name):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    sets = token_sets(texts(spark, values))
+    ordered = sets.select("ord", rare_first(F.col("tokens"), token_levels(sets)).alias("tokens"))
+    found = similar_earlier(sets.select("ord"), sets.select("ord"), ordered, 0.85, hot_key=1000).collect()
+    assert [(r.a >> 28, r.b >> 28) for r in found] == [(60, 7)]
+    # Before, all of over a thousand pairs that met had both sets' tokens shuffled.
+    assert written["candidates"].count() > 100 and written["near-pairs"].count() < 10
