@@ -175,11 +175,12 @@ def resumed_chunks(spark, folder):
 
 
 def _stream(spark, folder):
-    """The documents as files that arrive one after another."""
+    """The documents as files that arrive in four batches; there are as many files as splits of the table, so no task writes a fixed share of it."""
     path = scratch_path(spark, "arrivals")
     docs = table(spark, folder, "documents").select(position(F.col("doc_id")).alias("ord"), "doc_id", "text", "source")
-    docs.repartitionByRange(4, "ord").write.parquet(path)
-    return read_stream(spark, path, "ord bigint, doc_id bigint, text string, source string", files_per_batch=1)
+    files = max(4, docs.rdd.getNumPartitions())
+    docs.repartitionByRange(files, "ord").write.parquet(path)
+    return read_stream(spark, path, "ord bigint, doc_id bigint, text string, source string", files_per_batch=-(-files // 4))
 
 
 def _drain(start, path):

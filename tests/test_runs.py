@@ -5,6 +5,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import runs
 from corpusmill import session
 from corpusmill.functions.records import CPT, SFT_PAIR, as_records, metadata, position
 from corpusmill.operators.structure import flag_structure
@@ -251,3 +252,18 @@ def test_waves_of_any_size_accept_the_same(spark, tmp_path):
         # The last wave was written but not checkpointed.
         shutil.rmtree(f"{folder}/checkpoints/run_id=r/wave={-(-10 // wave) - 1}")
         assert numbers(run()) == want
+
+
+def test_files_of_a_stream_grow_in_number_with_the_table(spark, tmp_path, monkeypatch):
+    folder, out = str(tmp_path / "tables"), str(tmp_path / "out")
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 300, repeat(sha2(string(id % 300), 512), 4)) AS text", "'s' AS source")
+    rows.repartition(12).write.parquet(f"{folder}/documents.parquet")
+    monkeypatch.setattr(runs, "scratch_path", lambda spark, name: f"{out}/{name}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert runs.streamed_dedup(spark, folder).where("n = 1").count() == 300
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # Before, there were four files whatever the size of the table.
+    assert len(list((tmp_path / "out/arrivals").glob("part-*.parquet"))) >= 12
+    assert len(list((tmp_path / "out/stream").glob("batch=*"))) == 4
