@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +25,11 @@ SEED = 1
 PRIME = (1 << 61) - 1
 MAX_HASH = (1 << 32) - 1
 
-# Token occurrences per vectorized step, and token values a task remembers.
+# Token occurrences per vectorized step, token values a task remembers, and bytes of text that it has as
+# Python strings at a time, since an Arrow batch holds thousands of texts of any length.
 _STEP = 1 << 14
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 17
+_SLICE = 1 << 22
 
 
 @lru_cache(maxsize=8)
@@ -105,13 +108,30 @@ def signatures(texts: list[str | None], num_perm: int = NUM_PERM) -> np.ndarray:
     return out
 
 
+def slices(texts: pa.Array, size: int = _SLICE) -> Iterator[pa.Array]:
+    """``texts`` in runs of some ``size`` bytes; one longer text is a run by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64"))
+    start = 0
+    while start < len(texts):
+        done = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, done + size, side="right")), start + 1)
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def _signed(texts: pa.Array, num_perm: int) -> Iterator[np.ndarray]:
+    for part in slices(texts):
+        yield signatures(part.to_pylist(), num_perm)
+
+
 def signatures_of(text: Column, num_perm: int = NUM_PERM) -> Column:
     """ARRAY<BIGINT> signature of the text's token set."""
 
-    @F.pandas_udf("array<bigint>")
-    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<bigint>")
+    def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(list(signatures(batch.tolist(), num_perm).astype("int64")))
+            table = np.concatenate([np.empty((0, num_perm), dtype="int64"), *[t.astype("int64") for t in _signed(batch, num_perm)]])
+            yield pa.ListArray.from_arrays(np.arange(len(table) + 1, dtype="int32") * num_perm, table.ravel())
 
     return signed.asNondeterministic()(text)
 
@@ -120,12 +140,14 @@ def band_keys(text: Column, threshold: float = THRESHOLD, num_perm: int = NUM_PE
     """ARRAY<BINARY> with one 16-byte key per band of the text's token set."""
     bands, rows = band_shape(threshold, num_perm)
 
-    @F.pandas_udf("array<binary>")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<binary>")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            table = signatures(batch.tolist(), num_perm)[:, : bands * rows]
-            table = table.astype(">u4").reshape(len(batch), bands, rows)
-            yield pd.Series([[hashlib.md5(band.tobytes()).digest() for band in row] for row in table])
+            found: list[bytes] = []
+            for table in _signed(batch, num_perm):
+                table = table[:, : bands * rows].astype(">u4").reshape(-1, rows)
+                found += [hashlib.md5(band.tobytes()).digest() for band in table]
+            yield pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype="int32") * bands, pa.array(found, pa.binary()))
 
     # So marked, the optimizer neither repeats nor inlines the call.
     return keys.asNondeterministic()(text)

@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions.minhash import MAX_HASH, PRIME, band_shape, permutations, signatures
+from corpusmill.functions.minhash import MAX_HASH, PRIME, band_keys, band_shape, permutations, signatures, slices
 from corpusmill.operators.dedup import bucket_memberships, drop_exact_duplicates, drop_near_duplicates, near_duplicates, resolve_first_wins
 from tests.helpers import numbers, texts
 
@@ -99,3 +100,15 @@ def test_shared_buckets_are_the_same_with_hot_ones_split(spark):
     keyed = spark.range(50).select(F.col("id").alias("ord"), F.array(F.lit(b"all"), (F.col("id") % 20).cast("string").cast("binary"), F.col("id").cast("string").cast("binary")).alias("bands"))
     plain, split = (sorted((r.ord, bytes(r.bucket)) for r in bucket_memberships(keyed, hot_bucket=n).collect()) for n in (1_000, 10))
     assert plain == split and len(plain) == 100
+
+
+def test_a_batch_is_signed_in_slices(spark, monkeypatch):
+    # Before, all texts of an Arrow batch stood beside it as Python strings.
+    given = ["aa", None, "", "b" * 50, "cc dd", "é" * 4, "e"] * 3
+    parts = [part.to_pylist() for part in slices(pa.array(given)[1:], 10)]
+    assert sum(parts, []) == given[1:] and list(slices(pa.array([], pa.string()))) == []
+    assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part) <= 10 for part in parts)
+    assert ["cc dd"] in parts and ["b" * 50] in parts
+    rows = texts(spark, ["one two", " ", "one two", "three"]).select("ord", band_keys(F.col("text")).alias("k")).orderBy("ord").collect()
+    bands, _ = band_shape()
+    assert [len(r.k) for r in rows] == [bands] * 4 and rows[0].k == rows[2].k and len({tuple(map(bytes, r.k)) for r in rows}) == 3
