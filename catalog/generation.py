@@ -25,20 +25,23 @@ from corpusmill.operators.generation import (
 )
 
 
-def chunks(spark, folder):
-    """Every document as one chunk, with its labels."""
-    return labelled(spark, folder).select(
+def plain_chunks(documents, *more):
+    """Every document as one chunk."""
+    return documents.select(
         position(F.col("doc_id")).alias("ord"),
         F.col("doc_id").cast("string").alias("document_id"),
         F.concat(F.col("doc_id").cast("string"), F.lit("-0")).alias("chunk_id"),
         F.col("source").alias("source_name"),
         F.sha2("text", 256).alias("source_hash"),
-        "text", "doc_id", "lang",
-        F.coalesce("quality", F.lit(1)).alias("quality"),
-        F.coalesce("toxic", F.lit(0)).alias("toxic"),
+        "text", "doc_id", "lang", *more,
     )
 
 
+def chunks(spark, folder):
+    """Every document as one chunk, with its labels."""
+    return plain_chunks(labelled(spark, folder), F.coalesce("quality", F.lit(1)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+
+
 @query(
     f"""SELECT doc_id, '{CPT}' AS kind, sha256(text) AS text_hash, doc_id || '-0' AS chunk_id, source AS source_name, 'document' AS source_kind,
       0 AS n_extra FROM documents"""
@@ -222,7 +225,7 @@ _QUOTED_SQL = f"({QUOTE_SQL} <> '' AND regexp_matches({QUOTE_SQL}, '\\S'))"
 )
 def generated_pairs(spark, folder):
     """Two examples per document, failed attempts asked again."""
-    records, _ = generate(chunks(spark, folder), SFT_PAIR, _answers, per_chunk=2)
+    records, _ = generate(plain_chunks(table(spark, folder, "documents")), SFT_PAIR, _answers, per_chunk=2)
     return records.select(
         doc_of(F.col("ord")).alias("doc_id"), "example", "prompt", "completion", F.col("metadata.extra")["supporting_quote"].alias("supporting_quote")
     )
@@ -233,7 +236,7 @@ def generated_pairs(spark, folder):
 )
 def generated_conversations(spark, folder):
     """No second attempt: what failed comes out as rejected."""
-    records, rejected = generate(chunks(spark, folder), SFT_CONVERSATION, _answers, retries=0)
+    records, rejected = generate(plain_chunks(table(spark, folder, "documents")), SFT_CONVERSATION, _answers, retries=0)
     lines = F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), ",")
     kept = records.select(doc_of(F.col("ord")).alias("doc_id"), lines.alias("messages"))
     lost = rejected.select(F.split("chunk_id", "-")[0].cast("bigint").alias("doc_id"))
@@ -246,7 +249,7 @@ def generated_conversations(spark, folder):
 )
 def generated_preferences(spark, folder):
     """Four candidates per document, scored by a judge; equal scores give nothing."""
-    records, _ = generate(chunks(spark, folder), DPO, _answers, _marks)
+    records, _ = generate(plain_chunks(table(spark, folder, "documents")), DPO, _answers, _marks)
     content = lambda name: F.col(name)[0]["content"]
     return records.select(
         doc_of(F.col("ord")).alias("doc_id"), content("dpo_prompt").alias("prompt"), content("chosen").alias("chosen"), content("rejected").alias("rejected")
