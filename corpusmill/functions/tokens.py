@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip, word_count, word_spans
 
+# Fixed value: characters of the texts that a task turns into windows at once.
+PORTION = 1 << 20
+
 
 class WordTokenizer:
     """Whitespace words, as native expressions."""
@@ -32,6 +35,14 @@ class WordTokenizer:
         return F.flatten(F.transform(F.array(word_spans(text)), cut))
 
 
+def portions(texts: pd.Series, size: int = PORTION) -> Iterator[pd.Series]:
+    """A batch in runs of texts of about ``size`` characters together, so that what a task holds of
+    its output doesn't grow with the rows of a batch; a longer text is alone or the last of its run."""
+    length = texts.str.len().fillna(0)
+    for _, part in texts.groupby((length.cumsum() - length) // size):
+        yield part
+
+
 class ArrowTokenizer:
     """Any ``encode(text) -> ids`` / ``decode(ids) -> text`` pair, on Arrow batches.
 
@@ -72,7 +83,8 @@ class ArrowTokenizer:
         def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             _, cut = open()
             for batch in batches:
-                yield batch.map(lambda t: cut(t or "", size))
+                for part in portions(batch):
+                    yield part.map(lambda t: cut(t or "", size))
 
         return windows(text)
 

@@ -1,9 +1,10 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions.tokens import ArrowTokenizer, SubwordTokenizer
+from corpusmill.functions.tokens import PORTION, ArrowTokenizer, SubwordTokenizer, portions
 from corpusmill.operators.chunking import chunk_blocks, document_id, estimate_rows, sample_text, token_windows
 from corpusmill.sources.documents import extract_blocks, html_blocks, markdown_blocks, unescape_blocks
 
@@ -175,3 +176,13 @@ def test_the_heading_of_a_page_keeps_a_reference_cut_short(spark):
     blocks = unescape_blocks(pages.select("document_id", html_blocks(F.col("html")).alias("blocks")))
     chunk = chunk_blocks(blocks, max_tokens=8).first()
     assert (chunk.heading, chunk.text) == ("Auf&amp &amp", "one < two &lt")
+
+
+def test_windows_are_made_a_portion_of_a_batch_at_a_time(spark):
+    texts = ["a b", None, "", "c " * PORTION, "d", "e f g"]
+    parts = [list(part) for part in portions(pd.Series(texts, dtype=object))]
+    assert [len(part) for part in parts] == [4, 2] and [t for part in parts for t in part] == texts
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1)
+    tokenizer = ArrowTokenizer(lambda: (str.split, " ".join))
+    got = token_windows(docs, "n", size=PORTION, tokenizer=tokenizer).orderBy("n", "window_no").collect()
+    assert [(r.n, r.window_no, r.text[:5]) for r in got] == [(0, 0, "a b"), (3, 0, "c c c"), (4, 0, "d"), (5, 0, "e f g")]
