@@ -135,6 +135,43 @@ def test_chunks_of_a_subword_tokenizer(spark):
     assert "Exchange" not in plan
 
 
+def test_subword_tokens_are_those_of_the_text_though_words_are_tokenized_once(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import tokenizers
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    plain = tokenizers.Tokenizer.from_file(file)
+    seen = []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode(self, text, **options):
+            return self.encode_batch([text], **options)[0]
+
+        def encode_batch(self, texts, **options):
+            seen.append(sum(map(len, texts)))
+            return plain.encode_batch(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Files", (), {"from_file": staticmethod(lambda _: Watched())}))
+    counts, pieces = SubwordTokenizer(file).open()
+    draw = random.Random(5)
+    bits = ["extraordinary", "Naïve", "日本語", "😀", "x12", "İ", ",", ".", "'LL", "e\u0301", "\u0338", "\u0958", "<|endoftext|>", "\u00a0", "\x1c", "\x85", "\u3000", " ", " ", "\n", "\t", "\x0b"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(60))) for _ in range(300)]
+    encoded = [plain.encode(t, add_special_tokens=False) for t in texts]
+    assert counts(texts) == [len(e.ids) for e in encoded]
+    for size in (1, 3, 16):
+        for text, e, (windows, tokens) in zip(texts, encoded, pieces(texts, size)):
+            at = [0, *[o[0] for o in e.offsets[size::size]], len(text)]
+            assert windows == [text[a:b] for a, b in zip(at, at[1:])]
+            assert tokens == [len(plain.encode(w, add_special_tokens=False).ids) for w in windows]
+    seen.clear()
+    again = "extraordinary weather, hedgehogs "
+    assert set(counts([again] * 20_000)) == {len(plain.encode(again, add_special_tokens=False).ids)}
+    assert sum(seen) < 1000
+
+
 def test_windows_of_plain_text(spark):
     df = spark.createDataFrame([(1, "a b\nc  d e"), (2, " ")], "id int, text string")
     assert [(r.id, r.window_no, r.text) for r in token_windows(df, "id", size=2).orderBy("window_no").collect()] == [(1, 0, "a b"), (1, 1, "c  d"), (1, 2, "e")]
