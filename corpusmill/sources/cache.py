@@ -41,11 +41,16 @@ def missing(documents: DataFrame, cache: DataFrame, version: str, mode: str = "l
     return documents.join(stored, "source_hash", "left_anti")
 
 
-def one_path_each(documents: DataFrame) -> DataFrame:
+def one_path_each(documents: DataFrame, wanted: Callable[[DataFrame], DataFrame] = lambda contents: contents) -> DataFrame:
     """One row per content, that with the least path: since the suffix of a path decides how a
-    content is read, the choice must not depend on the order of rows.  The paths are compared on narrow rows."""
-    least = documents.groupBy("source_hash").agg(F.min("path").alias("path"))
-    chosen = documents.join(least.withColumnRenamed("path", "_path"), "source_hash").where(F.col("path").eqNullSafe(F.col("_path")))
+    content is read, the choice must not depend on the order of rows.
+
+    Paths are compared, and ``wanted`` takes its part of them, on narrow rows (source_hash, path), which are written
+    first: a content moves only if it is wanted, and where few are, not even those.
+    """
+    least = wanted(documents.groupBy("source_hash").agg(F.min("path").alias("path")))
+    least = materialize(least.select("source_hash", F.col("path").alias("_path")), "contents-wanted")
+    chosen = documents.join(least, "source_hash").where(F.col("path").eqNullSafe(F.col("_path")))
     return chosen.drop("_path").dropDuplicates(["source_hash"])
 
 
@@ -107,15 +112,17 @@ def extract_cached(
     'fallback', so a later run asks the remote again.  Other reasons are final.
     """
     cache = ExtractionCache(documents.sparkSession, cache_path)
-    contents = one_path_each(documents)
+
+    def lacking(mode: str) -> DataFrame:
+        return one_path_each(documents, lambda contents: missing(contents, cache.stored(), version, mode))
 
     def usable(mode: str) -> DataFrame:
         return best_variant(cache.stored(), mode).where(F.col("extractor_version") == version)
 
     if remote is None:
-        cache.append(extract(missing(contents, cache.stored(), version, "local")), version, "local")
+        cache.append(extract(lacking("local")), version, "local")
         return usable("local")
-    tried = materialize(remote(missing(contents, cache.stored(), version, "remote")), "tried")
+    tried = materialize(remote(lacking("remote")), "tried")
     cache.append(tried.where("NOT (reject_reason <=> 'unavailable')"), version, "remote")
-    cache.append(extract(missing(contents, cache.stored(), version, "remote_failed")), version, "fallback")
+    cache.append(extract(lacking("remote_failed")), version, "fallback")
     return usable("remote_failed")

@@ -233,3 +233,23 @@ def test_files_of_pages_share_folders(spark, tmp_path):
     folders = {r.path.rsplit("/", 2)[1] for r in list_files(spark, path).collect()}
     assert len(folders) == documents.PAGE_FOLDERS
     assert hash_files(spark, path).where(F.col("source_hash") == hashlib.sha256("<p>é 8</p>\n".encode()).hexdigest()).count() == 1
+
+
+def test_contents_that_the_cache_has_are_not_moved(spark, tmp_path, monkeypatch):
+    from corpusmill.sources import cache
+
+    written, plain = [], cache.materialize
+
+    def watched(df, name):
+        out = plain(df, name)
+        if name == "contents-wanted":
+            written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(cache, "materialize", watched)
+    docs = spark.createDataFrame([(h, f"{p}.html", f"text of {h}") for h in "abc" for p in "yx"], "source_hash string, path string, content string")
+    extract = lambda d: d.selectExpr("*", "CAST(NULL AS array<struct<level:int,text:string,page:int>>) AS blocks", "path AS reject_reason")
+    for some in (docs.where("source_hash < 'c'"), docs, docs):
+        found = cache.extract_cached(some, str(tmp_path / "cache"), "v1", extract)
+    assert sorted((r.source_hash, r.reject_reason) for r in found.collect()) == [(h, "x.html") for h in "abc"]
+    assert written == [(["source_hash", "_path"], n) for n in (2, 1, 0)]
