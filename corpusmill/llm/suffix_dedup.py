@@ -46,6 +46,9 @@ HOT = 2000
 _PIECE = 4 << 20
 _PLACE_BITS = 24
 
+# Bytes of short texts that are hashed together: few enough for a processor's cache.
+_HASHED = 1 << 18
+
 
 def _eights(data: np.ndarray) -> np.ndarray:
     """All runs of eight bytes as numbers."""
@@ -137,32 +140,36 @@ def _pieces(value: bytes) -> Iterator[tuple[int, bytes]]:
         yield at, value[at : at + _PIECE + LENGTH - 1]
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(id, offset, bytes) of the pieces of all texts, about ``_HASHED`` bytes of them at a time; a larger one ends its list."""
+    waiting, size = [], 0
+    for batch in batches:
+        for identifier, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for offset, piece in _pieces((value or "").encode("utf-8", "surrogatepass")):
+                waiting.append((identifier, offset, piece))
+                size += len(piece)
+                if size >= _HASHED:
+                    yield waiting
+                    waiting, size = [], 0
+    if waiting:
+        yield waiting
+
+
 def _runs(docs: DataFrame, id: str, text: str, grams_only: bool = False) -> DataFrame:
     """(gram, id, start, count, sides, h1, h2) of all documents, or (gram)."""
     names = ["gram"] if grams_only else ["gram", "id", "start", "count", "sides", "h1", "h2"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
+        for waiting in _together(batches):
             pieces = [p for _, _, p in waiting]
             if grams_only:
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in string_runs(pieces, True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in string_runs(pieces, True)], names=names)
+                continue
             piece, start, count, gram, *rest = string_runs(pieces)
             ids = np.array([i for i, _, _ in waiting], dtype="int64")
             offsets = np.array([o for _, o, _ in waiting], dtype="int64")
             columns = [gram, ids[piece], start + offsets[piece], count, *rest]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype="int64")) for c in columns], names=names)
-
-        waiting, size = [], 0
-        for batch in batches:
-            for identifier, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for offset, piece in _pieces((value or "").encode("utf-8", "surrogatepass")):
-                    waiting.append((identifier, offset, piece))
-                    size += len(piece)
-                    if size >= _PIECE:
-                        yield flush()
-                        waiting, size = [], 0
-        if waiting:
-            yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype="int64")) for c in columns], names=names)
 
     rows = docs.select(F.col(id).cast("long"), text).where(F.col(id).isNotNull())
     return rows.mapInArrow(scan, ", ".join(f"{n} long" for n in names))

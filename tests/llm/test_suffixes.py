@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusmill.llm.suffix_dedup import LENGTH, merged, repeated_spans, without_spans
+from corpusmill.llm.suffix_dedup import LENGTH, _together, merged, repeated_spans, without_spans
 from corpusmill.llm.suffixes import common_prefixes, suffix_array
 
 
@@ -69,3 +70,12 @@ def test_rows_without_id_and_nothing(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in without_spans(odd, repeated_spans(odd)).collect())
     assert got == [(0, 0), (1, 119), (1, 119)]
     assert without_spans(odd.limit(0), repeated_spans(odd.limit(0))).count() == 0
+
+
+def test_short_texts_are_hashed_a_few_at_a_time():
+    rows = [(i, bytes([97 + i % 26]) * 3000) for i in range(400)] + [(400, b"x" * 1_000_000), (401, b"end")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 90])], names=["id", "text"]) for k in range(0, len(rows), 90)]
+    texts = [b.set_column(1, "text", b.column(1).cast(pa.string())) for b in batches]
+    lists = list(_together(texts))
+    assert [(i, p) for some in lists for i, _, p in some] == rows
+    assert all(sum(len(p) for _, _, p in some[:-1]) < 1 << 18 for some in lists) and len(lists) < 10
