@@ -148,7 +148,7 @@ def similar_sql(scope: str = "''") -> str:
 
 
 def _similar_documents(spark, folder, *scope):
-    told = similar_to_kept(spread(cpt_documents(spark, folder, *scope), "ord"), scope=scope)
+    told = similar_to_kept(cpt_documents(spark, folder, *scope), scope=scope)
     return told.select(doc_of(F.col("ord")).alias("doc_id"), doc_of(F.col("kept_ord")).alias("kept_doc_id"))
 
 

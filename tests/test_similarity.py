@@ -101,3 +101,46 @@ def test_tokens_move_for_few_pairs_only(spark, monkeypatch):
     assert [(r.a >> 28, r.b >> 28) for r in found] == [(60, 7)]
     # Before, all of over a thousand pairs that met had both sets' tokens shuffled.
     assert written["candidates"].count() > 100 and written["near-pairs"].count() < 10
+
+
+def test_rows_of_keys_grow_with_the_tokens(spark, monkeypatch):
+    # Words are few, so every prefix is shared by many sets; keys of several tokens of it were 40 times as many as the tokens.
+    draw = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(120)]
+    values = [" ".join(draw.sample(vocabulary, draw.randrange(50, 80))) for _ in range(120)]
+    values += [" ".join(draw.sample(v.split(), len(v.split()) - 2)) for v in values[:20]]
+    tokens = sum(len(v.split()) for v in values)
+    written = []
+    write = similarity.materialize
+
+    def counted(df, name):
+        rows = write(df, name)
+        written.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    got = found(similar_to_kept(texts(spark, values), hot_key=8))
+    assert got == greedy(values) and len(got) >= 20
+    assert sum(written) < 3 * tokens
+
+
+def test_sets_of_hot_keys_meet_by_further_ways(spark, monkeypatch):
+    # One key of two rows is hot, so families use up what they can spare: rounds of larger groups, then prefixes, find their pairs.
+    draw = random.Random(7)
+    values = [v for _ in range(3) for v in family(draw, 14, draw.randrange(8, 60), 6)]
+    draw.shuffle(values)
+    monkeypatch.setattr(similarity, "HOTTER", 2)
+    met = []
+    by_prefixes = similarity.similar_earlier
+    monkeypatch.setattr(similarity, "similar_earlier", lambda *a: met.append(1) or by_prefixes(*a))
+    assert found(similar_to_kept(texts(spark, values), worthwhile=1.1, hot_key=1)) == greedy(values)
+    assert met
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.95])
+def test_other_thresholds(spark, threshold):
+    draw = random.Random(11)
+    values = ["", "", "a", "a b"] + [v for _ in range(8) for v in family(draw, 6, draw.randrange(3, 50), 5)]
+    values += [" ".join(f"l{k}" for k in range(n)) for n in range(1, 60, 3)]
+    draw.shuffle(values)
+    assert found(similar_to_kept(texts(spark, values), threshold=threshold)) == greedy(values, threshold=threshold)
