@@ -144,3 +144,23 @@ def test_other_thresholds(spark, threshold):
     values += [" ".join(f"l{k}" for k in range(n)) for n in range(1, 60, 3)]
     draw.shuffle(values)
     assert found(similar_to_kept(texts(spark, values), threshold=threshold)) == greedy(values, threshold=threshold)
+
+
+def test_tokens_are_written_for_similar_sets_only(spark, monkeypatch):
+    draw = random.Random(13)
+    values = [" ".join(f"w{draw.randrange(3000)}" for _ in range(40)) for _ in range(80)]
+    values += [values[3] + " more", values[3] + " more", values[60] + " other"]
+    scopes = ["st"[k % 2] for k in range(80)] + ["t", "s", "s"]
+    written = {}
+    write = similarity.materialize
+
+    def counted(df, name):
+        rows = write(df, name)
+        if "tokens" in rows.columns:
+            written[name] = max(written.get(name, 0), rows.count())
+        return rows
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    assert found(similar_to_kept(texts(spark, values, scope=scopes), scope=("scope",))) == greedy(values, scopes) == {80: 3, 82: 60}
+    # Before, two tables of all sets were written.
+    assert max(written.values()) < 10
